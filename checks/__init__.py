@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("parsing", "reading")
+MODULES = ("parsing", "reading", "correlating", "detecting")
 
 
 def all_queries():

@@ -10,23 +10,18 @@ IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
 
 def captured(text: Column, pattern: str, groups: int) -> Column:
-    """All groups of an anchored pattern as an array, in one regex pass.
+    """All groups of an anchored pattern in one regex pass, as an array read by group_columns.
 
-    A log line holds no line feed, so it separates the groups safely. A line that does not match yields null;
+    A log line holds no line feed, so it separates the groups safely. A line that does not match has no groups;
     an optional group that took no part yields ''.
     """
     wanted = "".join(f"\n${i}" for i in range(1, groups + 1))
-    parts = F.split(F.regexp_replace(text, f"(?s)^{pattern}.*$", wanted), "\n")
-    return F.when(F.size(parts) == groups + 1, F.slice(parts, 2, groups))
+    return F.split(F.regexp_replace(text, f"(?s)^{pattern}.*$", wanted), "\n")
 
 
 def group_columns(parts: Column, groups: int) -> list[Column]:
-    return [F.try_element_at(parts, F.lit(i + 1)) for i in range(groups)]
-
-
-def capture(text: Column, pattern: str, groups: int) -> list[Column]:
-    """The groups of ``captured`` as separate columns; meant for short texts such as a time."""
-    return group_columns(captured(text, pattern, groups), groups)
+    """The groups, null where the pattern did not match (element 1 is the text before the first separator)."""
+    return [F.try_element_at(parts, F.lit(i + 2)) for i in range(groups)]
 
 
 def search(text: Column, pattern: str, group: int = 1) -> Column:

@@ -1,14 +1,15 @@
 """Timestamps of log formats as TIMESTAMP_NTZ.
 
-Each text is rearranged to ISO form and cast with TRY semantics, so a bad time gives null and the session
-time zone never plays a part.
+A text is cut into its parts by one regex (``*_parts``), and the parts are put together in ISO form and cast with
+TRY semantics (``*_ts``). A bad time gives null, and the session time zone never plays a part. The two steps are
+apart so that a parser can compute the parts once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from faultline.functions.text import capture, lookup
+from faultline.functions.text import captured, group_columns, lookup
 
 # English month abbreviations.
 MONTHS = {
@@ -16,6 +17,7 @@ MONTHS = {
     "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12",
 }
 _HMS = r"(\d{1,2}:\d{1,2}:\d{1,2})"
+_FRACTION = r"(\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)"
 
 
 def _iso(year: Column, month_name: Column, day: Column, clock: Column) -> Column:
@@ -23,41 +25,59 @@ def _iso(year: Column, month_name: Column, day: Column, clock: Column) -> Column
     return F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock).try_cast("timestamp_ntz")
 
 
-def ts_access(text: Column) -> Column:
+def access_parts(text: Column) -> Column:
     """22/Jun/2025:10:00:00 +0000 -- the zone is not used."""
-    d, m, y, t = capture(F.split_part(text, F.lit(" "), F.lit(1)), rf"(\d{{1,2}})/([A-Za-z]{{3}})/(\d{{4}}):{_HMS}$", 4)
-    return _iso(y, m, d, t)
+    return captured(text, rf"(\d{{1,2}})/([A-Za-z]{{3}})/(\d{{4}}):{_HMS}(?:\s|$)", 4)
 
 
-def ts_plain(text: Column) -> Column:
+def access_ts(parts: Column) -> Column:
+    day, month, year, clock = group_columns(parts, 4)
+    return _iso(year, month, day, clock)
+
+
+def plain_ts(text: Column) -> Column:
     """2025-06-22 10:00:00, optionally with a fraction of up to six digits."""
-    whole = F.trim(text).rlike(r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$")
+    whole = F.trim(text).rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}\s+{_FRACTION}$")
     return F.when(whole, F.regexp_replace(F.trim(text), r"\s+", " ").try_cast("timestamp_ntz"))
 
 
-def ts_error(text: Column) -> Column:
-    """Sat Jun 22 10:00:00[.123456] 2025, or the plain form."""
-    m, d, t, y = capture(
-        F.trim(text), r"[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)\s+(\d{4})$", 4)
-    return F.coalesce(_iso(y, m, d, t), ts_plain(text))
+def error_parts(text: Column) -> Column:
+    """Sat Jun 22 10:00:00[.123456] 2025"""
+    return captured(text, rf"\s*[A-Za-z]{{3}}\s+([A-Za-z]{{3}})\s+(\d{{1,2}})\s+{_FRACTION}\s+(\d{{4}})\s*$", 4)
+
+
+def error_ts(parts: Column) -> Column:
+    month, day, clock, year = group_columns(parts, 4)
+    return _iso(year, month, day, clock)
+
+
+def syslog_parts(text: Column) -> Column:
+    """Jun 22 10:00:00"""
+    return captured(text, rf"\s*([A-Za-z]{{3}})\s+(\d{{1,2}})\s+{_HMS}\s*$", 3)
 
 
-def ts_syslog(text: Column, now: Column) -> Column:
-    """Jun 22 10:00:00 -- the year is that of ``now``."""
-    m, d, t = capture(F.trim(text), rf"([A-Za-z]{{3}})\s+(\d{{1,2}})\s+{_HMS}$", 3)
-    return _iso(F.year(now).cast("string"), m, d, t)
+def syslog_ts(parts: Column, now: Column) -> Column:
+    """The year is that of ``now``."""
+    month, day, clock = group_columns(parts, 3)
+    return _iso(F.year(now).cast("string"), month, day, clock)
 
 
-def ts_mysql(text: Column) -> Column:
-    """2025-06-22T10:00:00[.123456][Z], 2025-06-22 10:00:00[.123], or the short form 250622 9:00:00."""
-    yy, mm, dd, t = capture(F.trim(text), rf"(\d{{2}})(\d{{2}})(\d{{2}})\s+{_HMS}$", 4)
+def short_parts(text: Column) -> Column:
+    """250622 9:00:00"""
+    return captured(text, rf"\s*(\d{{2}})(\d{{2}})(\d{{2}})\s+{_HMS}\s*$", 4)
+
+
+def short_ts(parts: Column) -> Column:
+    year, month, day, clock = group_columns(parts, 4)
     # two-digit years follow the usual pivot: 69..99 are 19xx
-    century = F.when(yy.try_cast("int") >= 69, F.lit("19")).otherwise(F.lit("20"))
-    short = F.concat(century, yy, F.lit("-"), mm, F.lit("-"), dd, F.lit(" "), t).try_cast("timestamp_ntz")
-    iso = F.when(
-        F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z?$"),
-        F.rtrim(F.trim(text), F.lit("Z")).try_cast("timestamp_ntz"))
-    return F.coalesce(short, iso)
+    century = F.when(year >= "69", F.lit("19")).otherwise(F.lit("20"))
+    return F.concat(century, year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock).try_cast("timestamp_ntz")
+
+
+def iso_ts(text: Column) -> Column:
+    """2025-06-22T10:00:00[.123456][Z] or with a blank for the T."""
+    whole = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z?$")
+    return F.when(whole, F.rtrim(text, F.lit("Z")).try_cast("timestamp_ntz"))
 
 
 def epoch_us(ts: Column) -> Column:
@@ -74,19 +94,12 @@ def cell_of(us: Column, width_us: int) -> Column:
     return F.call_function("div", us - F.pmod(us, F.lit(width_us)), F.lit(width_us))
 
 
-def seconds(n: int | float) -> Column:
-    return F.expr(f"INTERVAL '{n}' SECOND")
-
-
 def age_label(ts: Column, as_of: Column) -> Column:
     """Ns ago / Nm ago / Nh ago / Nd ago."""
-    s = F.floor((epoch_us(as_of) - epoch_us(ts)) / F.lit(1_000_000)).cast("long")
+    s = cell_of(epoch_us(as_of) - epoch_us(ts), 1_000_000)
 
-    def label(n: Column, unit: str) -> Column:
-        return F.concat(n.cast("long").cast("string"), F.lit(f"{unit} ago"))
+    def label(width: int, unit: str) -> Column:
+        return F.concat(cell_of(s, width).cast("string"), F.lit(f"{unit} ago"))
 
-    return (F.when(ts.isNull(), F.lit("N/A"))
-            .when(s < 60, label(s, "s"))
-            .when(s < 3600, label(F.floor(s / 60), "m"))
-            .when(s < 86400, label(F.floor(s / 3600), "h"))
-            .otherwise(label(F.floor(s / 86400), "d")))
+    return (F.when(ts.isNull(), F.lit("N/A")).when(s < 60, label(1, "s")).when(s < 3600, label(60, "m"))
+            .when(s < 86400, label(3600, "h")).otherwise(label(86400, "d")))

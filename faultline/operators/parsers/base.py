@@ -1,4 +1,4 @@
-"""What all parsers share: how they are staged, the struct they return, the envelope that makes an event row."""
+"""What all parsers share: how a line is taken apart in stages and how it becomes an event row."""
 
 from __future__ import annotations
 
@@ -10,62 +10,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultline.functions.text import group_columns
 from faultline.schemas import EVENTS, PARSED
 
+Values = dict[str, Column]
+
 
 @dataclass(frozen=True)
 class LineParser:
     """A log format.
 
-    ``stage`` lists the expensive values of a line (regex captures, word classes), each computed once;
-    ``derive`` lists those that need a captured text. ``build`` makes the event struct from them, null to drop the line. ``guard`` is an optional cheap condition that
-    every line which can become an event meets.
+    ``stages`` name the values of a line that are worth computing once (captures first, then what needs them); a later
+    stage reads an earlier one with ``at`` or ``groups``. ``build`` gives the event fields plus ``keep``, the condition
+    that the line is an event at all. ``guard`` is an optional cheap condition that every such line meets.
     """
 
     source: str
-    stage: Callable[[Column], dict[str, Column]]
-    build: Callable[[Column, Column], Column]
+    stages: tuple[Callable[[], Values], ...]
+    build: Callable[[], Values]
     guard: Callable[[Column], Column] | None = None
-    derive: Callable[[], dict[str, Column]] | None = None
 
 
-def staged(name: str) -> Column:
-    return F.col(f"_p.{name}")
+
+def raw() -> Column:
+    return F.col("raw_line")
+
+
+def now() -> Column:
+    return F.col("arrival_ts")
 
 
-def derived(name: str) -> Column:
-    return F.col(f"_d.{name}")
+def at(name: str) -> Column:
+    return F.col(f"_{name}")
 
 
 def groups(name: str, n: int) -> list[Column]:
-    return group_columns(staged(name), n)
+    return group_columns(at(name), n)
 
 
-def event(keep: Column, **fields: Column) -> Column:
-    """A PARSED struct where ``keep`` holds, null elsewhere. Missing fields are typed nulls."""
+def named(capture: str, *names: str) -> Values:
+    """The groups of a capture under their own names; '' as a name skips a group."""
+    return {n: g for n, g in zip(names, groups(capture, len(names))) if n}
+
+
+def event(keep: Column, **fields: Column) -> Values:
     unknown = set(fields) - set(PARSED.fieldNames())
     if unknown:
         raise ValueError(f"not event fields: {sorted(unknown)}")
-    defaults = {"category": F.lit("system"), "severity": F.lit("info"), "metadata": F.lit("{}")}
-    cols = [
-        fields.get(f.name, defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
-        for f in PARSED.fields
-    ]
-    return F.when(keep, F.struct(*cols))
+    return {"keep": F.coalesce(keep, F.lit(False)), **fields}
+
+
+def either(first: Values, second: Values) -> Values:
+    """Fields of the first event where it is one, else of the second."""
+    none = F.lit(None)
+    names = [f.name for f in PARSED.fields if f.name in first or f.name in second]
+    return {"keep": first["keep"] | second["keep"],
+            **{n: F.when(first["keep"], first.get(n, none)).otherwise(second.get(n, none)) for n in names}}
 
 
-def parsed(lines: DataFrame, parser: LineParser) -> DataFrame:
-    """Lines with their event struct ``_e`` (null when dropped).
+def staged(lines: DataFrame, parser: LineParser, guarded: bool = True) -> DataFrame:
+    """Lines with all stage values.
 
-    The staged values pass through a generator, which the optimizer does not look through; so a later filter on them
-    does not run the regexes again. A line that fails the guard is gone before any capture.
+    Each stage passes through a generator, which the optimizer does not look through; so neither a later filter nor a
+    later use runs a regex again. A line that fails the guard is gone before any capture.
     """
-    raw = F.col("raw_line")
-    values = F.array(F.struct(*[c.alias(n) for n, c in parser.stage(raw).items()]))
-    kept = values if parser.guard is None else F.when(parser.guard(raw), values)
-    out = lines.withColumn("_p", F.explode(kept))
-    if parser.derive is not None:
-        values = F.struct(*[c.alias(n) for n, c in parser.derive().items()])
-        out = out.withColumn("_d", F.explode(F.array(values)))
-    return out.withColumn("_e", parser.build(raw, F.col("arrival_ts")))
+    out = lines
+    for i, stage in enumerate(parser.stages):
+        values = F.array(F.struct(*[c.alias(f"_{n}") for n, c in stage().items()]))
+        if i == 0 and guarded and parser.guard is not None:
+            values = F.when(parser.guard(raw()), values)
+        out = out.select("*", F.inline(values))
+    return out
 
 
 def parse(lines: DataFrame, parser: LineParser) -> DataFrame:
@@ -74,15 +86,18 @@ def parse(lines: DataFrame, parser: LineParser) -> DataFrame:
     The id is a hash of where the line stands, so a replay gives the same ids. Without a time in the line the event
     takes the arrival time.
     """
-    kept = parsed(lines, parser).filter(F.col("_e").isNotNull())
-    out = {f.name: F.col(f"_e.{f.name}") for f in PARSED.fields}
+    fields = parser.build()
+    ts = fields.get("ts", F.lit(None)).cast("timestamp_ntz")
+    fixed = {"category": F.lit("system"), "severity": F.lit("info"), "metadata": F.lit("{}")}
+    out = {**fixed, **fields}
     out.update(
         id=F.sha2(F.concat_ws("|", "host", "file_path", F.col("line_no").cast("string")), 256),
-        ts=F.coalesce(F.col("_e.ts"), F.col("arrival_ts")),
-        ts_parsed=F.col("_e.ts").isNotNull(),
+        ts=F.coalesce(F.col("_parsed_ts"), now()),
+        ts_parsed=F.col("_parsed_ts").isNotNull(),
         host=F.col("host"),
         source=F.col("source") if "source" in lines.columns else F.lit(parser.source),
-        raw_line=F.col("raw_line"),
+        raw_line=raw(),
         log_file=F.col("file_path"),
     )
-    return kept.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in EVENTS.fields])
+    kept = staged(lines, parser).filter(fields["keep"]).withColumn("_parsed_ts", ts)
+    return kept.select(*[out.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS.fields])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions.severity import DB_LEVELS
-from faultline.functions.text import capture, captured, clip, has, lookup, search
-from faultline.functions.times import ts_mysql
-from faultline.operators.parsers.base import LineParser, derived, event, groups
+from faultline.functions.text import captured, clip, group_columns, has, lookup, search
+from faultline.functions.times import iso_ts, short_parts, short_ts
+from faultline.operators.parsers.base import LineParser, Values, at, event, groups, named, raw
 from faultline.operators.sequence import fill_forward
 
 LONG = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)\s+(\d+)\s+\[(\w+)\]\s+(?:\[([^\]]*)\]\s+)?(.*)$"
@@ -21,57 +21,57 @@ REFUSED = "Too many connections|max_connections|Connection refused|Can't connect
 DENIED = r"(?i)Access denied for user '([^']+)'@'([^']+)'"
 
 
-def db_error_event(raw: Column, now: Column) -> Column:
-    l_time, _, l_level, code, _ = groups("long", 5)
-    s_time, s_level, _ = groups("short", 3)
-    level = F.lower(F.coalesce(l_level, s_level))
-    text, user, client = _text(), derived("denied_user"), derived("denied_host")
-    severity = (F.when(user.isNotNull(), "warning").when(derived("grave"), "critical")
-                .otherwise(lookup(DB_LEVELS, level, "info")))
-    message = F.when(
-        user.isNotNull(), F.concat(F.lit("MySQL access denied for '"), user, F.lit("'@'"), client, F.lit("'"))
-    ).otherwise(text)
-    return event(
-        level.isNotNull(),
-        ts=ts_mysql(F.coalesce(l_time, s_time)), category=F.lit("database"), severity=severity,
-        message=clip(message, 500), mysql_user=user, event_type=F.lit("db_error"),
-        metadata=F.to_json(F.struct(
-            level.alias("level"), F.coalesce(code, F.lit("")).alias("code"),
-            user.alias("mysql_user"), client.alias("mysql_host"))))
+def _error_captures() -> Values:
+    return {"long": captured(raw(), LONG, 5), "short": captured(raw(), SHORT, 3)}
+
 
+def _error_values() -> Values:
+    l_time, _, l_level, code, l_text = groups("long", 5)
+    s_time, s_level, s_text = groups("short", 3)
+    return {"level": F.lower(F.coalesce(l_level, s_level)), "text": F.coalesce(l_text, s_text), "l_time": l_time,
+            "code": F.coalesce(code, F.lit("")), "s_when": short_parts(s_time)}
 
-def _stage_error(raw: Column) -> dict[str, Column]:
-    return {"long": captured(raw, LONG, 5), "short": captured(raw, SHORT, 3)}
 
+def _error_words() -> Values:
+    return {"user": search(at("text"), DENIED, 1), "client": search(at("text"), DENIED, 2),
+            "grave": has(at("text"), f"{CRASH}|{REFUSED}")}
 
-def _text() -> Column:
-    return F.coalesce(groups("long", 5)[4], groups("short", 3)[2])
+
+def _error_event() -> Values:
+    user, level = at("user"), at("level")
+    message = F.when(
+        user.isNotNull(), F.concat(F.lit("MySQL access denied for '"), user, F.lit("'@'"), at("client"), F.lit("'"))
+    ).otherwise(at("text"))
+    return event(
+        level.isNotNull(),
+        ts=F.coalesce(short_ts(at("s_when")), iso_ts(at("l_time"))), category=F.lit("database"),
+        severity=F.when(user.isNotNull(), "warning").when(at("grave"), "critical").otherwise(lookup(DB_LEVELS, level, "info")),
+        message=clip(message, 500), mysql_user=user, event_type=F.lit("db_error"),
+        metadata=F.to_json(F.struct(level.alias("level"), at("code").alias("code"),
+                                    user.alias("mysql_user"), at("client").alias("mysql_host"))))
 
 
-def _derive_error() -> dict[str, Column]:
-    return {"denied_user": search(_text(), DENIED, 1), "denied_host": search(_text(), DENIED, 2),
-            "grave": has(_text(), f"{CRASH}|{REFUSED}")}
+def _slow_values() -> Values:
+    v = named("slow", "query", "lock", "sent", "examined")
+    return {"took": v["query"].try_cast("double"), "locked": v["lock"].try_cast("double"),
+            "sent": v["sent"].try_cast("long"), "examined": v["examined"].try_cast("long"),
+            "user": F.coalesce("q_user", F.lit("unknown"))}
 
 
-def slow_query_event(raw: Column, now: Column) -> Column:
-    """One ``# Query_time`` line. User, client host and address come from an earlier line of the same file."""
-    user = F.coalesce("q_user", F.lit("unknown"))
-    client, ip = F.coalesce("q_client", F.lit("")), F.coalesce("q_ip", F.lit(""))
-    query, lock, sent, examined = groups("slow", 4)
-    took = query.try_cast("double")
-    message = F.concat(
-        F.lit("Slow query ("), F.format_string("%.1f", took), F.lit("s) by user '"), user,
-        F.lit("': examined "), examined, F.lit(" rows, sent "), sent)
+def _slow_event() -> Values:
+    took = at("took")
     return event(
         took.isNotNull(),
         category=F.lit("database"),
         severity=F.when(took > 30, "critical").when(took > 10, "warning").otherwise("info"),
-        message=message, ip_address=ip, mysql_user=user, query_time=took, lock_time=lock.try_cast("double"),
-        rows_sent=sent.try_cast("long"), rows_examined=examined.try_cast("long"), event_type=F.lit("slow_query"),
+        message=F.format_string("Slow query (%.1fs) by user '%s': examined %d rows, sent %d", took, at("user"),
+                                at("examined"), at("sent")),
+        ip_address=F.coalesce("q_ip", F.lit("")), mysql_user=at("user"), query_time=took, lock_time=at("locked"),
+        rows_sent=at("sent"), rows_examined=at("examined"), event_type=F.lit("slow_query"),
         metadata=F.to_json(F.struct(
-            took.alias("query_time"), lock.try_cast("double").alias("lock_time"),
-            sent.try_cast("long").alias("rows_sent"), examined.try_cast("long").alias("rows_examined"),
-            user.alias("mysql_user"), client.alias("host"), F.lit("slow_query").alias("type"))))
+            took.alias("query_time"), at("locked").alias("lock_time"), at("sent").alias("rows_sent"),
+            at("examined").alias("rows_examined"), at("user").alias("mysql_user"),
+            F.coalesce("q_client", F.lit("")).alias("host"), F.lit("slow_query").alias("type"))))
 
 
 def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000) -> DataFrame:
@@ -79,17 +79,18 @@ def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000) -> Data
 
     Adds q_user, q_client, q_ip; User@Host lines themselves are gone from the result.
     """
-    heads = lines.filter(F.col("raw_line").startswith("# Query_time:") | F.col("raw_line").startswith("# User@Host:"))
-    user, client, ip = capture(F.col("raw_line"), SLOW_USER, 3)
+    heads = lines.filter(raw().startswith("# Query_time:") | raw().startswith("# User@Host:"))
+    user, client, ip = group_columns(captured(raw(), SLOW_USER, 3), 3)
     seen = heads.withColumn(
         "_seen", F.when(user.isNotNull(), F.struct(user.alias("u"), client.alias("c"), ip.alias("i"))))
     filled = fill_forward(seen, ["host", "file_path"], "line_no", "_seen", block_lines)
-    return (filled.filter(F.col("raw_line").startswith("# Query_time:"))
+    return (filled.filter(raw().startswith("# Query_time:"))
             .withColumn("q_user", F.col("_seen.u")).withColumn("q_client", F.col("_seen.c"))
             .withColumn("q_ip", F.col("_seen.i")).drop("_seen"))
 
 
-ERROR_LOG = LineParser("database", _stage_error, db_error_event, lambda raw: raw.rlike(r"^\d"), _derive_error)
+ERROR_LOG = LineParser("database", (_error_captures, _error_values, _error_words), _error_event,
+                       lambda line: line.rlike(r"^\d"))
 # Takes lines that went through with_slow_query_user.
-SLOW_LOG = LineParser("database", lambda raw: {"slow": captured(raw, SLOW, 4)}, slow_query_event,
-                      lambda raw: raw.startswith("# Query_time:"))
+SLOW_LOG = LineParser("database", (lambda: {"slow": captured(raw(), SLOW, 4)}, _slow_values), _slow_event,
+                      lambda line: line.startswith("# Query_time:"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from faultline.functions.severity import WEB_LEVELS
 from faultline.functions.text import captured, clip, contains_any, lookup, parse_size, search
-from faultline.functions.times import ts_access, ts_error
-from faultline.operators.parsers.base import LineParser, event, groups
+from faultline.functions.times import access_parts, access_ts, error_parts, error_ts, plain_ts
+from faultline.operators.parsers.base import LineParser, Values, at, either, event, groups, named, raw
 
 # Request paths that scanners look for, and the domain endings that count as a host name.
 SUSPICIOUS = (
@@ -46,60 +46,77 @@ def first_domain(text: Column) -> Column:
     return F.lower(search(text, rf"(?i)(?:(?:server|host|domain)[:\s]+)?(\S+\.(?:{TLDS})\b)"))
 
 
-def access_event(raw: Column, now: Column) -> Column:
-    ip, _, user, time, method, path, _, status_text, size, referer, agent = groups("access", 11)
-    status = status_text.try_cast("int")
-    probing = suspicious_path(path)
-    request = F.concat(method, F.lit(" "), path)
-    severity = (F.when(probing, "warning").when(status == 503, "critical")
-                .when(status >= 500, "warning").otherwise("info"))
-    message = (F.when(probing, F.concat(F.lit("Suspicious request: "), request, F.lit(" from "), ip))
-               .when(status >= 500, F.concat(F.lit("HTTP "), status_text, F.lit(" error: "), request))
-               .otherwise(F.concat(F.lit("HTTP "), status_text, F.lit(": "), request)))
-    metadata = F.to_json(F.struct(
-        method.alias("method"), path.alias("path"), status.alias("status_code"), parse_size(size).alias("size"),
-        agent.alias("user_agent"), referer.alias("referer"), user.alias("user")))
-    return event(
-        (status >= 500) | status.isin(401, 403),
-        ts=ts_access(time), category=F.when(probing, "security").otherwise("web"), severity=severity,
-        message=message, ip_address=ip, metadata=metadata, status_code=status, method=method, path=path,
-        size=parse_size(size), user_agent=agent, event_type=F.lit("access"))
+def _dated(line: Column) -> Column:
+    return F.substring(line, 5, 1) == "-"
 
 
-def error_event(raw: Column, now: Column) -> Column:
-    b_time, b_module, b_level, b_client, b_text = groups("bracketed", 5)
-    d_time, d_level, d_module, d_text = groups("dated", 4)
-    level = F.lower(F.coalesce(b_level, d_level))
-    text = F.coalesce(b_text, d_text)
-    metadata = F.to_json(F.struct(level.alias("level"), F.coalesce(b_module, d_module).alias("module")))
+def _maybe_access(line: Column) -> Column:
+    return line.rlike(ACCESS_GUARD)
+
+
+def _access_captures() -> Values:
+    return {"access": captured(raw(), ACCESS, 11)}
+
+
+def _access_values() -> Values:
+    v = named("access", "ip", "", "user", "time", "method", "path", "", "status", "size", "referer", "agent")
+    return {**v, "code": v["status"].try_cast("int"), "bytes": parse_size(v["size"]),
+            "lower_path": F.lower(v["path"]), "when": access_parts(v["time"])}
+
+
+def _access_class() -> Values:
+    return {"probing": contains_any(at("lower_path"), SUSPICIOUS), "request": F.concat(at("method"), F.lit(" "), at("path"))}
+
+
+def _access_event() -> Values:
+    code, probing, request = at("code"), at("probing"), at("request")
     return event(
-        level.isNotNull(),
-        ts=ts_error(F.coalesce(b_time, d_time)), category=F.lit("web"), severity=lookup(WEB_LEVELS, level, "info"),
-        message=clip(text, 500), ip_address=F.coalesce(first_ip(b_client), F.lit("")), domain=first_domain(text),
-        metadata=metadata, event_type=F.lit("web_error"))
+        (code >= 500) | code.isin(401, 403),
+        ts=access_ts(at("when")), category=F.when(probing, "security").otherwise("web"),
+        severity=F.when(probing, "warning").when(code == 503, "critical").when(code >= 500, "warning").otherwise("info"),
+        message=F.when(probing, F.concat(F.lit("Suspicious request: "), request, F.lit(" from "), at("ip")))
+                 .when(code >= 500, F.concat(F.lit("HTTP "), at("status"), F.lit(" error: "), request))
+                 .otherwise(F.concat(F.lit("HTTP "), at("status"), F.lit(": "), request)),
+        ip_address=at("ip"), status_code=code, method=at("method"), path=at("path"), size=at("bytes"),
+        user_agent=at("agent"), event_type=F.lit("access"),
+        metadata=F.to_json(F.struct(
+            at("method").alias("method"), at("path").alias("path"), code.alias("status_code"), at("bytes").alias("size"),
+            at("agent").alias("user_agent"), at("referer").alias("referer"), at("user").alias("user"))))
 
 
-def _stage_access(raw: Column) -> dict[str, Column]:
-    return {"access": captured(F.when(_maybe_access(raw), raw), ACCESS, 11)}
+def _error_captures() -> Values:
+    return {"bracketed": captured(F.when(raw().startswith("["), raw()), ERROR_BRACKETED, 5),
+            "dated": captured(F.when(_dated(raw()), raw()), ERROR_DATED, 4)}
 
 
-def _stage_error(raw: Column) -> dict[str, Column]:
-    return {"bracketed": captured(F.when(raw.startswith("["), raw), ERROR_BRACKETED, 5),
-            "dated": captured(F.when(_dated(raw), raw), ERROR_DATED, 4)}
+def _error_values() -> Values:
+    b_time, b_module, b_level, b_client, b_text = groups("bracketed", 5)
+    d_time, d_level, d_module, d_text = groups("dated", 4)
+    return {"level": F.lower(F.coalesce(b_level, d_level)), "module": F.coalesce(b_module, d_module),
+            "text": F.coalesce(b_text, d_text), "client": F.coalesce(first_ip(b_client), F.lit("")),
+            "b_when": error_parts(b_time), "any_time": F.coalesce(b_time, d_time)}
 
 
-def _dated(raw: Column) -> Column:
-    return F.substring(raw, 5, 1) == "-"
+def _error_event() -> Values:
+    level = at("level")
+    return event(
+        level.isNotNull(),
+        ts=F.coalesce(error_ts(at("b_when")), plain_ts(at("any_time"))), category=F.lit("web"),
+        severity=lookup(WEB_LEVELS, level, "info"), message=clip(at("text"), 500), ip_address=at("client"),
+        domain=first_domain(at("text")), event_type=F.lit("web_error"),
+        metadata=F.to_json(F.struct(level.alias("level"), at("module").alias("module"))))
 
 
-def _maybe_access(raw: Column) -> Column:
-    return raw.rlike(ACCESS_GUARD)
+def _error_guard(line: Column) -> Column:
+    return line.startswith("[") | _dated(line)
 
 
-ACCESS_LOG = LineParser("web", _stage_access, access_event, _maybe_access)
-ERROR_LOG = LineParser("web", _stage_error, error_event, lambda raw: raw.startswith("[") | _dated(raw))
+ACCESS_LOG = LineParser("web", (_access_captures, _access_values, _access_class), _access_event, _maybe_access)
+ERROR_LOG = LineParser("web", (_error_captures, _error_values), _error_event, _error_guard)
 # Either kind of line; the shapes exclude each other.
 WEB = LineParser(
-    "web", lambda raw: {**_stage_access(raw), **_stage_error(raw)},
-    lambda raw, now: F.coalesce(access_event(raw, now), error_event(raw, now)),
-    lambda raw: raw.startswith("[") | _dated(raw) | _maybe_access(raw))
+    "web",
+    (lambda: {"access": captured(F.when(_maybe_access(raw()) & ~raw().startswith("#"), raw()), ACCESS, 11), **_error_captures()},
+     lambda: {**_access_values(), **_error_values()}, _access_class),
+    lambda: either(_access_event(), _error_event()),
+    lambda line: _error_guard(line) | _maybe_access(line))
