@@ -214,7 +214,8 @@ ccand as (select c.host, c.win_start + interval 86400 seconds as ts, 'corr_' ||
 @query("incident_from_correlation", f"with {_CORR} select * exclude (id) from ccand")
 def _(spark, d):
     ev = events(spark, d)
-    found = correlate.with_evidence(correlate.correlate_all(ev, DAY), ev, DAY)
+    cooled = incidents.cool_correlations(correlate.correlate_all(ev, DAY), ONE_DAY)
+    found = correlate.with_evidence(cooled, ev, DAY)
     return incidents.incidents_from_correlations(found, ONE_DAY).select(
         "host", "ts", "rule_id", "fingerprint", "severity", "category", "affected_account", "affected_ip", "confidence_score", "summary", "occurrence_count")
 

@@ -188,7 +188,10 @@ def with_inputs(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. One of a single row group would be read by one task; such a small one is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,7 +200,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = sorted({t for n in needs for t in TABLES if re.search(rf"\bfrom\s+{t}\b", INPUTS[n])})
     ctes = [f"{n} as ({_dialect(INPUTS[n], 0)})" for n in needs]
     for t in used:
-        ctes.insert(0, f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)")
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql("with " + ",\n".join(ctes) + f"\nselect * from {name}")
 
 

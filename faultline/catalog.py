@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from faultline.schemas import S
 
@@ -236,13 +236,22 @@ SOURCE_SCHEMA = T.StructType([
 ])
 
 
+def literal_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """Rows as literals inside the plan.
+
+    The planner sees how small they are and broadcasts them by itself; a frame made from a Python list is an RDD of
+    unknown size to it, and it would rather broadcast or shuffle the other side.
+    """
+    structs = [F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
-    names = schema.fieldNames()
-    return spark.createDataFrame([tuple(asdict(r)[n] for n in names) for r in rows], schema)
+    return literal_frame(spark, [asdict(r) for r in rows], schema)
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    """The rule catalogue as a DataFrame; built from a driver-side list, so its size is known to the planner."""
+    """The rule catalogue as a DataFrame."""
     return _frame(spark, rules, RULE_SCHEMA)
 
 

@@ -55,17 +55,24 @@ def incidents_from_events(events: DataFrame, rules: DataFrame, cfg: IncidentConf
         (F.col("n") - 1).alias("suppressed_count"))
 
 
-def incidents_from_correlations(correlations: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
-    """New incidents ``corr_<pattern>`` from correlations that carry events and evidence (see with_evidence)."""
+def cool_correlations(correlations: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
+    """Correlations that pass the cooldown of their fingerprint, with rule_id, fingerprint and n.
+
+    Done before evidence is gathered, so that only correlations which become incidents need any.
+    """
     rule_id = F.concat(F.lit("corr_"), F.col("pattern"))
     keyed = (correlations
              .withColumn("rule_id", rule_id)
              .withColumn("fingerprint", fingerprint(rule_id, F.col("account"), F.col("ip"), F.col("category")))
-             .withColumnRenamed("win_end", "ts")
-             .withColumn("id", F.sha2(F.concat_ws("|", "host", "fingerprint", F.col("ts").cast("string"), "type"), 256)))
-    kept = cooldown(keyed.select(*DEDUP_KEYS, "ts", "id"), DEDUP_KEYS, cfg.cooldown_s)
-    chosen = keyed.join(kept.select(*DEDUP_KEYS, "id", "n"), [*DEDUP_KEYS, "id"])
-    texts = pattern_texts_frame(correlations.sparkSession).withColumnRenamed("severity", "text_severity")
+             .withColumn("_id", F.sha2(F.concat_ws("|", "host", "fingerprint", F.col("win_end").cast("string"), "type"), 256)))
+    kept = cooldown(keyed.select(*DEDUP_KEYS, F.col("win_end").alias("ts"), F.col("_id").alias("id")), DEDUP_KEYS, cfg.cooldown_s)
+    return keyed.join(kept.select(*DEDUP_KEYS, F.col("id").alias("_id"), "n"), [*DEDUP_KEYS, "_id"]).drop("_id")
+
+
+def incidents_from_correlations(cooled: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
+    """Incidents ``corr_<pattern>`` from the result of cool_correlations with its evidence (see with_evidence)."""
+    chosen = cooled.withColumnRenamed("win_end", "ts")
+    texts = pattern_texts_frame(cooled.sparkSession).withColumnRenamed("severity", "text_severity")
     chosen = chosen.join(texts, "pattern", "left")
     names = F.array_sort(F.map_keys("categories"))
     values = {
