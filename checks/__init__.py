@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("parsing", "reading", "correlating", "detecting", "keeping", "scalars")
+MODULES = ("parsing", "reading", "correlating", "detecting", "keeping", "scalars", "streams")
 
 
 def all_queries():

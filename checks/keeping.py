@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from checks.inputs import as_of, derived, events
 from checks.registry import query
 from faultline.config import TIERED_RETENTION, Retention
+from faultline.lineage import scratch_dir
 from faultline.operators import lifecycle, metrics
 
 _LAST_ACTION = """with legal as (select *, replace(action, 'update_incident_', '') as st from acts where target_type = 'incident'
@@ -84,7 +83,7 @@ def _(spark, d):
 @query("export_json", """select id, state, cast(epoch_us(ts) // 1000 as bigint) as ts_ms, list_extract(source_evidence, 1) as first_evidence from inc where state = 'new' order by ts desc, id desc limit 10000""")
 def _(spark, d):
     """Written as JSON lines and read back; the files keep milliseconds."""
-    out = tempfile.mkdtemp(prefix="faultline-json-")
+    out = scratch_dir(spark, "json")
     lifecycle.export_json(derived(spark, d, "inc"), out, state="new")
     back = spark.read.schema("id string, state string, ts timestamp_ntz, source_evidence array<string>").json(out)
     from faultline.functions.times import cell_of, epoch_us
@@ -112,7 +111,7 @@ def _(spark, d):
 def _(spark, d):
     """Events written in day partitions and read back."""
     from faultline.sources.tables import read_events
-    out = tempfile.mkdtemp(prefix="faultline-events-")
+    out = scratch_dir(spark, "events")
     lifecycle.write_table(events(spark, d), out)
     stored = read_events(spark, out)
     return stored.groupBy(F.to_date("ts").alias("event_date"), "category").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
@@ -122,7 +121,7 @@ def _(spark, d):
   case when ts >= timestamp '2024-01-15' then 'x' else '' end as recommended_action, false as suppressed from inc""")
 def _(spark, d):
     """Old files lack two columns and new ones add them; the reader fills defaults."""
-    out = tempfile.mkdtemp(prefix="faultline-evolve-")
+    out = scratch_dir(spark, "evolve")
     inc = derived(spark, d, "inc")
     late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
     inc.filter(~late).select("id").write.mode("append").parquet(out)

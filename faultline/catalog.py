@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -237,13 +238,13 @@ SOURCE_SCHEMA = T.StructType([
 
 
 def literal_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
-    """Rows as literals inside the plan.
+    """Rows as one literal inside the plan.
 
     The planner sees how small they are and broadcasts them by itself; a frame made from a Python list is an RDD of
     unknown size to it, and it would rather broadcast or shuffle the other side.
     """
-    structs = [F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    literal = F.from_json(F.lit(json.dumps(rows)), T.ArrayType(schema))
+    return spark.range(1).select(F.inline(literal))
 
 
 def _frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:

@@ -1,26 +1,31 @@
-"""Cutting lineage on reliable storage."""
+"""Folders that all executors reach, and cutting lineage there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; only a local session may fall back to a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the session names; only a local session may fall back to a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="faultline-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="faultline-")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path for files of one run."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
