@@ -207,8 +207,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The input ``ev`` as an event table."""
     ev = derived(spark, sf_dir, "ev")
-    return ev.select(*[(F.col(f.name) if f.name in ev.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in EVENTS.fields], "k", "user_id", "value")
+    return ev.selectExpr(*[f"cast({f.name if f.name in ev.columns else 'null'} as {f.dataType.simpleString()}) as {f.name}"
+                           for f in EVENTS.fields], "k", "user_id", "value")
 
 
 def as_of(df: DataFrame) -> object:

@@ -8,6 +8,7 @@ from checks.inputs import derived
 from checks.registry import query
 from faultline.catalog import CORE_SOURCES, sources_frame
 from faultline.functions.text import version_number
+from faultline.lineage import scratch_dir
 from faultline.operators.parsers import database, panel, router, web
 from faultline.operators.parsers.base import parse
 from faultline.sources import lines as log_lines
@@ -316,9 +317,16 @@ _KEPT_SQL = """
   union all select 'wptoolkit', count(*) from kit_lines where raw_line <> 'tick'"""
 
 
+def _stored_lines(spark, d):
+    """All lines stored by log name, the layout a fleet's lines are kept in."""
+    path = scratch_dir(spark, "lines")
+    router.write_lines(derived(spark, d, "all_lines"), path)
+    return spark.read.parquet(path)
+
+
 @query("parse_all", f"select log_name, n from ({_KEPT_SQL}) where n > 0")
 def _(spark, d):
-    events = router.parse_all(derived(spark, d, "all_lines"))
+    events = router.parse_all(_stored_lines(spark, d))
     return (events.groupBy(F.split_part("log_file", F.lit("/"), F.lit(4)).alias("log_name"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -326,7 +334,7 @@ def _(spark, d):
 @query("parse_quality", f"""with kept as ({_KEPT_SQL}), seen as (select log_name, count(*) as lines from all_lines group by all)
 select s.log_name, s.lines, k.n as parsed, s.lines - k.n as dropped from seen s join kept k on s.log_name = k.log_name""")
 def _(spark, d):
-    return router.parse_quality(derived(spark, d, "all_lines")).drop("parser")
+    return router.parse_quality(_stored_lines(spark, d)).drop("parser")
 
 
 @query("event_defaults", f"""select {ID} as id, arrival_ts as ts, false as ts_parsed, 'security' as source, '/var/log/csf_log/' || split_part(file_path, '/', 5) as log_file

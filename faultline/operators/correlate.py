@@ -16,9 +16,9 @@ _TEXT = "string"
 
 
 def _counters() -> list[Column]:
-    cats = [F.count_if(F.col("category") == c).alias(f"c_{c}") for c in CATEGORIES]
-    sevs = [F.count_if(F.col("severity") == s).alias(f"s_{s}") for s in SEVERITIES]
-    return [F.count(F.lit(1)).alias("event_count"), *cats, *sevs]
+    cats = [f"count_if(category = '{c}') as c_{c}" for c in CATEGORIES]
+    sevs = [f"count_if(severity = '{s}') as s_{s}" for s in SEVERITIES]
+    return [F.expr(e) for e in ("count(1) as event_count", *cats, *sevs)]
 
 
 _COUNTER_NAMES = ["event_count", *[f"c_{c}" for c in CATEGORIES], *[f"s_{s}" for s in SEVERITIES]]
@@ -34,7 +34,7 @@ def window_counts(events: DataFrame, key: str, cfg: CorrelationConfig) -> DataFr
         panes = present.groupBy("host", key, F.window("ts", f"{cfg.slide_s} seconds").alias("pane")).agg(*_counters())
         counted = panes if cfg.window_s == cfg.slide_s else (
             panes.withColumn("w", F.window("pane.start", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds"))
-            .groupBy("host", key, "w").agg(*[F.sum(n).alias(n) for n in _COUNTER_NAMES]))
+            .groupBy("host", key, "w").agg(*[F.expr(f"sum({n}) as {n}") for n in _COUNTER_NAMES]))
         counted = counted.withColumnRenamed("pane", "w")
     return counted.select(
         "host", key, F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *_COUNTER_NAMES)
@@ -42,8 +42,9 @@ def window_counts(events: DataFrame, key: str, cfg: CorrelationConfig) -> DataFr
 
 def _count_map(names: tuple[str, ...], prefix: str) -> Column:
     """name -> count, without the names that never occurred."""
-    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"{prefix}_{n}") for n in names]))
-    return F.map_filter(pairs, lambda _, n: n > 0)
+    words = ", ".join(f"'{n}'" for n in names)
+    counts = ", ".join(f"{prefix}_{n}" for n in names)
+    return F.expr(f"map_filter(map_from_arrays(array({words}), array({counts})), (name, n) -> n > 0)")
 
 
 def _capped(n: Column, full: int) -> Column:
@@ -89,7 +90,7 @@ def correlate_domain(events: DataFrame, cfg: CorrelationConfig = CorrelationConf
 
 def correlate_account(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     counts = window_counts(events, "account", cfg).filter(F.col("event_count") >= cfg.account_min_events)
-    active = sum((F.col(f"c_{c}") >= cfg.account_category_min).cast("int") for c in CATEGORIES)
+    active = F.expr(" + ".join(f"int(c_{c} >= {cfg.account_category_min})" for c in CATEGORIES))
     warnings = F.col("s_warning") + F.col("s_critical")
     multi = (active >= cfg.account_active_categories) & (warnings >= cfg.account_warnings_min)
     database = F.col("c_database") >= cfg.database_min

@@ -57,8 +57,9 @@ def threshold_events(snapshots: DataFrame, limits: Thresholds = Thresholds()) ->
         "raw_line": F.lit(""), "hostname": F.lit(""), "log_file": F.lit(""), "ts_parsed": F.lit(True),
         "metadata": F.to_json(F.struct("metric", "value")), "event_type": F.lit("resource"),
     }
-    return threshold_rows(snapshots, limits).select(
-        *[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
+    rows = threshold_rows(snapshots, limits).select(*[c.alias(n) for n, c in made.items()])
+    return rows.selectExpr(*[f"cast({f.name if f.name in made else 'null'} as {f.dataType.simpleString()}) as {f.name}"
+                             for f in EVENTS.fields])
 
 
 def service_health(probes: DataFrame) -> DataFrame:

@@ -87,17 +87,19 @@ def parse(lines: DataFrame, parser: LineParser) -> DataFrame:
     takes the arrival time.
     """
     fields = parser.build()
-    ts = fields.get("ts", F.lit(None)).cast("timestamp_ntz")
-    fixed = {"category": F.lit("system"), "severity": F.lit("info"), "metadata": F.lit("{}")}
-    out = {**fixed, **fields}
-    out.update(
-        id=F.sha2(F.concat_ws("|", "host", "file_path", F.col("line_no").cast("string")), 256),
-        ts=F.coalesce(F.col("_parsed_ts"), now()),
-        ts_parsed=F.col("_parsed_ts").isNotNull(),
-        host=F.col("host"),
-        source=F.col("source") if "source" in lines.columns else F.lit(parser.source),
-        raw_line=raw(),
-        log_file=F.col("file_path"),
-    )
-    kept = staged(lines, parser).filter(fields["keep"]).withColumn("_parsed_ts", ts)
-    return kept.select(*[out.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
+    keep = fields.pop("keep")
+    fields = {f"e_{n}": c for n, c in fields.items()}
+    place = {
+        "id": "sha2(concat_ws('|', host, file_path, cast(line_no as string)), 256)",
+        "ts": "coalesce(e_ts, arrival_ts)" if "e_ts" in fields else "arrival_ts",
+        "ts_parsed": "e_ts is not null" if "e_ts" in fields else "false",
+        "host": "host", "raw_line": "raw_line", "log_file": "file_path",
+        "source": "source" if "source" in lines.columns else f"'{parser.source}'",
+    }
+    missing = {"category": "'system'", "severity": "'info'", "metadata": "'{}'"}
+
+    def text(name: str) -> str:
+        return place.get(name) or (f"e_{name}" if f"e_{name}" in fields else missing.get(name, "null"))
+
+    kept = staged(lines, parser).filter(keep).withColumns(fields)
+    return kept.selectExpr(*[f"cast({text(f.name)} as {f.dataType.simpleString()}) as {f.name}" for f in EVENTS.fields])
