@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultline.functions.times import clock
 from faultline.schemas import EVENTS
 
 # mark: (Spark spelling, DuckDB spelling)
@@ -213,4 +214,4 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of(df: DataFrame) -> object:
     """Newest event time, the stand-in for "now" (one small aggregate)."""
-    return F.lit(df.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    return clock(df.agg(F.max("ts")).first()[0])

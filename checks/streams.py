@@ -8,7 +8,7 @@ from checks.correlating import DAY, all_sql, as_text, entity_sql
 from checks.detecting import _CAND, _HOST_RATE, _candidates, cooled
 from checks.inputs import as_of, derived, events
 from checks.registry import query
-from faultline.functions.times import epoch_us, from_epoch_us
+from faultline.functions.times import epoch_us, from_epoch_us, naive
 from faultline.lineage import scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
@@ -59,7 +59,7 @@ def _(spark, d):
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("type", "pattern", ingest.naive(F.col("win_start")).alias("win_start"), "host", "ip", "account", "domain", "category",
+    return df.select("type", "pattern", naive(F.col("win_start")).alias("win_start"), "host", "ip", "account", "domain", "category",
                      "event_count", "confidence", as_text("categories").alias("categories"), "critical_count", "warning_count")
 
 

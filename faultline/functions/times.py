@@ -81,14 +81,28 @@ def iso_ts(text: Column) -> Column:
 
 
 def epoch_us(ts: Column) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ, free of any session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970 of a TIMESTAMP_NTZ.
+
+    By way of an interval: timestamp_diff would read the clock time in the session's zone.
+    """
+    since = (ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def from_epoch_us(us: Column) -> Column:
     return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def clock(value) -> Column:
+    """A literal TIMESTAMP_NTZ from text or a naive datetime (F.lit of a datetime would read it in a zone)."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
+def naive(instant: Column) -> Column:
+    """The UTC clock time of a TIMESTAMP as TIMESTAMP_NTZ."""
+    return from_epoch_us(F.unix_micros(instant))
+
+
 def cell_of(us: Column, width_us: int) -> Column:
     """Number of the ``width_us`` wide cell (counted from 1970) that holds ``us``; exact integer division."""
     return F.call_function("div", us - F.pmod(us, F.lit(width_us)), F.lit(width_us))

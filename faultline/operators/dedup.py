@@ -1,6 +1,7 @@
 """Fingerprints, cooldown, rate limit and lockout.
 
-Cooldown and rate limit are greedy: whether a row counts depends on which rows counted before it. Groups are
+Cooldown and rate limit are greedy: whether a row counts depends on which rows counted before it (key columns must not
+be called t, id, n, cell, run or part, the names used on the way). Groups are
 first reduced exactly, then folded as arrays while they are small. Larger groups are cut where a gap in time makes
 the past irrelevant, and runs without such a gap take a way that never puts a whole run into one task.
 """
@@ -31,9 +32,9 @@ def fingerprint(rule_id: Column, account: Column, ip: Column, category: Column,
 
 def _fold_cooldown(groups: DataFrame, by: list[str], keys: list[str], gap: int) -> DataFrame:
     """Greedy fold of each group's sorted points: a point at least ``gap`` after the last kept one is kept."""
-    folded = groups.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "id", "n"))).alias("p"))
+    folded = groups.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "id", "n"))).alias("_p"))
     point = "struct<t:bigint,id:string,n:bigint>"
-    start = F.struct(F.array().cast(f"array<{point}>").alias("done"), F.try_element_at("p", F.lit(1)).alias("cur"))
+    start = F.struct(F.array().cast(f"array<{point}>").alias("done"), F.try_element_at("_p", F.lit(1)).alias("cur"))
 
     def step(acc: Column, x: Column) -> Column:
         cur = acc["cur"]
@@ -44,9 +45,9 @@ def _fold_cooldown(groups: DataFrame, by: list[str], keys: list[str], gap: int)
         ).otherwise(F.struct(acc["done"].alias("done"), grown.alias("cur")))
 
     kept = F.aggregate(
-        F.slice("p", F.lit(2), F.size("p")), start, step,
+        F.slice("_p", F.lit(2), F.size("_p")), start, step,
         lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    return folded.select(*by, F.explode(kept).alias("k")).select(*keys, "k.t", "k.id", "k.n")
+    return folded.select(*by, F.explode(kept).alias("_k")).select(*keys, "_k.t", "_k.id", "_k.n")
 
 
 def _runs(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -109,14 +110,14 @@ def _chain_cooldown(points: DataFrame, runs: DataFrame, keys: list[str], gap: in
         return points.select(*keys, "t", "id", "n").limit(0)
     kept = _chase(_next_points(points, runs, by, gap), starts, by, longest + 1)
     # the kept point that covers a point lies in the same cell or the one before
-    marks = kept.withColumn("_k", F.lit(True))
+    marks = kept.withColumn("_hit", F.lit(True))
     flagged = points.join(marks, [*by, "t"], "left")
     spread = flagged.withColumn("home", F.explode(F.when(
-        F.col("_k").isNotNull(), F.array(F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))))
+        F.col("_hit").isNotNull(), F.array(F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))))
     back = Window.partitionBy(*by, "home").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    covered = spread.withColumn("kept_t", F.last(F.when(F.col("_k"), F.col("t")), ignorenulls=True).over(back))
+    covered = spread.withColumn("kept_t", F.last(F.when(F.col("_hit"), F.col("t")), ignorenulls=True).over(back))
     counts = covered.filter(F.col("home") == F.col("cell")).groupBy(*by, F.col("kept_t").alias("t")).agg(F.sum("n").alias("n"))
-    ids = flagged.filter("_k").select(*by, "t", "id")
+    ids = flagged.filter("_hit").select(*by, "t", "id")
     return ids.join(counts, [*by, "t"]).select(*keys, "t", "id", "n")
 
 
@@ -181,9 +182,9 @@ def _accept(times: Column, seed: Column, limit: int, window: int) -> Column:
 
 
 def _fold_rate(rows: DataFrame, by: list[str], limit: int, window: int) -> DataFrame:
-    grouped = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("p"))
+    grouped = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("_p"))
     seed = F.array().cast("array<bigint>")
-    return grouped.select(*by, F.explode(_accept(F.col("p"), seed, limit, window)["ok"]).alias("k"))
+    return grouped.select(*by, F.explode(_accept(F.col("_p"), seed, limit, window)["ok"]).alias("_k"))
 
 
 def _replay_rate(rows: DataFrame, keys: list[str], limit: int, window: int, slice_rows: int) -> DataFrame:
@@ -195,14 +196,14 @@ def _replay_rate(rows: DataFrame, keys: list[str], limit: int, window: int, slic
     live = accepted = None
     for part in range((rows.agg(F.max("part")).first()[0] or 0) + 1):
         grouped = (rows.filter(F.col("part") == part).groupBy(*keys)
-                   .agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("p")))
+                   .agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("_p")))
         empty = F.array().cast("array<bigint>")
         if live is None:
             seeded = grouped.withColumn("seed", empty)
         else:
             seeded = grouped.join(live, keys, "left").withColumn("seed", F.coalesce("seed", empty))
-        done = cut(seeded.select(*keys, _accept(F.col("p"), F.col("seed"), limit, window).alias("r")))
-        ok = done.select(*keys, F.explode("r.ok").alias("k"))
+        done = cut(seeded.select(*keys, _accept(F.col("_p"), F.col("seed"), limit, window).alias("r")))
+        ok = done.select(*keys, F.explode("r.ok").alias("_k"))
         accepted = ok if accepted is None else accepted.unionByName(ok)
         now_live = done.select(*keys, F.col("r.live").alias("seed"))
         live = now_live if live is None else cut(
@@ -230,7 +231,7 @@ def rate_limit(rows: DataFrame, keys: list[str], limit: int = 10, window_s: int
         by = [*keys, "run"]
         passed = _fold_rate(marked.filter(F.col("run_rows") <= max_fold), by, limit, window).unionByName(
             _replay_rate(marked.filter(F.col("run_rows") > max_fold).drop("run_rows"), by, limit, window, max_fold))
-    return passed.select(*keys, from_epoch_us(F.col("k.t")).alias("ts"), F.col("k.id").alias("id"))
+    return passed.select(*keys, from_epoch_us(F.col("_k.t")).alias("ts"), F.col("_k.id").alias("id"))
 
 
 # -- lockout -----------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions.times import epoch_us
+from faultline.functions.times import clock, epoch_us
 from faultline.schemas import ACTIVE_STATES, SEVERITIES
 
 HOUR_US = 3600 * 1_000_000
@@ -26,13 +26,13 @@ def filter_events(events: DataFrame, source=None, category=None, severity=None,
     out = _matching(events, dict(source=source, category=category, severity=severity, account=account,
                                  ip_address=ip_address, domain=domain))
     if since is not None:
-        out = out.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    return out if until is None else out.filter(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+        out = out.filter(F.col("ts") >= clock(since))
+    return out if until is None else out.filter(F.col("ts") <= clock(until))
 
 
 def filter_incidents(incidents: DataFrame, state=None, severity=None, category=None, since=None) -> DataFrame:
     out = _matching(incidents, dict(state=state, severity=severity, category=category))
-    return out if since is None else out.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return out if since is None else out.filter(F.col("ts") >= clock(since))
 
 
 def filter_alerts(alerts: DataFrame, severity=None, acknowledged: bool | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def page(df: DataFrame, table: str, limit: int = 100, offset: int = 0) -> DataFr
 
 def page_after(df: DataFrame, table: str, last_ts, last_id, limit: int = 100) -> DataFrame:
     """Page that follows a known last row; deep pages then cost no more than the first."""
-    ts = F.lit(last_ts).cast("timestamp_ntz")
+    ts = clock(last_ts)
     older = df.filter((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("id") < F.lit(last_id))))
     return page(older, table, limit)
 
