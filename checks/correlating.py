@@ -9,6 +9,7 @@ from checks.registry import query
 from faultline.catalog import COUNT_LIMITS, PATTERNS
 from faultline.config import CorrelationConfig
 from faultline.functions.times import epoch_us
+from faultline.lineage import cut
 from faultline.operators import correlate
 from faultline.operators.sequence import trailing_count
 
@@ -118,7 +119,7 @@ def _evidence_sql(kind: str, name: str, key: str, w: int, s: int) -> str:
 
 def _evidence(spark, d, find, name, cfg):
     ev = events(spark, d)
-    out = correlate.with_evidence(find(ev, cfg), ev, cfg)
+    out = correlate.with_evidence(cut(find(ev, cfg)), ev, cfg)
     return out.select("type", "pattern", "win_start", "host", F.col(name).alias("entity"),
                       F.array_join(F.transform("events", lambda e: e["id"]), ",").alias("ids"),
                       F.array_join("evidence", "|").alias("evidence"))

@@ -141,7 +141,7 @@ select case when c > 0 or cpu_percent > 95 or memory_percent > 95 or disk_percen
 
 @query("server_health", _HEALTH)
 def _(spark, d):
-    row = views.alert_stats(derived(spark, d, "al")).crossJoin(views.latest_gauges(derived(spark, d, "snap")))
+    row = views.one_row(views.alert_stats(derived(spark, d, "al")), views.latest_gauges(derived(spark, d, "snap")))
     return row.select(views.server_health().alias("server_health"), "cpu_percent", "memory_percent", "disk_percent")
 
 

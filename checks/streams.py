@@ -93,7 +93,7 @@ def _(spark, d):
     ingest.start_late_split(stream, good, late, scratch_dir(spark, "late-state"), delay_s=60).awaitTermination()
     n_late = spark.read.schema("id string").parquet(late).agg(F.count(F.lit(1)).alias("rows_late"))
     n_good = spark.read.schema("id string").parquet(good).agg(F.count(F.lit(1)).alias("g"))
-    return n_good.crossJoin(n_late).select((F.col("g") + F.col("rows_late")).alias("rows_total"), "rows_late")
+    return read_views.one_row(n_good, n_late).select((F.col("g") + F.col("rows_late")).alias("rows_total"), "rows_late")
 
 
 @query("stream_cooldown", f"with recursive cand as ({_CAND}), {cooled('cand', 43200)} select host, fingerprint, ts, id from kept")

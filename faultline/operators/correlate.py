@@ -13,6 +13,7 @@ from faultline.config import CorrelationConfig
 from faultline.schemas import CATEGORIES, SEVERITIES
 
 _TEXT = "string"
+_SALTS = 16  # parts into which the events of one key and pane are spread
 
 
 def _counters() -> list[Column]:
@@ -122,28 +123,40 @@ _KEY_OF = {"ip_correlation": ("ip_address", "ip"), "account_correlation": ("acco
 
 
 def _first_events(events: DataFrame, found: DataFrame, key: str, name: str, cfg: CorrelationConfig) -> DataFrame:
+    """The first events of each found window as one short array.
+
+    Only events in the panes of a found window are looked at. They are matched and ranked per pane and salt, so even
+    one pane of one hot key is shared by several tasks; the first 20 of a window are among the first 20 of those parts.
+    """
     wanted = found.select("host", F.col(name).alias(key), "win_start")
-    slim = events.filter(F.col(key).isNotNull()).select(
-        "host", key, "ts", "id", "category", "log_file", F.substring("raw_line", 1, cfg.evidence_chars).alias("line"))
-    slim = slim.join(wanted.select("host", key).distinct(), ["host", key], "left_semi")
-    # the first 20 of a window are among the first 20 of its panes
-    slim = slim.withColumn("pane", F.window("ts", f"{cfg.slide_s} seconds")["start"])
-    in_pane = Window.partitionBy("host", key, "pane").orderBy("ts", "id")
-    slim = slim.withColumn("_rn", F.row_number().over(in_pane)).filter(F.col("_rn") <= cfg.keep_events).drop("_rn")
-    if cfg.window_s == cfg.slide_s:
-        spread = slim.withColumnRenamed("pane", "win_start")
-    else:
-        spread = slim.withColumn("win_start", F.window("pane", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds")["start"])
-    in_window = Window.partitionBy("host", key, "win_start").orderBy("ts", "id")
-    first = (spread.join(wanted, ["host", key, "win_start"])
-             .withColumn("_rn", F.row_number().over(in_window)).filter(F.col("_rn") <= cfg.keep_events))
+    pane_of, window_of = f"{cfg.slide_s} seconds", f"{cfg.window_s} seconds"
+    offsets = F.sequence(F.lit(0), F.lit(cfg.window_s // cfg.slide_s - 1))
+    panes = (wanted.withColumn("_i", F.explode(offsets))
+             .withColumn("pane", F.col("win_start") + F.make_dt_interval(secs=F.col("_i") * cfg.slide_s))
+             .select("host", key, "pane").distinct()
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
+    slim = events.select(
+        "host", key, "ts", "id", "category", "log_file", F.substring("raw_line", 1, cfg.evidence_chars).alias("line"),
+        F.window("ts", pane_of)["start"].alias("pane"), F.pmod(F.hash("id"), F.lit(_SALTS)).alias("_salt"))
+    part = ["host", key, "pane", "_salt"]
+
+    def first(df: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("ts", "id")
+        return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cfg.keep_events)
+
+    ranked = first(slim.join(panes, part, "left_semi"), part).drop("_rn", "_salt")
+    spread = ranked.withColumn("win_start", F.window("pane", window_of, pane_of)["start"])
+    top = first(spread.join(wanted, ["host", key, "win_start"]), ["host", key, "win_start"])
     listed = F.sort_array(F.collect_list(F.struct("_rn", "ts", "id", "category", "log_file", "line")))
-    return first.groupBy("host", F.col(key).alias(name), "win_start").agg(listed.alias("_l"))
+    return top.groupBy("host", F.col(key).alias(name), "win_start").agg(listed.alias("_l"))
 
 
 def with_evidence(correlations: DataFrame, events: DataFrame, cfg: CorrelationConfig = CorrelationConfig(),
                   kinds: tuple[str, ...] = ("ip_correlation", "account_correlation", "category_spike")) -> DataFrame:
-    """Adds ``events`` (first 20 by time and id) and ``evidence`` (first 5 raw lines, cut) to each correlation."""
+    """Adds ``events`` (first 20 by time and id) and ``evidence`` (first 5 raw lines, cut) to each correlation.
+
+    Correlations are read several times per kind; hand in a stored or checkpointed table.
+    """
     out = None
     for kind in kinds:
         key, name = _KEY_OF[kind]

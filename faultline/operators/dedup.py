@@ -16,7 +16,8 @@ from faultline.lineage import cut
 from faultline.operators.sequence import time_cells
 
 US = 1_000_000
-MAX_FOLD = 200_000  # rows folded as one array
+MAX_FOLD = 50_000  # rows folded as one array
+MAX_DIRECT = 5_000  # rows of a key up to which it is not even looked at for pauses
 
 
 def fingerprint(rule_id: Column, account: Column, ip: Column, category: Column, extra: Column | None = None) -> Column:
@@ -133,7 +134,7 @@ def cooldown(candidates: DataFrame, keys: list[str], cooldown_s: int = 300, max_
                  .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
                  .withColumn("cell", cell_of(F.col("t"), gap)))
     largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_fold:
+    if largest <= min(max_fold, MAX_DIRECT):
         kept = _fold_cooldown(points, keys, keys, gap)
     else:
         runs = cut(_runs(points, keys, gap))
@@ -151,13 +152,11 @@ def with_reset_epoch(candidates: DataFrame, resets: DataFrame, key: str) -> Data
     """
     one = (resets.filter(F.col(key).isNotNull()).groupBy(key)
            .agg(F.collect_list("reset_ts").alias("_own")))
-    every = resets.filter(F.col(key).isNull()).agg(F.collect_list("reset_ts").alias("_all"))
-
-    def before(times: str) -> Column:
-        return F.size(F.filter(F.coalesce(F.col(times), F.array().cast("array<timestamp_ntz>")), lambda r: r <= F.col("ts")))
-
-    return (candidates.join(one, key, "left").crossJoin(every)
-            .withColumn("reset_epoch", before("_own") + before("_all")).drop("_own", "_all"))
+    every = resets.filter(F.col(key).isNull()).agg(F.collect_list("reset_ts")).scalar()
+    none = F.array().cast("array<timestamp_ntz>")
+    seen = F.concat(F.coalesce("_own", none), F.coalesce("_all", none))
+    return (candidates.join(one, key, "left").withColumn("_all", every)
+            .withColumn("reset_epoch", F.size(F.filter(seen, lambda r: r <= F.col("ts")))).drop("_own", "_all"))
 
 
 def active_cooldowns(kept: DataFrame, keys: list[str], as_of: Column, cooldown_s: int = 300) -> DataFrame:
@@ -223,7 +222,7 @@ def rate_limit(rows: DataFrame, keys: list[str], limit: int = 10, window_s: int
     reduced = cut(timed.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit).drop("_rn")
                   .withColumn("cell", cell_of(F.col("t"), window)))
     largest = reduced.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_fold:
+    if largest <= min(max_fold, MAX_DIRECT):
         passed = _fold_rate(reduced, keys, limit, window)
     else:
         runs = cut(_runs(reduced, keys, window).select(*keys, "cell", "run", "run_rows"))

@@ -6,6 +6,8 @@ and carries between blocks only one small row per block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.functions.times import cell_of, epoch_us
@@ -55,10 +57,17 @@ def time_cells(rows: DataFrame, ts: str, width_s: int) -> DataFrame:
 
 
 def trailing_count(rows: DataFrame, keys: list[str], ts: str = "ts", window_s: int = 300, name: str = "trailing") -> DataFrame:
-    """At each row, how many rows of the same key lie in the last ``window_s`` seconds (both ends included)."""
-    cells = time_cells(rows, ts, window_s)
+    """At each row, how many rows of the same key lie in the last ``window_s`` seconds (both ends included).
+
+    Rows are first counted per key and instant; the moving sum runs over those counts inside time cells.
+    """
+    counts = rows.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
+    cells = time_cells(counts, ts, window_s)
     by = ", ".join(f"`{k}`" for k in [*keys, "_cell"])
-    counted = F.expr(
-        f"count(1) over (partition by {by} order by `{ts}` "
+    summed = F.expr(
+        f"sum(_n) over (partition by {by} order by `{ts}` "
         f"range between interval {window_s} seconds preceding and current row)")
-    return cells.withColumn(name, counted).filter("_own").drop("_cell", "_own")
+    sums = cells.withColumn(name, summed).filter("_own")
+    renamed = sums.select(*[F.col(c).alias(f"_{c}") for c in [*keys, ts]], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, ts]]
+    return rows.join(renamed, reduce(lambda a, b: a & b, same)).drop(*[f"_{c}" for c in [*keys, ts]])

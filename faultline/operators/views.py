@@ -126,9 +126,17 @@ def alert_stats(alerts: DataFrame) -> DataFrame:
                       F.count_if(~F.col("acknowledged") & ~F.col("suppressed")).alias("unack_alerts"))
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames with different columns side by side, as a union folded by one tiny aggregate (no cross join)."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
+
+
 def stats(events: DataFrame, incidents: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
     """All dashboard counters in one row: one conditional aggregate per table."""
-    return event_stats(events, as_of).crossJoin(incident_stats(incidents)).crossJoin(alert_stats(alerts))
+    return one_row(event_stats(events, as_of), incident_stats(incidents), alert_stats(alerts))
 
 
 def server_health(unacked_only: bool = False) -> Column:
@@ -155,6 +163,6 @@ def summary(events: DataFrame, incidents: DataFrame, alerts: DataFrame, snapshot
         F.reverse(F.sort_array(F.collect_list(F.struct("ts", "id", "severity", "summary")))).alias("recent_incidents"))
     up = services.agg(F.count(F.lit(1)).alias("services_total"),
                       F.count_if(F.col("health") == "healthy").alias("services_healthy"))
-    row = stats(events, incidents, alerts, as_of).crossJoin(latest_gauges(snapshots)).crossJoin(up).crossJoin(recent)
+    row = one_row(event_stats(events, as_of), incident_stats(incidents), alert_stats(alerts), latest_gauges(snapshots), up, recent)
     return (row.withColumn("alerts_total", F.col("alerts_info") + F.col("alerts_warning") + F.col("alerts_critical"))
             .withColumn("server_health", server_health(unacked_only)))
