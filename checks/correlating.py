@@ -160,3 +160,15 @@ def _(spark, d):
 def _(spark, d):
     return events(spark, d).groupBy("category", "host").agg(
         F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(1000.0)).alias("confidence"))
+
+
+def _histogram(column: str, names) -> str:
+    return "rtrim(" + " || ".join(
+        f"case when count(*) filter ({column} = '{n}') > 0 then '{n}=' || count(*) filter ({column} = '{n}') || ',' else '' end" for n in sorted(names)) + ", ',')"
+
+
+@query("category_histogram", f"""select host, account, count(*) as event_count, {_histogram("category", CATS)} as categories,
+  {_histogram("severity", ("info", "warning", "critical"))} as severities from ev where account <> '' group by host, account""")
+def _(spark, d):
+    return correlate.category_histogram(events(spark, d), "account").select(
+        "host", "account", "event_count", as_text("categories").alias("categories"), as_text("severities").alias("severities"))

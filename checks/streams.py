@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from checks.correlating import DAY, all_sql, as_text, entity_sql
 from checks.detecting import _CAND, _HOST_RATE, _candidates, cooled
@@ -138,9 +138,8 @@ def _(spark, d):
     out = scratch_dir(spark, "summary")
     views.start_summary(stream, lambda: read_views.summary(ev, inc, al, snap, services, now), out,
                         scratch_dir(spark, "summary-state"), every=None).awaitTermination()
-    rows = spark.read.parquet(out)
-    newest = Window.partitionBy(F.lit(1)).orderBy(F.desc("batch_id"))
-    return (rows.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").select("events_critical", "active_incidents"))
+    newest = F.max_by(F.struct("events_critical", "active_incidents"), "batch_id").alias("s")
+    return spark.read.parquet(out).agg(newest).select("s.*")
 
 
 @query("stream_dedup_ids", "select id, severity from ev")

@@ -48,6 +48,13 @@ def _count_map(names: tuple[str, ...], prefix: str) -> Column:
     return F.expr(f"map_filter(map_from_arrays(array({words}), array({counts})), (name, n) -> n > 0)")
 
 
+def category_histogram(events: DataFrame, key: str) -> DataFrame:
+    """Per host and key value: events per category and per severity, as maps."""
+    present = events.filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    return present.groupBy("host", key).agg(*_counters()).select(
+        "host", key, "event_count", _count_map(CATEGORIES, "c").alias("categories"), _count_map(SEVERITIES, "s").alias("severities"))
+
+
 def _capped(n: Column, full: int) -> Column:
     return F.least(F.lit(1.0), n / F.lit(float(full)))
 
