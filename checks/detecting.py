@@ -26,7 +26,7 @@ def _list(words) -> str:
 
 
 RULE_ROWS = "(values " + ", ".join(
-    f"({_q(r.rule_id)}, {_list(r.categories)}, {_q(r.min_severity)}, {_list(r.keywords)}, {r.base_confidence}, {_q(r.summary)}, {_q(r.explanation)})"
+    f"({_q(r.rule_id)}, {_list(r.categories)}, {_q(r.min_severity)}, {_list(r.keywords)}, {r.base_confidence}::double, {_q(r.summary)}, {_q(r.explanation)})"
     for r in RULES) + ") as r(rule_id, cats, min_severity, kws, conf, summary_t, explanation_t)"
 TEXT_ROWS = "(values " + ", ".join(f"({_q(t.pattern)}, {_q(t.severity)}, {_q(t.summary)})" for t in PATTERN_TEXTS) + ") as t(pattern, severity, summary_t)"
 
@@ -77,7 +77,7 @@ def _(spark, d):
     return rule_ops.match_rules(events(spark, d), some).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rule_overrides", f"""select rule_id, case rule_id when 'high_cpu' then 0.1 else conf end as confidence, count(*) as n from ({matched()})
+@query("rule_overrides", f"""select rule_id, case rule_id when 'high_cpu' then 0.1::double else conf end as confidence, count(*) as n from ({matched()})
   where rule_id <> 'http_500_spike' and (rule_id <> 'csf_block' or severity = 'critical') group by all""")
 def _(spark, d):
     overrides = spark.createDataFrame(

@@ -27,7 +27,7 @@ def cols(*names: str):
 with texts as (select 'd' || (doc_id % 4) as host, '/docs/' || source as file_path, doc_id as line_no,
     replace(replace(text, chr(10), ' '), chr(13), ' ') as t from documents),
   seen as (select * from texts where rtrim(t, chr(10) || chr(13)) <> '')
-select host, file_path, line_no, length(case when length(t) > 4096 then substr(t, 1, 4096) || '...[truncated]' else t end) as chars,
+select host, file_path, line_no, cast(length(case when length(t) > 4096 then substr(t, 1, 4096) || '...[truncated]' else t end) as integer) as chars,
   md5(case when length(t) > 4096 then substr(t, 1, 4096) || '...[truncated]' else t end) as line_hash from seen""")
 def _(spark, d):
     """Whole documents as over-long lines: cleaned, cut with a mark, blank ones dropped."""
