@@ -146,7 +146,7 @@ def _(spark, d):
 
 @query("threshold_counts", " union all ".join(
     f"""select '{c.limit_id}' as limit_id, host, coalesce({c.key}, '') as entity, time_bucket(interval 86400 seconds, ts) as win_start, count(*) as event_count
-  from ev where {c.predicate} group by all having count(*) >= 6""" for c in COUNT_LIMITS))
+  from ev where {c.predicate} {"" if c.key == "host" else f"and coalesce({c.key}, '') <> ''"} group by all having count(*) >= 6""" for c in COUNT_LIMITS))
 def _(spark, d):
     return correlate.limit_counts(events(spark, d), window_s=86400, at_least=6)
 
@@ -159,7 +159,7 @@ def _(spark, d):
 @query("confidence", """select category, host, least(1.0, count(*) / 1000.0)::double as confidence from ev group by all""")
 def _(spark, d):
     return events(spark, d).groupBy("category", "host").agg(
-        F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(1000.0)).alias("confidence"))
+        correlate.capped(F.count(F.lit(1)), 1000).alias("confidence"))
 
 
 def _histogram(column: str, names) -> str:

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from checks.correlating import DAY, all_sql, windowed
 from checks.inputs import as_of, derived, events
+from checks.parsing import _SYSLOG_RE, _SYSLOG_TS, ID
 from checks.registry import query
 from faultline.catalog import GENERIC_TEXT, PATTERN_TEXTS, RULES, rules_frame, scan_rules
 from faultline.config import IncidentConfig, LockoutConfig, NotifyConfig
 from faultline.functions.text import render
+from faultline.lineage import cut, scratch_dir
 from faultline.operators import alerts, correlate, dedup, incidents, rules as rule_ops
+from faultline.operators.parsers import router
 from faultline.plans import detect
 
 ONE_DAY = IncidentConfig(cooldown_s=86400)
@@ -261,6 +264,74 @@ def _(spark, d):
         "host", "fingerprint", "rule_id", "severity", "first_ts", "last_ts", "occurrence_count")
 
 
+@query("resource_incidents_batches", f"""with recursive sev as (select * from {_SNAP_EVENTS}), cand as ({matched('sev')}), {cooled('cand', 86400)},
+  i as (select c.*, k.n from cand c join kept k on k.host = c.host and k.fingerprint = c.fingerprint and k.id = c.id)
+select host, fingerprint, min(ts) as first_ts, max(ts) as last_ts, count(*) as occurrence_count, cast(sum(n) - count(*) as bigint) as suppressed_count
+from i group by host, fingerprint""")
+def _(spark, d):
+    """The samples in three batches: cooldowns and counts go on over their borders as if they were one."""
+    snap, table, start = derived(spark, d, "snap"), None, "1970-01-01"
+    for end in ("2024-01-09 05:00:00", "2024-01-20 11:30:00", "2999-01-01"):
+        part = snap.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        table, start = cut(detect.resource_incidents(part, rules_frame(spark), table, inc=ONE_DAY)), end
+    return table.select("host", "fingerprint", "first_ts", "last_ts", "occurrence_count", "suppressed_count")
+
+
+_AUTH_EVENTS = f"""lp as (select *, regexp_extract(raw_line, {_SYSLOG_RE}) as g from auth_lines),
+  lc as (select *, regexp_matches(g.msg, '(?i)Failed password|authentication failure|FAILED LOGIN|invalid user') as failed,
+    regexp_matches(g.msg, '(?i)Accepted password|session opened|Successful login') as accepted,
+    regexp_extract(g.msg, 'from\\s+(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip, regexp_extract(g.msg, '(?:for|user[= ])\\s?(\\S+)', 1) as usr from lp where g.service <> ''),
+  le as (select {ID} as id, host, coalesce({_SYSLOG_TS}, arrival_ts) as ts, 'auth' as category, case when failed then 'warning' else 'info' end as severity,
+    case when failed then 'Failed login attempt for ''' else 'Successful login for ''' end || usr || ''' from ' || ip || ' via ' || g.service as message,
+    ip as ip_address, nullif(usr, '') as account, '"auth_result":"' || case when failed then 'failed' else 'success' end || '"' as metadata from lc where failed or accepted)"""
+
+
+@query("lines_to_incidents", f"""with recursive {_AUTH_EVENTS}, cand as ({matched('le')}), {cooled('cand', 86400)},
+  i as (select c.*, k.n from cand c join kept k on k.host = c.host and k.fingerprint = c.fingerprint and k.id = c.id)
+select host, fingerprint, any_value(rule_id) as rule_id, arg_min(severity, ts) as severity, min(ts) as first_ts, max(ts) as last_ts, count(*) as occurrence_count,
+  cast(sum(n) - count(*) as bigint) as suppressed_count, any_value(account) as affected_account, any_value(ip_address) as affected_ip from i group by host, fingerprint""")
+def _(spark, d):
+    """All logs, parsed, enriched, stored, correlated and matched in one run; compared are the incidents of the login log."""
+    found = lines_run(spark, d)
+    logins = found.filter((F.col("category") == "auth") & (F.col("affected_service") == "security") & ~F.col("rule_id").startswith("corr_"))
+    return logins.select("host", "fingerprint", "rule_id", "severity", "first_ts", "last_ts", "occurrence_count", "suppressed_count", "affected_account", "affected_ip")
+
+
+def lines_run(spark, d):
+    path = scratch_dir(spark, "lines")
+    router.write_lines(derived(spark, d, "all_lines"), path)
+    lines = spark.read.parquet(path)
+    return detect.lines_to_incidents(lines, derived(spark, d, "domains"), derived(spark, d, "users"), rules_frame(spark), scratch_dir(spark, "events"),
+                                     None, DAY, ONE_DAY)
+
+
+# rows of one host without its name: they are the host ''
+_NO_HOST = "(select * replace (case when host = 'host0' then '' else host end as host) from {})"
+
+
+def _nameless(df):
+    return df.withColumn("host", F.when(F.col("host") != "host0", F.col("host")))
+
+
+@query("incident_from_event_null_host", f"with recursive cand as ({matched(_NO_HOST.format('ev'))}), {cooled('cand', 86400)} select host, fingerprint, ts, id as event_id, n - 1 as suppressed_count from kept")
+def _(spark, d):
+    found = incidents.incidents_from_events(_nameless(events(spark, d)), rules_frame(spark), ONE_DAY)
+    return found.select("host", "fingerprint", "ts", F.try_element_at("event_ids", F.lit(1)).alias("event_id"), "suppressed_count")
+
+
+@query("corr_evidence_null_host", f"""with corr as ({all_sql(86400, 86400)}), hit as (select c.type, c.pattern, c.win_start, c.host, e.id,
+    row_number() over (partition by c.type, c.host, coalesce(c.ip, c.account, c.category), c.win_start order by e.ts, e.id) as rn, coalesce(c.ip, c.account, c.category) as entity
+    from corr c join {windowed(86400, 86400)} e on e.host = c.host and e.win_start = c.win_start
+    and ((c.type = 'ip_correlation' and e.ip_address = c.ip) or (c.type = 'account_correlation' and e.account = c.account) or (c.type = 'category_spike' and e.category = c.category)))
+select type, pattern, win_start, case when host = 'host0' then '' else host end as host, entity, string_agg(id, ',' order by rn) as ids from hit where rn <= 20 group by all""")
+def _(spark, d):
+    """All kinds of correlation in one pass, their evidence in another."""
+    ev = _nameless(events(spark, d))
+    found = correlate.with_evidence(cut(correlate.correlate_all(ev, DAY)), ev, DAY)
+    return found.select("type", "pattern", "win_start", "host", F.coalesce("ip", "account", "category").alias("entity"),
+                        F.array_join(F.transform("events", lambda e: e["id"]), ",").alias("ids"))
+
+
 def _old_new(spark, d):
     inc = derived(spark, d, "inc")
     cut = F.lit("2024-01-10").cast("timestamp_ntz")
@@ -289,6 +360,15 @@ def _(spark, d):
     return incidents.merge_occurrences(new, old).select("id", "occurrence_count", "suppressed_count", "updated_at")
 
 
+@query("merge_occurrences_null_host", _OLD_NEW.replace("from inc where", f"from {_NO_HOST.format('inc')} where") + """, s as (select host, fingerprint, max(ts) as last_ts, count(*) as n from new group by host, fingerprint)
+select o.id, cast(o.occurrence_count + coalesce(s.n, 0) as bigint) as occurrence_count, coalesce(s.last_ts, o.updated_at) as updated_at
+  from old o left join active a on a.id = o.id left join s on a.id is not null and s.host = a.host and s.fingerprint = a.fingerprint""")
+def _(spark, d):
+    old, new = _old_new(spark, d)
+    merged = incidents.merge_occurrences(_nameless(new), _nameless(old))
+    return merged.join(old.select("id"), "id", "left_semi").select("id", "occurrence_count", "updated_at")
+
+
 # -- alerts -----------------------------------------------------------------------------------------------------------
 
 @query("incident_to_alert", """select sha256('alert|' || id) as id, id as incident_id, ts, severity, category, summary as title, explanation as message,

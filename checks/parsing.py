@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import derived
 from checks.registry import query
+from faultline.config import ScanConfig
 from faultline.catalog import CORE_SOURCES, sources_frame
 from faultline.functions.text import version_number
 from faultline.lineage import scratch_dir
@@ -34,10 +35,22 @@ def _(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(
         F.concat(F.lit("d"), F.col("doc_id") % 4).alias("host"), F.concat(F.lit("/docs/"), "source").alias("file_path"),
         F.col("doc_id").alias("line_no"), F.translate("text", "\n\r", "  ").alias("raw_line"))
-    return log_lines.scan_lines(docs).select(
+    return log_lines.scan_lines(docs, ScanConfig(max_line_length=4096)).select(
         "host", "file_path", "line_no", F.length("raw_line").alias("chars"), F.md5("raw_line").alias("line_hash"))
 
 
+@query("scan_long_lines", """select sha256('h' || doc_id % 4 || '|/docs|' || doc_id) as id, 500 as status_code, length(source || replace(text, ' ', '+')) + 1 as path_chars
+  from (select doc_id, source, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') as text from documents)""")
+def _(spark, d):
+    """Whole documents as request paths: a line of any length is parsed whole."""
+    path = F.concat(F.lit("/"), F.col("source"), F.replace(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit(" "), F.lit("+")))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.concat(F.lit("h"), F.col("doc_id") % 4).alias("host"), F.lit("/docs").alias("file_path"), F.col("doc_id").alias("line_no"),
+        F.lit("apache_access").alias("log_name"), F.lit("2024-01-01").cast("timestamp_ntz").alias("arrival_ts"),
+        F.concat(F.lit('10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET '), path, F.lit(' HTTP/1.1" 500 1')).alias("raw_line"))
+    return parse(log_lines.scan_lines(docs), web.ACCESS_LOG).select("id", "status_code", F.length("path").cast("long").alias("path_chars"))
+
+
 @query("scan_multi_source", "select host, log_name, count(*) as lines, max(line_no) as last_line from all_lines group by all")
 def _(spark, d):
     parts = [derived(spark, d, n) for n in (
@@ -236,6 +249,35 @@ def _(spark, d):
     return router.slow_queries(derived(spark, d, "slow_lines"), block_lines=500).select("id", "mysql_user", "ip_address")
 
 
+_CHUNKED = """with h as (select *, case when starts_with(raw_line, '# User@Host: ') then split_part(split_part(raw_line, ' ', 3), '[', 1) end as u from slow_lines)
+select host, line_no, coalesce(last_value(u ignore nulls) over (partition by host, file_path order by line_no rows between unbounded preceding and current row), 'unknown') as mysql_user
+from h qualify starts_with(raw_line, '# Query_time:')"""
+
+
+def _chunks(spark, d):
+    """Each slow log as chunks of a hundred line numbers, so that many a query stands in another chunk than its user; no host named."""
+    lines = derived(spark, d, "slow_lines")
+    chunk = F.lpad(F.floor(F.col("line_no") / 100).cast("string"), 6, "0")
+    return lines.withColumn("file_path", F.concat("file_path", F.lit(".log."), chunk))
+
+
+@query("slow_query_user_chunks", _CHUNKED)
+def _(spark, d):
+    users = database.with_slow_query_user(_chunks(spark, d), block_lines=1 << 41)
+    return users.select("host", "line_no", F.coalesce("q_user", F.lit("unknown")).alias("mysql_user"))
+
+
+@query("slow_query_user_batches", _CHUNKED)
+def _(spark, d):
+    """The same lines in two batches, the first handing its last users to the second."""
+    chunks, out, users = _chunks(spark, d), None, None
+    border = F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (chunks.filter(F.col("arrival_ts") < border), chunks.filter(F.col("arrival_ts") >= border)):
+        found = database.with_slow_query_user(part, before=users).select("host", "line_no", F.coalesce("q_user", F.lit("unknown")).alias("mysql_user"))
+        out, users = (found if out is None else out.unionByName(found)), database.last_users(part, users)
+    return out
+
+
 # -- panel, backup, system, toolkit ------------------------------------------------------------------------------
 
 @query("parse_panel_login", f"""with p as (select *, regexp_extract(raw_line, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}})\\s+(\\S+)\\s+(?:user=(\\S+))?\\s*(?:ip=([\\d.]+))?', ['tm','st','usr','ip']) as g from panel_lines),

@@ -333,7 +333,7 @@ def _(spark, d):
 @query("page_counts", """select count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning, count(*) filter (not acknowledged) as unacknowledged
   from (select * from al where not suppressed order by ts desc, id desc limit 50)""")
 def _(spark, d):
-    return views.page_counts(views.page(views.filter_alerts(derived(spark, d, "al")), "alerts", 50))
+    return views.page_counts(views.page(views.filter_alerts(derived(spark, d, "al")), 50))
 
 
 @query("summary", f"""with e as (select count(*) filter (severity = 'info') as events_info, count(*) filter (severity = 'warning') as events_warning, count(*) filter (severity = 'critical') as events_critical,
@@ -363,6 +363,15 @@ def _(spark, d):
     return metrics.queries_per_second(snap).select("host", "ts", F.round("qps", 6).alias("qps"))
 
 
+@query("qps_delta_null_host", """with c as (select host, ts, event_id * 10 + (case when event_id % 500 >= 250 then 0 else 100000 end) as q from snap),
+  p as (select *, lag(q) over w as pq, lag(ts) over w as pt from c window w as (partition by host order by ts))
+select host, ts, case when q >= pq and ts > pt then round((q - pq) / ((epoch_us(ts) - epoch_us(pt)) / 1000000.0), 6) end as qps from p""")
+def _(spark, d):
+    snap = derived(spark, d, "snap").select(F.when(F.col("host") != "host0", F.col("host")).alias("host"), "ts", (F.col("event_id") * 10 + F.when(
+        F.col("event_id") % 500 >= 250, 0).otherwise(100000)).alias("questions"))
+    return metrics.queries_per_second(snap).select(F.coalesce("host", F.lit("host0")).alias("host"), "ts", F.round("qps", 6).alias("qps"))
+
+
 @query("severity_category_rollup", "select severity, category, count(*) as n, cast(grouping_id(severity, category) as bigint) as level from ev group by rollup(severity, category)")
 def _(spark, d):
     return views.severity_category_rollup(events(spark, d)).select("severity", "category", "n", F.col("level").cast("long").alias("level"))
@@ -382,14 +391,14 @@ def _(spark, d):
     return views.newest(events(spark, d), 100).select(*EV_COLS)
 
 
-@query("page", f"select {EV} from (select * from ev where severity = 'warning' order by ts desc, id desc limit 500 offset 1000)")
+@query("page", f"select {EV} from (select * from ev where severity = 'warning' order by ts desc, id desc limit 1500 offset 1000)")
 def _(spark, d):
-    return views.page(views.filter_events(events(spark, d), severity="warning"), "events", 5000, 1000).select(*EV_COLS)
+    return views.page(views.filter_events(events(spark, d), severity="warning"), 1500, 1000).select(*EV_COLS)
 
 
 @query("page_after", f"""select {EV} from ev where (ts, id) < (timestamp '2024-01-15 00:00:00', '0') order by ts desc, id desc limit 200""")
 def _(spark, d):
-    return views.page_after(events(spark, d), "events", "2024-01-15 00:00:00", "0", 200).select(*EV_COLS)
+    return views.page_after(events(spark, d), "2024-01-15 00:00:00", "0", 200).select(*EV_COLS)
 
 
 @query("latest_snapshot", "select host, ts, cpu_percent, load_1 from (select *, row_number() over (partition by host order by ts desc) as rn from snap) where rn = 1")
@@ -427,7 +436,12 @@ def _(spark, d):
 
 @query("services_by_name", "select name, host from probes order by name, host")
 def _(spark, d):
-    return derived(spark, d, "probes").select("name", "host").orderBy("name", "host")
+    return views.services_by_name(derived(spark, d, "probes")).select("name", "host")
+
+
+@query("snapshot_list", "select host, ts, cpu_percent from snap where ts >= timestamp '2024-01-20 06:00:00' order by ts desc, host limit 2500")
+def _(spark, d):
+    return views.snapshot_list(derived(spark, d, "snap"), "2024-01-20 06:00:00", 2500).select("host", "ts", "cpu_percent")
 
 
 # -- set operations -------------------------------------------------------------------------------------------------

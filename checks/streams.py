@@ -12,7 +12,6 @@ from faultline.functions.times import epoch_us, from_epoch_us, naive
 from faultline.lineage import scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
-from faultline.functions.text import captured, group_columns
 from faultline.streaming import ingest, stateful, views
 
 CHUNKS = ("2024-01-11", "2024-01-21", "2999-01-01")
@@ -70,6 +69,13 @@ def _(spark, d):
     return _shown(finished(spark, views.stream_correlate(stream, "ip", DAY), "corr", "complete"))
 
 
+@query("stream_correlate_category", f"""select * from ({all_sql(86400, 86400)}) where type = 'category_spike'""")
+def _(spark, d):
+    ev = events(spark, d)
+    stream = stream_of(spark, staged(spark, ev, "ev"), ev)
+    return _shown(finished(spark, views.stream_correlate(stream, "category", DAY), "corr", "complete"))
+
+
 @query("stream_correlate_closed", f"""select * from ({all_sql(86400, 86400)}) where type = 'account_correlation'
   and win_start + interval 1 day <= (select max(ts) from ev) - interval 1 day""")
 def _(spark, d):
@@ -123,7 +129,7 @@ def _(spark, d):
     raw = F.col("raw_line")
     heads = lines.filter(raw.startswith("# ")).select(
         "host", "file_path", "line_no", "arrival_ts", raw.startswith("# Query_time:").alias("is_query"),
-        group_columns(captured(raw, database.SLOW_USER, 3), 3)[0].alias("q_user"))
+        database.slow_user(raw)["u"].alias("q_user"))
     stream = stream_of(spark, staged(spark, heads, "heads", "arrival_ts"), heads).drop("arrival_ts")
     return finished(spark, stateful.stream_slow_query_user(stream), "slow").select("host", "file_path", "line_no", "q_user")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ScanConfig:
-    max_line_length: int = 4096
+    max_line_length: int | None = None  # None keeps lines whole
     truncation_suffix: str = "...[truncated]"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
@@ -98,3 +98,23 @@ def version_number(text: Column) -> Column:
 def parse_size(text: Column) -> Column:
     """'-' (no body) counts as 0."""
     return F.coalesce(text.try_cast("long"), F.lit(0).cast("long"))
+
+
+def shown_number(value: Column, digits: int = 1) -> Column:
+    """A number as text with a fixed number of digits; halves are rounded away from zero."""
+    return F.format_string(f"%.{digits}f", value)
+
+
+def encode_json(**values: Column) -> Column:
+    """JSON text of the named values; null ones are left out."""
+    return F.to_json(F.struct(*[v.alias(n) for n, v in values.items()]))
+
+
+def in_unit(value: Column, unit: int, digits: int = 1) -> Column:
+    """``value`` in units of ``unit``, rounded for display."""
+    return F.round(value / F.lit(unit), digits)
+
+
+def hosted(df: DataFrame) -> DataFrame:
+    """Rows without a host belong to the host '' like those that name none; so no join by host loses them."""
+    return df.withColumn("host", F.coalesce("host", F.lit("")))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.catalog import COUNT_LIMITS, PATTERNS, CountLimit, Pattern
 from faultline.config import CorrelationConfig
+from faultline.functions.text import hosted
 from faultline.schemas import CATEGORIES, SEVERITIES
 
 _TEXT = "string"
-_SALTS = 16  # parts into which the events of one key and pane are spread
 
 
 def _counters() -> list[Column]:
@@ -25,20 +25,31 @@ def _counters() -> list[Column]:
 _COUNTER_NAMES = ["event_count", *[f"c_{c}" for c in CATEGORIES], *[f"s_{s}" for s in SEVERITIES]]
 
 
-def window_counts(events: DataFrame, key: str, cfg: CorrelationConfig) -> DataFrame:
-    """Counts per host, key value and window: total, per category (c_*), per severity (s_*)."""
-    present = events.filter(F.col(key).isNotNull() & (F.col(key) != ""))
+#: kind of correlation: (event column, column of the result)
+_KEY_OF = {"ip_correlation": ("ip_address", "ip"), "account_correlation": ("account", "account"),
+           "category_spike": ("category", "category"), "domain_correlation": ("domain", "domain")}
+
+
+def _by_kind(events: DataFrame, kinds: tuple[str, ...], *columns) -> DataFrame:
+    """Each event once for every kind whose key it has: columns, type, entity."""
+    keys = F.array(*[F.struct(F.lit(k).alias("type"), F.col(_KEY_OF[k][0]).alias("entity")) for k in kinds])
+    return hosted(events).select("host", *columns, F.inline(keys)).filter(F.coalesce("entity", F.lit("")) != "")
+
+
+def window_counts(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig) -> DataFrame:
+    """Counts per host, kind, entity and window: total, per category (c_*), per severity (s_*), in one pass over the events."""
+    present = _by_kind(events, kinds, "ts", "category", "severity")
+    by = ["host", "type", "entity"]
     if events.isStreaming:
         # one stateful step; Spark keeps the partial sums per window
-        counted = present.groupBy("host", key, F.window("ts", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds").alias("w")).agg(*_counters())
+        counted = present.groupBy(*by, F.window("ts", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds").alias("w")).agg(*_counters())
     else:
-        panes = present.groupBy("host", key, F.window("ts", f"{cfg.slide_s} seconds").alias("pane")).agg(*_counters())
+        panes = present.groupBy(*by, F.window("ts", f"{cfg.slide_s} seconds").alias("pane")).agg(*_counters())
         counted = panes if cfg.window_s == cfg.slide_s else (
             panes.withColumn("w", F.window("pane.start", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds"))
-            .groupBy("host", key, "w").agg(*[F.expr(f"sum({n}) as {n}") for n in _COUNTER_NAMES]))
+            .groupBy(*by, "w").agg(*[F.expr(f"sum({n}) as {n}") for n in _COUNTER_NAMES]))
         counted = counted.withColumnRenamed("pane", "w")
-    return counted.select(
-        "host", key, F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *_COUNTER_NAMES)
+    return counted.select(*by, F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), *_COUNTER_NAMES)
 
 
 def _count_map(names: tuple[str, ...], prefix: str) -> Column:
@@ -49,24 +60,33 @@ def _count_map(names: tuple[str, ...], prefix: str) -> Column:
 
 
 def category_histogram(events: DataFrame, key: str) -> DataFrame:
-    """Per host and key value: events per category and per severity, as maps."""
-    present = events.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    return present.groupBy("host", key).agg(*_counters()).select(
-        "host", key, "event_count", _count_map(CATEGORIES, "c").alias("categories"), _count_map(SEVERITIES, "s").alias("severities"))
+    """Per host and key value: events per category and per severity, as maps; whatever categories occur are counted."""
+    present = hosted(events).filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    counted = present.groupBy("host", key, "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
+    def totals(name: str) -> DataFrame:
+        per = counted.filter(F.col(name).isNotNull()).groupBy("host", key, name).agg(F.sum("n").alias("n"))
+        return per.groupBy("host", key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "n")))).alias("m"))
 
-def _capped(n: Column, full: int) -> Column:
+    none = F.create_map().cast("map<string,bigint>")
+    maps = [totals(name).withColumnRenamed("m", out) for name, out in (("category", "categories"), ("severity", "severities"))]
+    total = counted.groupBy("host", key).agg(F.sum("n").alias("event_count"))
+    return (total.join(maps[0], ["host", key], "left").join(maps[1], ["host", key], "left")
+            .select("host", key, "event_count", F.coalesce("categories", none).alias("categories"), F.coalesce("severities", none).alias("severities")))
+
+
+def capped(n: Column, full: int) -> Column:
+    """Confidence of a count: 1 from ``full`` on."""
     return F.least(F.lit(1.0), n / F.lit(float(full)))
 
 
-def _result(counts: DataFrame, kind: str, pattern: Column, confidence: Column, key: str) -> DataFrame:
-    def only(name: str) -> Column:
-        return (F.col(key) if key == name else F.lit(None).cast(_TEXT)).alias(
-            {"ip_address": "ip"}.get(name, name))
+def _result(counts: DataFrame, pattern: Column, confidence: Column) -> DataFrame:
+    def only(out: str) -> Column:
+        kinds = [k for k, (_, name) in _KEY_OF.items() if name == out]
+        return F.when(F.col("type").isin(*kinds), F.col("entity")).alias(out)
 
     return counts.withColumn("pattern", pattern).withColumn("confidence", confidence).filter("pattern is not null").select(
-        F.lit(kind).alias("type"), "pattern", "win_start", "win_end", "host",
-        only("ip_address"), only("account"), only("domain"), only("category"), "event_count", "confidence",
+        "type", "pattern", "win_start", "win_end", "host", only("ip"), only("account"), only("domain"), only("category"), "event_count", "confidence",
         _count_map(CATEGORIES, "c").alias("categories"), _count_map(SEVERITIES, "s").alias("severities"),
         F.col("s_critical").alias("critical_count"), F.col("s_warning").alias("warning_count"))
 
@@ -81,101 +101,88 @@ def _entity_pattern(cfg: CorrelationConfig) -> tuple[Column, Column]:
     pattern, confidence = F.lit(None).cast(_TEXT), F.lit(0.0)
     for name, n, least, full in reversed(tests):
         pattern = F.when(n >= least, name).otherwise(pattern)
-        confidence = F.when(n >= least, _capped(n, full)).otherwise(confidence)
+        confidence = F.when(n >= least, capped(n, full)).otherwise(confidence)
     return pattern, confidence
 
 
+def _account_pattern(cfg: CorrelationConfig) -> tuple[Column, Column]:
+    active = F.expr(" + ".join(f"int(c_{c} >= {cfg.account_category_min})" for c in CATEGORIES))
+    warnings = F.col("s_warning") + F.col("s_critical")
+    multi = (active >= cfg.account_active_categories) & (warnings >= cfg.account_warnings_min)
+    database = F.col("c_database") >= cfg.database_min
+    return (F.when(database, "database_abuse").when(multi, "multi_source_abuse"),
+            F.when(database, capped(F.col("c_database"), 10)).otherwise(capped(warnings, 10)))
+
+
+def _spike_pattern(cfg: CorrelationConfig) -> tuple[Column, Column]:
+    critical, warning = F.col("s_critical"), F.col("s_warning")
+    dense = (critical >= cfg.spike_critical_min) | (warning >= cfg.spike_warning_min)
+    return F.when(dense, F.concat("entity", F.lit("_spike"))), capped(critical * 2 + warning, 20)
+
+
+def correlate(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
+    """Correlations of the given kinds. Each kind has its tests; a window below the kind's number of events is none."""
+    entity = (cfg.ip_min_events, _entity_pattern(cfg))
+    tests = {"ip_correlation": entity, "domain_correlation": entity, "account_correlation": (cfg.account_min_events, _account_pattern(cfg)),
+             "category_spike": (cfg.spike_min_events, _spike_pattern(cfg))}
+    pattern, confidence, least = F.lit(None).cast(_TEXT), F.lit(0.0), F.lit(0)
+    for kind in kinds:
+        here = F.col("type") == kind
+        enough, (name, sure) = tests[kind]
+        pattern, confidence, least = F.when(here, name).otherwise(pattern), F.when(here, sure).otherwise(confidence), F.when(here, enough).otherwise(least)
+    return _result(window_counts(events, kinds, cfg).filter(F.col("event_count") >= least), pattern, confidence)
+
+
 def correlate_ip(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
-    counts = window_counts(events, "ip_address", cfg).filter(F.col("event_count") >= cfg.ip_min_events)
-    return _result(counts, "ip_correlation", *_entity_pattern(cfg), "ip_address")
+    return correlate(events, ("ip_correlation",), cfg)
 
 
 def correlate_domain(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """Same tests by domain; not part of correlate_all unless asked for."""
-    counts = window_counts(events, "domain", cfg).filter(F.col("event_count") >= cfg.ip_min_events)
-    return _result(counts, "domain_correlation", *_entity_pattern(cfg), "domain")
+    return correlate(events, ("domain_correlation",), cfg)
 
 
 def correlate_account(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
-    counts = window_counts(events, "account", cfg).filter(F.col("event_count") >= cfg.account_min_events)
-    active = F.expr(" + ".join(f"int(c_{c} >= {cfg.account_category_min})" for c in CATEGORIES))
-    warnings = F.col("s_warning") + F.col("s_critical")
-    multi = (active >= cfg.account_active_categories) & (warnings >= cfg.account_warnings_min)
-    database = F.col("c_database") >= cfg.database_min
-    pattern = F.when(database, "database_abuse").when(multi, "multi_source_abuse")
-    confidence = F.when(database, _capped(F.col("c_database"), 10)).otherwise(_capped(warnings, 10))
-    return _result(counts, "account_correlation", pattern, confidence, "account")
+    return correlate(events, ("account_correlation",), cfg)
 
 
 def correlate_category(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
-    counts = window_counts(events, "category", cfg).filter(F.col("event_count") >= cfg.spike_min_events)
-    critical, warning = F.col("s_critical"), F.col("s_warning")
-    dense = (critical >= cfg.spike_critical_min) | (warning >= cfg.spike_warning_min)
-    pattern = F.when(dense, F.concat("category", F.lit("_spike")))
-    return _result(counts, "category_spike", pattern, _capped(critical * 2 + warning, 20), "category")
+    return correlate(events, ("category_spike",), cfg)
 
 
 def correlate_all(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), domains: bool = False) -> DataFrame:
-    parts = [correlate_ip(events, cfg), correlate_account(events, cfg), correlate_category(events, cfg)]
-    if domains:
-        parts.append(correlate_domain(events, cfg))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return correlate(events, ALL_KINDS + ("domain_correlation",) * domains, cfg)
 
 
-_KEY_OF = {"ip_correlation": ("ip_address", "ip"), "account_correlation": ("account", "account"),
-           "category_spike": ("category", "category"), "domain_correlation": ("domain", "domain")}
+ALL_KINDS = ("ip_correlation", "account_correlation", "category_spike")
 
 
-def _first_events(events: DataFrame, found: DataFrame, key: str, name: str, cfg: CorrelationConfig) -> DataFrame:
-    """The first events of each found window as one short array.
+def with_evidence(correlations: DataFrame, events: DataFrame, cfg: CorrelationConfig = CorrelationConfig(),
+                  kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """Adds ``events`` (first 20 by time and id) and ``evidence`` (first 5 raw lines, cut) to each correlation of ``kinds``.
 
-    Only events in the panes of a found window are looked at. They are matched and ranked per pane and salt, so even
-    one pane of one hot key is shared by several tasks; the first 20 of a window are among the first 20 of those parts.
+    One pass over the events: the first 20 of each kind, key and pane are taken on the map side already, so of a hot key
+    few rows are ever shuffled; the first 20 of a window are among those of its panes.
     """
-    wanted = found.select("host", F.col(name).alias(key), "win_start")
+    entity = F.coalesce(*[F.when(F.col("type") == k, F.col(_KEY_OF[k][1])) for k in kinds])
+    wanted = correlations.filter(F.col("type").isin(*kinds)).withColumn("entity", entity)
     pane_of, window_of = f"{cfg.slide_s} seconds", f"{cfg.window_s} seconds"
-    offsets = F.sequence(F.lit(0), F.lit(cfg.window_s // cfg.slide_s - 1))
-    panes = (wanted.withColumn("_i", F.explode(offsets))
-             .withColumn("pane", F.col("win_start") + F.make_dt_interval(secs=F.col("_i") * cfg.slide_s))
-             .select("host", key, "pane").distinct()
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
-    slim = events.select(
-        "host", key, "ts", "id", "category", "log_file", F.substring("raw_line", 1, cfg.evidence_chars).alias("line"),
-        F.window("ts", pane_of)["start"].alias("pane"), F.pmod(F.hash("id"), F.lit(_SALTS)).alias("_salt"))
-    part = ["host", key, "pane", "_salt"]
-
-    def first(df: DataFrame, by: list[str]) -> DataFrame:
+    slim = _by_kind(events, kinds, "ts", "id", "category", "log_file", F.substring("raw_line", 1, cfg.evidence_chars).alias("line"),
+                    F.window("ts", pane_of)["start"].alias("pane"))
+
+    def first(df: DataFrame, *by: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy("ts", "id")
         return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cfg.keep_events)
 
-    ranked = first(slim.join(panes, part, "left_semi"), part).drop("_rn", "_salt")
-    spread = ranked.withColumn("win_start", F.window("pane", window_of, pane_of)["start"])
-    top = first(spread.join(wanted, ["host", key, "win_start"]), ["host", key, "win_start"])
-    listed = F.sort_array(F.collect_list(F.struct("_rn", "ts", "id", "category", "log_file", "line")))
-    return top.groupBy("host", F.col(key).alias(name), "win_start").agg(listed.alias("_l"))
-
-
-def with_evidence(correlations: DataFrame, events: DataFrame, cfg: CorrelationConfig = CorrelationConfig(),
-                  kinds: tuple[str, ...] = ("ip_correlation", "account_correlation", "category_spike")) -> DataFrame:
-    """Adds ``events`` (first 20 by time and id) and ``evidence`` (first 5 raw lines, cut) to each correlation.
-
-    Correlations are read several times per kind; hand in a stored or checkpointed table.
-    """
-    out = None
-    for kind in kinds:
-        key, name = _KEY_OF[kind]
-        found = correlations.filter(F.col("type") == kind)
-        part = found.join(_first_events(events, found, key, name, cfg), ["host", name, "win_start"], "left")
-        part = part.select(
-            *correlations.columns,
-            F.transform("_l", lambda x: F.struct(x["ts"].alias("ts"), x["id"].alias("id"), x["category"].alias("category"),
-                                                 x["log_file"].alias("log_file"))).alias("events"),
-            F.transform(F.slice("_l", 1, cfg.keep_evidence), lambda x: x["line"]).alias("evidence"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    by = ["host", "type", "entity"]
+    spread = first(slim, *by, "pane").drop("_rn").withColumn("win_start", F.window("pane", window_of, pane_of)["start"])
+    top = first(spread.join(wanted.select(*by, "win_start").distinct(), [*by, "win_start"], "left_semi"), *by, "win_start")
+    listed = top.groupBy(*by, "win_start").agg(F.sort_array(F.collect_list(F.struct("_rn", "ts", "id", "category", "log_file", "line"))).alias("_l"))
+    return wanted.join(listed, [*by, "win_start"], "left").select(
+        *correlations.columns,
+        F.transform("_l", lambda x: F.struct(x["ts"].alias("ts"), x["id"].alias("id"), x["category"].alias("category"),
+                                             x["log_file"].alias("log_file"))).alias("events"),
+        F.transform(F.slice("_l", 1, cfg.keep_evidence), lambda x: x["line"]).alias("evidence"))
 
 
 def pattern_counts(events: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, window_s: int | None = None) -> DataFrame:
@@ -189,7 +196,7 @@ def pattern_counts(events: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS,
         groups.setdefault((p.key, window_s or p.window_s), []).append(p)
     for (key, width), members in groups.items():
         entity = F.coalesce(F.col(key), F.lit(""))
-        counts = (events.filter(F.col("category").isin(sorted({c for p in members for c in p.categories})))
+        counts = (hosted(events).filter(F.col("category").isin(sorted({c for p in members for c in p.categories})))
                   .filter(entity != "")
                   .groupBy("host", entity.alias("entity"), F.window("ts", f"{width} seconds").alias("w"))
                   .agg(*[F.count_if(F.col("category").isin(p.categories)).alias(p.pattern) for p in members]))
@@ -212,7 +219,10 @@ def limit_counts(events: DataFrame, limits: tuple[CountLimit, ...] = COUNT_LIMIT
         groups.setdefault((c.key, window_s or c.window_s), []).append(c)
     for (key, width), members in groups.items():
         entity = F.coalesce(F.col(key), F.lit(""))
-        counts = (events.groupBy("host", entity.alias("entity"), F.window("ts", f"{width} seconds").alias("w"))
+        counted = hosted(events).filter(F.expr(" or ".join(f"({c.predicate})" for c in members)))
+        if key != "host":
+            counted = counted.filter(entity != "")
+        counts = (counted.groupBy("host", entity.alias("entity"), F.window("ts", f"{width} seconds").alias("w"))
                   .agg(*[F.count_if(F.expr(c.predicate)).alias(c.limit_id) for c in members]))
         hits = F.array(*[F.struct(F.lit(c.limit_id).alias("limit_id"), F.lit(at_least or c.limit).alias("least"),
                                   F.col(c.limit_id).alias("n")) for c in members])

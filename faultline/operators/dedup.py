@@ -16,7 +16,7 @@ from faultline.lineage import cut
 from faultline.operators.sequence import time_cells
 
 US = 1_000_000
-MAX_FOLD = 50_000  # rows folded as one array
+MAX_FOLD = 5_000  # rows folded as one array; folding copies the array as it grows
 MAX_DIRECT = 5_000  # rows of a key up to which it is not even looked at for pauses
 
 
@@ -122,17 +122,36 @@ def _chain_cooldown(points: DataFrame, runs: DataFrame, keys: list[str], gap: in
     return ids.join(counts, [*by, "t"]).select(*keys, "t", "id", "n")
 
 
-def cooldown(candidates: DataFrame, keys: list[str], cooldown_s: int = 300, max_fold: int = MAX_FOLD) -> DataFrame:
+EARLIER = ""  # id of what passed in earlier runs
+
+
+def _with_earlier(points: DataFrame, last_created: DataFrame, keys: list[str]) -> DataFrame:
+    """Points after what passed before: that is the first point of its key, and covers any candidate older than itself."""
+    seeds = (last_created.groupBy(*keys).agg(F.max(epoch_us(F.col("ts"))).alias("_seed"))
+             .join(points.select(*keys).distinct(), keys, "left_semi"))
+    moved = points.join(seeds, keys, "left").withColumn("t", F.greatest("t", "_seed")).drop("_seed")
+    first = seeds.select(*keys, F.col("_seed").alias("t"), F.lit(EARLIER).alias("id"), F.lit(0).cast("long").alias("n"))
+    return moved.unionByName(first).groupBy(*keys, "t").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+
+
+def cooldown(candidates: DataFrame, keys: list[str], cooldown_s: int = 300, max_fold: int = MAX_FOLD,
+             last_created: DataFrame | None = None) -> DataFrame:
     """Candidates that pass the cooldown of their key: columns keys, ts, id, n.
 
     The first candidate passes; a later one passes when at least ``cooldown_s`` have gone by since the last that
     passed. ``candidates`` holds keys, ts and id (ties in time: smallest id). ``n`` counts the candidates a passing
     one stands for, itself included.
+
+    ``last_created`` (keys, ts): when a candidate of the key last passed in earlier runs. It comes back as a row with id
+    EARLIER, whose ``n`` counts the candidates it covers; so batches one after the other pass what one batch would.
+    Keys must not be null.
     """
     gap = cooldown_s * US
-    points = cut(candidates.groupBy(*keys, epoch_us(F.col("ts")).alias("t"))
-                 .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-                 .withColumn("cell", cell_of(F.col("t"), gap)))
+    points = (candidates.groupBy(*keys, epoch_us(F.col("ts")).alias("t"))
+              .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    if last_created is not None:
+        points = _with_earlier(points, last_created, keys)
+    points = cut(points.withColumn("cell", cell_of(F.col("t"), gap)))
     largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= min(max_fold, MAX_DIRECT):
         kept = _fold_cooldown(points, keys, keys, gap)

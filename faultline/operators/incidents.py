@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.catalog import GENERIC_TEXT, pattern_texts_frame
 from faultline.config import IncidentConfig
-from faultline.functions.text import clip, render
-from faultline.operators.dedup import cooldown, fingerprint
-from faultline.operators.rules import match_rules
+from faultline.functions.text import clip, hosted, render
+from faultline.lineage import cut
+from faultline.operators.dedup import EARLIER, cooldown, fingerprint
+from faultline.operators.rules import RULE_FIELDS, match_rules
 from faultline.schemas import ACTIVE_STATES
 
 DEDUP_KEYS = ["host", "fingerprint"]
@@ -20,16 +21,34 @@ def _incident_id() -> Column:
 
 def event_candidates(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule matches with their fingerprint."""
-    return match_rules(events, rules).withColumn(
+    return match_rules(hosted(events), rules).withColumn(
         "fingerprint", fingerprint(F.col("rule_id"), F.col("account"), F.col("ip_address"), F.col("category")))
 
 
-def incidents_from_events(events: DataFrame, rules: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
+def last_created(existing: DataFrame) -> DataFrame:
+    """When each fingerprint last passed its cooldown, from the incident table: host, fingerprint, ts."""
+    at = F.col("last_ts") if "last_ts" in existing.columns else F.col("updated_at")
+    return hosted(existing).groupBy(*DEDUP_KEYS).agg(F.max(at).alias("ts"))
+
+
+def cooled_events(events: DataFrame, rules: DataFrame, cfg: IncidentConfig = IncidentConfig(), earlier: DataFrame | None = None) -> DataFrame:
+    """The matches that pass the cooldown, narrow: host, fingerprint, ts, id, n and rule_id.
+
+    Events are matched once; only keys are kept. Rows with id EARLIER stand for ``earlier`` (see dedup.cooldown).
+    """
+    matches = cut(event_candidates(events, rules).select(*DEDUP_KEYS, "ts", "id", "rule_id"))
+    kept = cooldown(matches, DEDUP_KEYS, cfg.cooldown_s, last_created=earlier)
+    return kept.join(matches.select(*DEDUP_KEYS, "id", "rule_id"), [*DEDUP_KEYS, "id"], "left")
+
+
+def incidents_from_events(events: DataFrame, rules: DataFrame, cfg: IncidentConfig = IncidentConfig(),
+                          cooled: DataFrame | None = None) -> DataFrame:
     """New incidents from single events after the cooldown of their fingerprint."""
-    candidates = event_candidates(events, rules)
-    kept = cooldown(candidates.select(*DEDUP_KEYS, "ts", "id"), DEDUP_KEYS, cfg.cooldown_s)
-    # narrow keys went through the cooldown; the wide columns come back for the few that passed
-    chosen = candidates.join(kept.select(*DEDUP_KEYS, "id", "n"), [*DEDUP_KEYS, "id"])
+    cooled = cooled_events(events, rules, cfg) if cooled is None else cooled
+    # narrow keys went through the cooldown; the wide columns come for the few that passed
+    texts = rules.select("rule_id", *[F.col(c).alias(f"rule_{c}") for c in RULE_FIELDS if c != "rule_id"])
+    passed = cooled.filter(F.col("id") != EARLIER).select(*DEDUP_KEYS, "id", "rule_id", "n")
+    chosen = hosted(events).join(passed, ["host", "id"]).join(texts, "rule_id")
     values = {
         "message": F.col("message"), "account": F.col("account"), "ip": F.col("ip_address"),
         "domain": F.col("domain"), "source": F.col("source"), "category": F.col("category"),
@@ -55,17 +74,28 @@ def incidents_from_events(events: DataFrame, rules: DataFrame, cfg: IncidentConf
         (F.col("n") - 1).alias("suppressed_count"))
 
 
-def cool_correlations(correlations: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
+def keyed_correlations(correlations: DataFrame) -> DataFrame:
+    """Correlations with rule_id, fingerprint and an id of their own."""
+    rule_id = F.concat(F.lit("corr_"), F.col("pattern"))
+    return (hosted(correlations)
+            .withColumn("rule_id", rule_id)
+            .withColumn("fingerprint", fingerprint(rule_id, F.col("account"), F.col("ip"), F.col("category")))
+            .withColumn("_id", F.sha2(F.concat_ws("|", "host", "fingerprint", F.col("win_end").cast("string"), "type"), 256)))
+
+
+def cooled_keys(keyed: DataFrame, cfg: IncidentConfig = IncidentConfig(), earlier: DataFrame | None = None) -> DataFrame:
+    """The cooldown of keyed_correlations: host, fingerprint, ts, id, n (see dedup.cooldown for ``earlier``)."""
+    return cooldown(keyed.select(*DEDUP_KEYS, F.col("win_end").alias("ts"), F.col("_id").alias("id")), DEDUP_KEYS,
+                    cfg.cooldown_s, last_created=earlier)
+
+
+def cool_correlations(correlations: DataFrame, cfg: IncidentConfig = IncidentConfig(), kept: DataFrame | None = None) -> DataFrame:
     """Correlations that pass the cooldown of their fingerprint, with rule_id, fingerprint and n.
 
     Done before evidence is gathered, so that only correlations which become incidents need any.
     """
-    rule_id = F.concat(F.lit("corr_"), F.col("pattern"))
-    keyed = (correlations
-             .withColumn("rule_id", rule_id)
-             .withColumn("fingerprint", fingerprint(rule_id, F.col("account"), F.col("ip"), F.col("category")))
-             .withColumn("_id", F.sha2(F.concat_ws("|", "host", "fingerprint", F.col("win_end").cast("string"), "type"), 256)))
-    kept = cooldown(keyed.select(*DEDUP_KEYS, F.col("win_end").alias("ts"), F.col("_id").alias("id")), DEDUP_KEYS, cfg.cooldown_s)
+    keyed = keyed_correlations(correlations)
+    kept = cooled_keys(keyed, cfg) if kept is None else kept
     return keyed.join(kept.select(*DEDUP_KEYS, F.col("id").alias("_id"), "n"), [*DEDUP_KEYS, "_id"]).drop("_id")
 
 
@@ -109,22 +139,24 @@ def incidents_from_correlations(cooled: DataFrame, cfg: IncidentConfig = Inciden
 def latest_active(incidents: DataFrame) -> DataFrame:
     """The newest open incident of each fingerprint."""
     newest = Window.partitionBy(*DEDUP_KEYS).orderBy(F.desc("ts"), F.desc("id"))
-    return (incidents.filter(F.col("state").isin(*ACTIVE_STATES))
+    return (hosted(incidents).filter(F.col("state").isin(*ACTIVE_STATES))
             .withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn"))
 
 
 def match_active(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates with ``active_id``: the open incident they repeat, or null for a new one."""
     open_ids = latest_active(existing).select(*DEDUP_KEYS, F.col("id").alias("active_id"))
-    return candidates.join(open_ids, DEDUP_KEYS, "left")
+    return hosted(candidates).join(open_ids, DEDUP_KEYS, "left")
 
 
-def merge_occurrences(candidates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def merge_occurrences(candidates: DataFrame, existing: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
     """The incident table after a batch of candidates.
 
     A candidate whose fingerprint is open adds one occurrence to it; otherwise the first candidate of the fingerprint
-    opens an incident and its later candidates add to that. Of several open incidents the newest counts.
+    opens an incident and its later candidates add to that. Of several open incidents the newest counts. ``covered``
+    (host, fingerprint, n): candidates that the cooldown of an earlier one covered; they count as suppressed there.
     """
+    candidates = hosted(candidates)
     summed = candidates.groupBy(*DEDUP_KEYS).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("_new"),
         F.sum("suppressed_count").alias("_suppressed"), F.min_by("id", F.struct("ts", "id")).alias("id"))
@@ -139,6 +171,13 @@ def merge_occurrences(candidates: DataFrame, existing: DataFrame | None = None)
     fresh = opened.join(active.select(*DEDUP_KEYS), DEDUP_KEYS, "left_anti")
     hits = (active.join(summed.drop("id"), DEDUP_KEYS)
             .select("id", "_new", F.col("last_ts").alias("_last"), F.col("_suppressed")))
+    if covered is not None:
+        newest = Window.partitionBy(*DEDUP_KEYS).orderBy(F.desc("last_ts"), F.desc("ts"), F.desc("id"))
+        last = (hosted(existing).select(*DEDUP_KEYS, "id", "ts", F.col("last_ts" if "last_ts" in existing.columns else "updated_at").alias("last_ts"))
+                .withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1"))
+        more = covered.groupBy(*DEDUP_KEYS).agg(F.sum("n").alias("_covered")).join(last, DEDUP_KEYS).select("id", "_covered")
+        hits = (hits.join(more, "id", "full").withColumn("_suppressed", F.coalesce("_suppressed", F.lit(0)) + F.coalesce("_covered", F.lit(0)))
+                .drop("_covered"))
     old = existing if "first_ts" in existing.columns else existing.withColumns(
         {"first_ts": F.col("ts"), "last_ts": F.col("updated_at")})
     grown = (old.join(hits, "id", "left")

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.config import Retention
-from faultline.functions.times import epoch_us
-from faultline.operators.views import EXPORT_CAP, filter_incidents, newest
+from faultline.operators.views import filter_incidents, newest
 from faultline.schemas import CLOSED_STATES, OPERATOR_STATES
 
-DAY_US = 86_400 * 1_000_000
 INCIDENT_ACTION = "update_incident_"
 
 
@@ -57,7 +55,7 @@ def audit_trail(actions: DataFrame, new: DataFrame, n: int = 100) -> DataFrame:
 def _kept(table: str, df: DataFrame, days: int | None, closed_only: bool, as_of: Column) -> Column:
     if days is None:
         return F.lit(True)
-    young = epoch_us(F.col("ts")) >= epoch_us(as_of) - F.lit(days * DAY_US)
+    young = F.col("ts") >= as_of - F.expr(f"INTERVAL '{days}' DAY")  # the bound is computed on the literal's side, so it is pushed down
     if table == "incidents" and closed_only:
         return young | ~F.col("state").isin(*CLOSED_STATES)
     return young
@@ -65,14 +63,18 @@ def _kept(table: str, df: DataFrame, days: int | None, closed_only: bool, as_of:
 
 def retain(table: str, df: DataFrame, as_of: Column, policy: Retention = Retention()) -> DataFrame:
     """Rows of a table that its retention keeps."""
-    return df.filter(_kept(table, df, getattr(policy, table), policy.closed_only, as_of))
+    days = getattr(policy, table, None)
+    kept = df.filter(_kept(table, df, days, policy.closed_only, as_of))
+    if days is None or "event_date" not in df.columns or table == "incidents" and policy.closed_only:
+        return kept
+    return kept.filter(F.col("event_date") >= F.to_date(as_of - F.expr(f"INTERVAL '{days}' DAY")))
 
 
 def retention_report(tables: dict[str, DataFrame], as_of: Column, policy: Retention = Retention()) -> DataFrame:
     """Per table: rows kept and rows deleted."""
     out = None
     for name, df in tables.items():
-        keep = _kept(name, df, getattr(policy, name), policy.closed_only, as_of)
+        keep = _kept(name, df, getattr(policy, name, None), policy.closed_only, as_of)
         one = df.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("deleted")).select(
             F.lit(name).alias("table_name"), "kept", "deleted")
         out = one if out is None else out.unionByName(one)
@@ -96,8 +98,10 @@ def insert_ignore(current: DataFrame, new: DataFrame, key: str = "id") -> DataFr
     return new.dropDuplicates([key]).join(current.select(key), key, "left_anti")
 
 
-def export_rows(incidents: DataFrame, state=None, severity=None, limit: int = EXPORT_CAP) -> DataFrame:
-    return newest(filter_incidents(incidents, state=state, severity=severity), limit)
+def export_rows(incidents: DataFrame, state=None, severity=None, limit: int | None = None) -> DataFrame:
+    """All matching incidents, or the ``limit`` newest ones."""
+    rows = filter_incidents(incidents, state=state, severity=severity)
+    return rows if limit is None else newest(rows, limit)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -127,9 +131,12 @@ def write_table(df: DataFrame, path: str, sort_by: tuple[str, ...] = ("source",
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
-def read_evolved(spark, path: str, defaults: dict[str, object]) -> DataFrame:
-    """Read files of several schema versions; columns that older files lack get their default."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_evolved(spark, path: str, defaults: dict[str, object], schema=None) -> DataFrame:
+    """Read files of several schema versions; columns that older files lack get their default.
+
+    With the current ``schema`` given, no footers are read to find it out; without it, they are all read and merged.
+    """
+    df = spark.read.option("mergeSchema", "true").parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
     for name, value in defaults.items():
         df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
     return df

@@ -83,7 +83,10 @@ def bucket_for(hours: int) -> str:
 def downsample(snapshots: DataFrame, hours: int | str, as_of: Column, keys: tuple[str, ...] = ("host",)) -> DataFrame:
     """Average gauges per bucket over the last ``hours`` (a number or a named range), oldest first."""
     hours = RANGES[hours] if isinstance(hours, str) else hours
-    recent = snapshots.filter(epoch_us(F.col("ts")) >= epoch_us(as_of) - F.lit(hours * 3600 * 1_000_000))
+    bound = as_of - F.expr(f"INTERVAL '{hours}' HOUR")
+    recent = snapshots.filter(F.col("ts") >= bound)
+    if "event_date" in snapshots.columns:
+        recent = recent.filter(F.col("event_date") >= F.to_date(bound))
     return (recent.groupBy(*keys, F.window("ts", bucket_for(hours)).alias("w"))
             .agg(*[F.avg(g).alias(g) for g in CHART_GAUGES])
             .select(*keys, F.col("w.start").alias("ts"), *CHART_GAUGES).orderBy("ts", *keys))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.severity import DB_LEVELS
-from faultline.functions.text import captured, clip, group_columns, has, lookup, search
+from faultline.functions.text import captured, clip, has, hosted, lookup, search
 from faultline.functions.times import iso_ts, short_parts, short_ts
-from faultline.operators.parsers.base import LineParser, Values, at, event, groups, named, raw
+from faultline.operators.parsers.base import LineParser, Values, at, event, groups, raw
 from faultline.operators.sequence import fill_forward
 
 LONG = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)\s+(\d+)\s+\[(\w+)\]\s+(?:\[([^\]]*)\]\s+)?(.*)$"
 SHORT = r"(\d{6}\s+\d{1,2}:\d{2}:\d{2})\s+\[(\w+)\]\s+(.*)$"
-SLOW = r"# Query_time:\s+([\d.]+)\s+Lock_time:\s+([\d.]+)\s+Rows_sent:\s+(\d+)\s+Rows_examined:\s+(\d+)"
-SLOW_USER = r"# User@Host:\s+(\S+?)(?:\[\S*\])?\s+@\s+(\S*)\s+\[([^\]]*)\]"
+QUERY_HEAD, USER_HEAD = "# Query_time:", "# User@Host:"
+# What a shipper or rotation adds to a log's name: numbers or times behind a dot, dash or underscore, and a file ending.
+CHUNK = r"(?:[._-][0-9][0-9T:-]*)*(?:\.(?:gz|bz2|zst|txt))?$"
+CHUNK_LINES = 1 << 40
 
 # Words that make an error critical.
 CRASH = "crash|segfault|assertion|fatal|aborting|shutting down"
@@ -51,10 +53,20 @@ def _error_event() -> Values:
                                     user.alias("mysql_user"), at("client").alias("mysql_host"))))
 
 
+def _named_numbers() -> Values:
+    """The header's ``Name: value`` pairs, in any order and with others between them."""
+    pairs = F.split(F.regexp_replace(raw(), r":\s+", "="), r"\s+")
+    return {"pairs": F.filter(pairs, lambda p: F.contains(p, F.lit("=")))}
+
+
 def _slow_values() -> Values:
-    v = named("slow", "query", "lock", "sent", "examined")
-    return {"took": v["query"].try_cast("double"), "locked": v["lock"].try_cast("double"),
-            "sent": v["sent"].try_cast("long"), "examined": v["examined"].try_cast("long"),
+    def number(name: str) -> Column:
+        own = F.filter(at("pairs"), lambda p: F.startswith(p, F.lit(name + "=")))
+        return F.substring_index(F.try_element_at(own, F.lit(1)), "=", -1)
+
+    return {"took": number("Query_time").try_cast("double"), "locked": F.coalesce(number("Lock_time").try_cast("double"), F.lit(0.0)),
+            "sent": F.coalesce(number("Rows_sent").try_cast("long"), F.lit(0).cast("long")),
+            "examined": F.coalesce(number("Rows_examined").try_cast("long"), F.lit(0).cast("long")),
             "user": F.coalesce("q_user", F.lit("unknown"))}
 
 
@@ -74,23 +86,59 @@ def _slow_event() -> Values:
             F.coalesce("q_client", F.lit("")).alias("host"), F.lit("slow_query").alias("type"))))
 
 
-def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000) -> DataFrame:
-    """Keep only slow-log header lines and give each ``# Query_time`` line the last user seen before it in its file.
+def slow_user(line: Column) -> Column:
+    """(u, c, i) of a ``# User@Host: user[name] @ client [address]`` header, cut at its at-sign and brackets; else null."""
+    sides = F.split(F.substring(line, len(USER_HEAD) + 1, 1 << 20), r"\s+@\s*")
+    user = F.nullif(F.substring_index(F.trim(F.try_element_at(sides, F.lit(1))), "[", 1), F.lit(""))
+    place = F.try_element_at(sides, F.lit(2))
+    whole = line.startswith(USER_HEAD) & user.isNotNull() & F.contains(place, F.lit("[")) & F.contains(place, F.lit("]"))
+    address = F.substring_index(F.substring_index(place, "[", -1), "]", 1)
+    return F.when(whole, F.struct(user.alias("u"), F.trim(F.substring_index(place, "[", 1)).alias("c"), address.alias("i")))
+
+
+def log_stream(file_path: Column) -> Column:
+    """The log that a chunk is part of."""
+    return F.regexp_replace(file_path, CHUNK, "")
+
+
+def _in_stream(heads: DataFrame) -> DataFrame:
+    """Adds _stream and _order: chunks of a log by their names' endings (shorter first, then by text), lines in them by number."""
+    ending = F.substring(F.col("file_path"), F.length("_stream") + 1, 1 << 20)
+    placed = heads.withColumn("_stream", log_stream(F.col("file_path"))).withColumn("_ending", ending)
+    by = Window.partitionBy("host", "_stream").orderBy(F.length("_ending"), "_ending")
+    chunks = placed.select("host", "_stream", "_ending").distinct().withColumn("_chunk", F.row_number().over(by))
+    return (placed.join(chunks, ["host", "_stream", "_ending"])
+            .withColumn("_order", F.col("_chunk") * F.lit(CHUNK_LINES) + F.col("line_no")).drop("_ending", "_chunk"))
+
+
+def slow_heads(lines: DataFrame) -> DataFrame:
+    """Only the slow log's header lines, with their log stream, their order in it and the user named (_seen)."""
+    heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD))
+    return _in_stream(heads).withColumn("_seen", slow_user(raw()))
+
+
+def last_users(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The last user of each log stream, (host, _stream, _seen): what a later batch of its lines starts from."""
+    now = slow_heads(lines).filter(F.col("_seen").isNotNull()).groupBy("host", "_stream").agg(F.max_by("_seen", "_order").alias("_seen"))
+    return now if before is None else now.unionByName(before.join(now, ["host", "_stream"], "left_anti"))
+
+
+def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000, before: DataFrame | None = None) -> DataFrame:
+    """Keep only slow-log header lines and give each ``# Query_time`` line the last user seen before it in its log.
 
-    Adds q_user, q_client, q_ip; User@Host lines themselves are gone from the result.
+    A log may come as several chunks; the user carries over from one to the next, and from earlier batches through
+    ``before`` (see last_users). Adds q_user, q_client, q_ip; User@Host lines themselves are gone from the result.
     """
-    heads = lines.filter(raw().startswith("# Query_time:") | raw().startswith("# User@Host:"))
-    user, client, ip = group_columns(captured(raw(), SLOW_USER, 3), 3)
-    seen = heads.withColumn(
-        "_seen", F.when(user.isNotNull(), F.struct(user.alias("u"), client.alias("c"), ip.alias("i"))))
-    filled = fill_forward(seen, ["host", "file_path"], "line_no", "_seen", block_lines)
-    return (filled.filter(raw().startswith("# Query_time:"))
+    seen = slow_heads(lines)
+    if before is not None:
+        seen = seen.unionByName(before.withColumn("_order", F.lit(-1).cast("long")), allowMissingColumns=True)
+    filled = fill_forward(seen, ["host", "_stream"], "_order", "_seen", block_lines)
+    return (filled.filter(raw().startswith(QUERY_HEAD))
             .withColumn("q_user", F.col("_seen.u")).withColumn("q_client", F.col("_seen.c"))
-            .withColumn("q_ip", F.col("_seen.i")).drop("_seen"))
+            .withColumn("q_ip", F.col("_seen.i")).drop("_seen", "_stream", "_order"))
 
 
 ERROR_LOG = LineParser("database", (_error_captures, _error_values, _error_words), _error_event,
                        lambda line: line.rlike(r"^\d"))
 # Takes lines that went through with_slow_query_user.
-SLOW_LOG = LineParser("database", (lambda: {"slow": captured(raw(), SLOW, 4)}, _slow_values), _slow_event,
-                      lambda line: line.startswith("# Query_time:"))
+SLOW_LOG = LineParser("database", (_named_numbers, _slow_values), _slow_event, lambda line: line.startswith(QUERY_HEAD))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from faultline.functions.severity import WEB_LEVELS
 from faultline.functions.text import captured, clip, contains_any, lookup, parse_size, search
 from faultline.functions.times import access_parts, access_ts, error_parts, error_ts, plain_ts
-from faultline.operators.parsers.base import LineParser, Values, at, either, event, groups, named, raw
+from faultline.operators.parsers.base import LineParser, Values, at, either, event, groups, raw
 
 # Request paths that scanners look for, and the domain endings that count as a host name.
 SUSPICIOUS = (
@@ -16,12 +16,6 @@ SUSPICIOUS = (
 )
 TLDS = "com|net|org|io|co|info|biz|us|uk|ca|au|de|fr|in|ru|jp|br|mx|za|xyz|dev|app|site|online|store|tech"
 
-# Common or combined log format.
-ACCESS = (
-    r'([\d.:a-fA-F]+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+'
-    r'"(\S+)\s+(\S+)\s+([^"]+)"\s+(\d{3})\s+(\d+|-)'
-    r'(?:\s+"([^"]*)"\s+"([^"]*)")?'
-)
 # A line without such a status can never become an event; this test is far cheaper than the full pattern.
 ACCESS_GUARD = r'"\s+(?:[5-9]\d\d|40[13])\s'
 # [time] [module:level] [pid n] [client ip] text -- pid and client are read apart.
@@ -54,12 +48,37 @@ def _maybe_access(line: Column) -> Column:
     return line.rlike(ACCESS_GUARD)
 
 
+def _access_parts(line: Column) -> Values:
+    """A common or combined line, cut at its quotes: head, request, status and size, referer, blank, agent.
+
+    A quote behind a backslash belongs to the quoted text.
+    """
+    return {"cut": F.split(line, r'(?<!\\)"')}
+
+
 def _access_captures() -> Values:
-    return {"access": captured(raw(), ACCESS, 11)}
+    return _access_parts(raw())
+
+
+def _access_words() -> Values:
+    def piece(n: int) -> Column:
+        return F.try_element_at(at("cut"), F.lit(n))
+
+    return {"who": F.split(F.substring_index(piece(1), "[", 1), r"\s+"), "asked": F.split(piece(2), r"\s+"),
+            "answer": F.split(F.trim(piece(3)), r"\s+"), "between": F.substring_index(F.substring_index(piece(1), "[", -1), "]", 1),
+            "fourth": F.coalesce(piece(4), F.lit("")), "sixth": F.coalesce(piece(6), F.lit(""))}
 
 
 def _access_values() -> Values:
-    v = named("access", "ip", "", "user", "time", "method", "path", "", "status", "size", "referer", "agent")
+    def word(name: str, n: int) -> Column:
+        return F.try_element_at(at(name), F.lit(n))
+
+    # address, identity, user and an empty end; method, path and protocol; three digits and a size
+    whole = ((F.size(at("who")) == 4) & (word("who", 4) == "") & word("who", 1).rlike("^[0-9a-fA-F.:]+$") & (F.size(at("asked")) >= 3)
+             & word("answer", 1).rlike("^[0-9]{3}$") & word("answer", 2).rlike("^(?:[0-9]+|-)$"))
+    parts = {"ip": word("who", 1), "user": word("who", 3), "time": at("between"), "method": word("asked", 1), "path": word("asked", 2),
+             "status": word("answer", 1), "size": word("answer", 2), "referer": at("fourth"), "agent": at("sixth")}
+    v = {n: F.when(whole, c) for n, c in parts.items()}
     return {**v, "code": v["status"].try_cast("int"), "bytes": parse_size(v["size"]),
             "lower_path": F.lower(v["path"]), "when": access_parts(v["time"])}
 
@@ -111,12 +130,12 @@ def _error_guard(line: Column) -> Column:
     return line.startswith("[") | _dated(line)
 
 
-ACCESS_LOG = LineParser("web", (_access_captures, _access_values, _access_class), _access_event, _maybe_access)
+ACCESS_LOG = LineParser("web", (_access_captures, _access_words, _access_values, _access_class), _access_event, _maybe_access)
 ERROR_LOG = LineParser("web", (_error_captures, _error_values), _error_event, _error_guard)
 # Either kind of line; the shapes exclude each other.
 WEB = LineParser(
     "web",
-    (lambda: {"access": captured(F.when(_maybe_access(raw()) & ~raw().startswith("#"), raw()), ACCESS, 11), **_error_captures()},
-     lambda: {**_access_values(), **_error_values()}, _access_class),
+    (lambda: {**_access_parts(F.when(_maybe_access(raw()) & ~raw().startswith("#"), raw())), **_error_captures()},
+     lambda: {**_access_words(), **_error_values()}, _access_values, _access_class),
     lambda: either(_access_event(), _error_event()),
     lambda line: _error_guard(line) | _maybe_access(line))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.times import cell_of, epoch_us
 
@@ -19,27 +19,37 @@ def _carry(blocks: DataFrame, keys: list[str], value: str) -> DataFrame:
     return blocks.select(*keys, "_block", F.last(value, ignorenulls=True).over(before).alias("_carried"))
 
 
-def _with_carry(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def _same(rows: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
+    """Join on ``by`` in which null keys meet like any other."""
+    renamed = others.select(*[F.col(c).alias(f"_of_{c}") if c in by else F.col(c) for c in others.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return rows.join(renamed, same).drop(*[f"_of_{c}" for c in by])
+
+
+def _with_carry(rows: DataFrame, keys: list[str], order: Column, value: str) -> DataFrame:
     ends = rows.groupBy(*keys, "_block").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
-    return rows.join(_carry(ends, keys, value), [*keys, "_block"])
+        F.max_by(value, F.when(F.col(value).isNotNull(), order)).alias(value))
+    return _same(rows, _carry(ends, keys, value), [*keys, "_block"])
 
 
 def fill_forward(rows: DataFrame, keys: list[str], order: str, value: str, block: int) -> DataFrame:
     """Replace nulls of ``value`` by the last non-null one at or before the row, per key, in ``order`` (a long)."""
     blocked = rows.withColumn("_block", cell_of(F.col(order), block))
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = _with_carry(blocked, keys, order, value)
+    carried = _with_carry(blocked, keys, F.col(order), value)
     return (carried.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carried"))
             .drop("_block", "_carried"))
 
 
 def previous_row(rows: DataFrame, keys: list[str], ts: str, block_s: int, **values: str) -> DataFrame:
-    """Adds, per key, the named columns of the previous row in time; ``values`` maps new names to columns."""
+    """Adds, per key, the named columns of the previous row in time; ``values`` maps new names to columns.
+
+    Rows of one instant are ordered by these columns, so the result does not depend on how rows arrive.
+    """
     blocked = rows.withColumn("_block", cell_of(epoch_us(F.col(ts)), block_s * 1_000_000))
     blocked = blocked.withColumn("_row", F.struct(F.col(ts).alias("_ts"), *[F.col(c).alias(n) for n, c in values.items()]))
-    inside = Window.partitionBy(*keys, "_block").orderBy(ts)
-    carried = _with_carry(blocked, keys, ts, "_row")
+    inside = Window.partitionBy(*keys, "_block").orderBy("_row")
+    carried = _with_carry(blocked, keys, F.col("_row"), "_row")
     out = carried.withColumn("_prev", F.coalesce(F.lag("_row").over(inside), "_carried"))
     return (out.select(*rows.columns, *[F.col(f"_prev.{n}").alias(n) for n in values],
                        F.col("_prev._ts").alias("prev_ts")))
@@ -68,6 +78,4 @@ def trailing_count(rows: DataFrame, keys: list[str], ts: str = "ts", window_s: i
         f"sum(_n) over (partition by {by} order by `{ts}` "
         f"range between interval {window_s} seconds preceding and current row)")
     sums = cells.withColumn(name, summed).filter("_own")
-    renamed = sums.select(*[F.col(c).alias(f"_{c}") for c in [*keys, ts]], name)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, ts]]
-    return rows.join(renamed, reduce(lambda a, b: a & b, same)).drop(*[f"_{c}" for c in [*keys, ts]])
+    return _same(rows, sums.select(*keys, ts, name), [*keys, ts])

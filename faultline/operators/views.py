@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions.times import clock, epoch_us
+from faultline.functions.times import clock
 from faultline.schemas import ACTIVE_STATES, SEVERITIES
 
-HOUR_US = 3600 * 1_000_000
-# Largest page per list.
-PAGE_CAPS = {"events": 500, "incidents": 200, "alerts": 200, "actions": 500}
-EXPORT_CAP = 10_000
+HOUR = "INTERVAL '1' HOUR"
 
 
 def _matching(df: DataFrame, equal: dict[str, object | None]) -> DataFrame:
@@ -56,17 +53,16 @@ def newest(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
-def page(df: DataFrame, table: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page, newest first; the page size is capped per table."""
-    size = min(limit, PAGE_CAPS[table])
-    return df.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(size)
+def page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of as many rows as asked for, newest first."""
+    return df.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
-def page_after(df: DataFrame, table: str, last_ts, last_id, limit: int = 100) -> DataFrame:
+def page_after(df: DataFrame, last_ts, last_id, limit: int = 100) -> DataFrame:
     """Page that follows a known last row; deep pages then cost no more than the first."""
     ts = clock(last_ts)
     older = df.filter((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("id") < F.lit(last_id))))
-    return page(older, table, limit)
+    return page(older, limit)
 
 
 def total(df: DataFrame) -> DataFrame:
@@ -111,7 +107,7 @@ def page_counts(alerts_page: DataFrame) -> DataFrame:
 
 def event_stats(events: DataFrame, as_of: Column) -> DataFrame:
     return events.agg(*[F.count_if(F.col("severity") == s).alias(f"events_{s}") for s in SEVERITIES],
-                      F.count_if(epoch_us(F.col("ts")) >= epoch_us(as_of) - F.lit(HOUR_US)).alias("events_last_hour"))
+                      F.count_if(F.col("ts") >= as_of - F.expr(HOUR)).alias("events_last_hour"))
 
 
 def incident_stats(incidents: DataFrame) -> DataFrame:
@@ -166,3 +162,15 @@ def summary(events: DataFrame, incidents: DataFrame, alerts: DataFrame, snapshot
     row = one_row(event_stats(events, as_of), incident_stats(incidents), alert_stats(alerts), latest_gauges(snapshots), up, recent)
     return (row.withColumn("alerts_total", F.col("alerts_info") + F.col("alerts_warning") + F.col("alerts_critical"))
             .withColumn("server_health", server_health(unacked_only)))
+
+
+def services_by_name(services: DataFrame) -> DataFrame:
+    """The service list, by name and host."""
+    return services.orderBy("name", "host")
+
+
+def snapshot_list(snapshots: DataFrame, since=None, limit: int | None = None) -> DataFrame:
+    """Samples from ``since`` on (inclusive), newest first; all of them unless a limit is given."""
+    rows = snapshots if since is None else snapshots.filter(F.col("ts") >= clock(since))
+    rows = rows.orderBy(F.desc("ts"), "host")
+    return rows if limit is None else rows.limit(limit)

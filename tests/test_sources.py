@@ -25,7 +25,7 @@ def test_line_numbers_survive_splits(spark, tmp_path):
     assert seen[0] == seen[1]
     assert {(n, t) for f, n, t in seen[0] if f == "a.log"} == {(i + 1, t) for i, t in enumerate(texts) if t}
     b = {n: t for f, n, t in seen[0] if f == "b.log"}
-    assert b[1] == "bad � byte" and b[2] == "y" * 4096 + "...[truncated]"
+    assert b[1] == "bad � byte" and b[2] == "y" * 5000
     assert all(r.host == "h1" and r.log_name == "syslog" for r in rows)
 
 
@@ -56,3 +56,50 @@ def test_registry(spark):
     assert every.count() == 15
     some = log_lines.source_registry(spark, ("csf",))
     assert some.count() == 9 and some.filter(F.col("log_name") == "csf_log").first().parser == "firewall"
+
+
+def test_bad_sources_are_told_and_left_out(spark, tmp_path):
+    """A damaged archive and a missing path are reported; the others are read whole."""
+    import gzip
+
+    import pytest
+
+    for host, cut in (("good", None), ("bad", 2000)):
+        folder = tmp_path / f"host={host}" / "log=syslog"
+        os.makedirs(folder)
+        packed = gzip.compress("\n".join(f"line {i} {i * 7919}" for i in range(20_000)).encode())
+        (folder / "a.log.gz").write_bytes(packed[:len(packed) - cut] if cut else packed)
+    paths = [str(tmp_path / "host=good"), str(tmp_path / "host=bad"), str(tmp_path / "host=gone")]
+    lines, failed = log_lines.read_sources(spark, paths)
+    assert lines.count() == 20_000 and {r.log_name for r in lines.select("log_name").distinct().collect()} == {"syslog"}
+    assert {os.path.basename(r.path) for r in failed.collect()} == {"host=bad", "host=gone"} and all(r.error for r in failed.collect())
+    with pytest.raises(Exception):
+        log_lines.read_log_files(spark, paths[:2]).count()
+
+
+def test_parsing_reads_each_log_once(spark, tmp_path):
+    """Lines are staged by log name, so every parser's share reads only its own partitions."""
+    from faultline.operators.parsers.router import parse_all
+
+    for log in ("syslog", "apache_access"):
+        folder = tmp_path / "in" / "host=h" / f"log={log}"
+        os.makedirs(folder)
+        (folder / "a.log").write_text("x\n")
+    plan = parse_all(log_lines.read_log_files(spark, [str(tmp_path / "in")]))._jdf.queryExecution().executedPlan().toString()
+    scans = [part.split("\n")[0] for part in plan.split("FileScan parquet ")[1:]]
+    staged = [s for s in scans if "raw_line" in s]
+    assert staged and all("log_name" in s.split("PartitionFilters: ")[1].split("]")[0] for s in staged)
+
+
+def test_time_bounds_are_pushed_down(spark, tmp_path):
+    from faultline.functions.times import clock
+    from faultline.operators import lifecycle, metrics
+
+    rows = spark.createDataFrame([("h", "2024-01-05 00:00:00"), ("h", "2024-01-01 00:00:00")], "host string, ts string").select(
+        "host", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.lit(1.0).alias(g) for g in metrics.CHART_GAUGES])
+    lifecycle.write_table(rows, str(tmp_path / "t"))
+    table, now = spark.read.parquet(str(tmp_path / "t")), clock("2024-01-06 00:00:00")
+    for df in (lifecycle.retain("snapshots", table, now, lifecycle.Retention(snapshots=3)), metrics.downsample(table, 24 * 2, now)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "event_date" in plan.split("PartitionFilters: ")[1].split("]")[0] and "GreaterThanOrEqual(ts" in plan.split("PushedFilters: ")[1]
+    assert lifecycle.retain("alerts", rows, now).count() == 2
