@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import stored
+from faultline.llm.shared import only_rows, stored, with_row
 
 #: A digest on this share of the rows is split off for sure; the summary, and what is broadcast, has 1 / SUPPORT entries at most.
 SUPPORT = 0.001
@@ -33,6 +33,20 @@ def winners(rows: DataFrame) -> DataFrame:
             .select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")))
 
 
+def _settled(rows: DataFrame, support: float) -> DataFrame:
+    """``rows`` (doc_id, row, n_chars, digest; stored) with group_size, keep_id and keep_row of their digest."""
+    likely = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    verified = stored(winners(rows.join(F.broadcast(likely), "digest", "left_semi")).where("group_size > 1").coalesce(1), "frequent")
+    frequent = rows.join(F.broadcast(verified), "digest")
+    others = rows.join(F.broadcast(verified.select("digest")), "digest", "left_anti")
+    return frequent.unionByName(others.join(winners(others), "digest"))
+
+
+def _rows(docs: DataFrame, row: Column) -> DataFrame:
+    length = F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    return stored(docs.select("doc_id", row.alias("row"), length.alias("n_chars"), digest(F.col("text")).alias("digest")), "digests")
+
+
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``, dropped ones too.
 
@@ -40,20 +54,12 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     Of rows with the same id and text one stays (kept says which, by their order in the table). A null id loses against
     any other. An empty table gives no rows.
     """
-    length = F.char_length(F.coalesce(F.col("text"), F.lit("")))
-    rows = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), length.alias("n_chars"),
-                              digest(F.col("text")).alias("digest")), "digests")
-    likely = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    verified = stored(winners(rows.join(F.broadcast(likely), "digest", "left_semi")).where("group_size > 1").coalesce(1), "frequent")
-    frequent = rows.join(F.broadcast(verified), "digest")
-    others = rows.join(F.broadcast(verified.select("digest")), "digest", "left_anti")
-    settled = frequent.unionByName(others.join(winners(others), "digest"))
+    settled = _settled(_rows(docs, F.monotonically_increasing_id()), support)
     return settled.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows repeated with the same id and text one."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    named = docs.select(*(docs[c] for c in docs.columns), digest(docs["text"]).alias("kept_digest"))
-    same = named["doc_id"].eqNullSafe(kept["kept_id"]) & (named["kept_digest"] == kept["kept_digest"])
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "kept_digest"]).select(*docs.columns)
+def without_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one of each group of equal texts, chosen as in ``exact_duplicates``."""
+    placed = with_row(docs)
+    settled = _settled(_rows(placed, F.col("row_of_table")), support)
+    return only_rows(placed, settled.where(F.col("row") == F.col("keep_row")).withColumnRenamed("row", "row_of_table"))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row(docs: DataFrame, name: str = "row_of_table") -> DataFrame:
+    """``docs`` with a column that tells its rows apart and is the same whenever they are read.
+
+    For a table read from files: the file and the row's place in it, so nothing is written. Any other DataFrame is written
+    out once with numbered rows.
+    """
+    try:
+        placed = docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("n")))
+        placed.schema  # noqa: B018  resolves it now
+        return placed
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("n"))), "numbered")
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, name: str = "row_of_table") -> DataFrame:
+    """The rows of ``docs`` (from ``with_row``) that ``kept`` names, without that column."""
+    return docs.join(kept.select(name), name, "left_semi").drop(name)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns only, whatever else the table carries."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

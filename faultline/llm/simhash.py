@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import stars
-from faultline.llm.shared import slices, stored, texts_of
+from faultline.llm.shared import only_rows, slices, stored, texts_of, with_row
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Positional bytes that two fingerprints within MAX_BITS must share.
@@ -50,14 +50,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * tally > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, *more: str, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and the named columns of every row; a null text is empty."""
     def work(batches):
         for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *(batch.column(c) for c in more)], names=["doc_id", "fp", *more])
 
-    return texts_of(docs).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kept = "".join(f", `{c}` {docs.select(c).schema[0].dataType.simpleString()}" for c in more)
+    return texts_of(docs, *more).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kept}")
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +137,17 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return units.mapInArrow(_links, "a long, b long").distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """fp, root, component_id of every distinct fingerprint of ``fps`` (doc_id, fp; stored)."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    linked = stars(links(distinct))
+    rooted = distinct.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # a component's smallest id; only fingerprints with links have to meet for it
+    with_links = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
+    smallest = distinct.join(with_links, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "first_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row of ``docs``.
 
@@ -143,19 +155,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     linked like any other. Null ids are never the smallest unless all are null; repeated rows are rows of one component; an
     empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    linked = stars(links(distinct))
-    roots = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
-    rooted = distinct.join(roots, "fp")
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_linked = rooted.join(smallest, "root").select("fp", "component_id")
-    of_fp = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = stored(fingerprints(docs, shingle=shingle), "fingerprints")
+    return fps.join(_rooted(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The row of each component that has the smallest id, all columns. A null id stays only in a component of null ids."""
-    kept = (near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("kept_id")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, all columns: that with the smallest id (null last), of several the first in the table."""
+    placed = with_row(docs)
+    fps = stored(fingerprints(placed, "row_of_table", shingle=shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_of_table"))
+    kept = fps.join(_rooted(fps).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept")).select("kept.row_of_table")
+    return only_rows(placed, kept)

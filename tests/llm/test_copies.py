@@ -125,6 +125,8 @@ def test_one_of_each(docs_of):
     near = bin(plain_fingerprint(text) ^ plain_fingerprint(text + " end")).count("1") <= 4
     assert ids == ([-1, 2, 4, 11] if near else [-1, 2, 4, 9, 11])
     assert simhash.one_of_each(docs.where("false")).count() == 0
+    clash = simhash.one_of_each(docs_of([(7, "first text under this number"), (7, "and quite another one with it"), (7, "first text under this number")]))
+    assert sorted(r["text"][:3] for r in clash.collect()) == ["and", "fir"]
 
 
 def test_stars(spark):
