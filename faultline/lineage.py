@@ -8,24 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; only a local session may fall back to a folder of its own."""
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the one that ``spark.checkpoint.dir`` names; delete it when its results are stored.
+
+    Only a local session may lack the setting; it then gets one folder of its own.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="faultline-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="faultline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path for files of one run."""
-    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, so lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(_shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` out once and go on from there, so lost executors cost no recomputation and readers take the columns they need."""
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
