@@ -118,3 +118,26 @@ def in_unit(value: Column, unit: int, digits: int = 1) -> Column:
 def hosted(df: DataFrame) -> DataFrame:
     """Rows without a host belong to the host '' like those that name none; so no join by host loses them."""
     return df.withColumn("host", F.coalesce("host", F.lit("")))
+
+
+def words(text: Column, most: int = -1) -> Column:
+    """The words between white space; with ``most``, the last one is all the rest."""
+    return F.split(text, r"\s+", most)
+
+
+def nth(parts: Column, n: int) -> Column:
+    return F.try_element_at(parts, F.lit(n))
+
+
+def _opens_bracket(text: Column) -> Column:
+    return text.startswith("[") & F.contains(text, F.lit("]"))
+
+
+def bracketed(text: Column) -> Column:
+    """What stands in the bracket that a text begins with; null if it begins otherwise."""
+    return F.when(_opens_bracket(text), F.substring_index(F.substring(text, 2, 1 << 30), "]", 1))
+
+
+def behind_bracket(text: Column) -> Column:
+    """What follows the bracket that a text begins with, without white space before it; null if it begins otherwise."""
+    return F.when(_opens_bracket(text), F.regexp_replace(F.substring(text, F.instr(text, "]") + 1, F.length(text)), r"^\s+", ""))

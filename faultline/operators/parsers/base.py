@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions.text import group_columns
 from faultline.schemas import EVENTS, PARSED
 
 Values = dict[str, Column]
@@ -41,13 +40,12 @@ def at(name: str) -> Column:
     return F.col(f"_{name}")
 
 
-def groups(name: str, n: int) -> list[Column]:
-    return group_columns(at(name), n)
+def side_by_side(*stages: tuple[Callable[[], Values], ...]) -> tuple[Callable[[], Values], ...]:
+    """Stages of several formats as one list: each stage names the values of the same stage of all."""
+    def at_step(i: int) -> Callable[[], Values]:
+        return lambda: {n: c for own in stages if i < len(own) for n, c in own[i]().items()}
 
-
-def named(capture: str, *names: str) -> Values:
-    """The groups of a capture under their own names; '' as a name skips a group."""
-    return {n: g for n, g in zip(names, groups(capture, len(names))) if n}
+    return tuple(at_step(i) for i in range(max(map(len, stages))))
 
 
 def event(keep: Column, **fields: Column) -> Values:

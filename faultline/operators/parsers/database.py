@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.severity import DB_LEVELS
-from faultline.functions.text import captured, clip, has, hosted, lookup, search
+from faultline.functions.text import behind_bracket, bracketed, clip, has, hosted, lookup, nth, search, words
 from faultline.functions.times import iso_ts, short_parts, short_ts
-from faultline.operators.parsers.base import LineParser, Values, at, event, groups, raw
+from faultline.operators.parsers.base import LineParser, Values, at, event, raw
 from faultline.operators.sequence import fill_forward
 
-LONG = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)\s+(\d+)\s+\[(\w+)\]\s+(?:\[([^\]]*)\]\s+)?(.*)$"
-SHORT = r"(\d{6}\s+\d{1,2}:\d{2}:\d{2})\s+\[(\w+)\]\s+(.*)$"
 QUERY_HEAD, USER_HEAD = "# Query_time:", "# User@Host:"
 # What a shipper or rotation adds to a log's name: numbers or times behind a dot, dash or underscore, and a file ending.
 CHUNK = r"(?:[._-][0-9][0-9T:-]*)*(?:\.(?:gz|bz2|zst|txt))?$"
@@ -23,15 +21,25 @@ REFUSED = "Too many connections|max_connections|Connection refused|Can't connect
 DENIED = r"(?i)Access denied for user '([^']+)'@'([^']+)'"
 
 
-def _error_captures() -> Values:
-    return {"long": captured(raw(), LONG, 5), "short": captured(raw(), SHORT, 3)}
+def _error_heads() -> Values:
+    """``time thread [level] [code] text`` or ``yymmdd time [level] text``: the words before the first bracket, and the rest."""
+    return {"head": words(F.trim(F.substring_index(raw(), "[", 1))), "tail": F.substring(raw(), F.instr(raw(), "["), F.length(raw()))}
+
+
+def _error_tags() -> Values:
+    first, n = nth(at("head"), 1), F.size(at("head"))
+    numbered = nth(at("head"), -1).rlike("^[0-9]+$")
+    dated = first.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    return {"tag": bracketed(at("tail")), "rest": behind_bracket(at("tail")), "short": (n == 2) & first.rlike("^[0-9]{6}$"),
+            "long": dated & numbered & ((n == 2) | (n == 3)), "stamp": F.when(n == 2, first).otherwise(F.concat_ws(" ", first, nth(at("head"), 2)))}
 
 
 def _error_values() -> Values:
-    l_time, _, l_level, code, l_text = groups("long", 5)
-    s_time, s_level, s_text = groups("short", 3)
-    return {"level": F.lower(F.coalesce(l_level, s_level)), "text": F.coalesce(l_text, s_text), "l_time": l_time,
-            "code": F.coalesce(code, F.lit("")), "s_when": short_parts(s_time)}
+    code = F.when(at("long"), bracketed(at("rest")))
+    whole = (at("short") | at("long")) & at("tag").rlike("^[A-Za-z0-9_]+$")
+    return {"level": F.lower(F.when(whole, at("tag"))), "text": F.when(code.isNotNull(), behind_bracket(at("rest"))).otherwise(at("rest")),
+            "l_time": F.when(at("long"), at("stamp")), "code": F.coalesce(code, F.lit("")),
+            "s_when": short_parts(F.when(at("short"), F.array_join(at("head"), " ")))}
 
 
 def _error_words() -> Values:
@@ -138,7 +146,7 @@ def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000, before:
             .withColumn("q_ip", F.col("_seen.i")).drop("_seen", "_stream", "_order"))
 
 
-ERROR_LOG = LineParser("database", (_error_captures, _error_values, _error_words), _error_event,
+ERROR_LOG = LineParser("database", (_error_heads, _error_tags, _error_values, _error_words), _error_event,
                        lambda line: line.rlike(r"^\d"))
 # Takes lines that went through with_slow_query_user.
 SLOW_LOG = LineParser("database", (_named_numbers, _slow_values), _slow_event, lambda line: line.startswith(QUERY_HEAD))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from faultline.functions.severity import WEB_LEVELS
-from faultline.functions.text import captured, clip, contains_any, lookup, parse_size, search
+from faultline.functions.text import behind_bracket, bracketed, clip, contains_any, lookup, nth, parse_size, search, words
 from faultline.functions.times import access_parts, access_ts, error_parts, error_ts, plain_ts
-from faultline.operators.parsers.base import LineParser, Values, at, either, event, groups, raw
+from faultline.operators.parsers.base import LineParser, Values, at, either, event, raw, side_by_side
 
 # Request paths that scanners look for, and the domain endings that count as a host name.
 SUSPICIOUS = (
@@ -18,13 +18,6 @@ TLDS = "com|net|org|io|co|info|biz|us|uk|ca|au|de|fr|in|ru|jp|br|mx|za|xyz|dev|a
 
 # A line without such a status can never become an event; this test is far cheaper than the full pattern.
 ACCESS_GUARD = r'"\s+(?:[5-9]\d\d|40[13])\s'
-# [time] [module:level] [pid n] [client ip] text -- pid and client are read apart.
-ERROR_BRACKETED = (
-    r'\[([^\]]+)\]\s+\[(?:(\S+):)?(\S+)\]\s+'
-    r'(?:\[pid\s+[^\]]+\]\s+)?(?:\[client\s+([^\]]+)\]\s+)?(.*)$'
-)
-# yyyy-MM-dd HH:mm:ss.fff [LEVEL] [module] text
-ERROR_DATED = r'(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+\[(\w+)\]\s+(?:\[([^\]]*)\]\s+)?(.*)$'
 
 
 def suspicious_path(path: Column) -> Column:
@@ -103,17 +96,33 @@ def _access_event() -> Values:
             at("agent").alias("user_agent"), at("referer").alias("referer"), at("user").alias("user"))))
 
 
-def _error_captures() -> Values:
-    return {"bracketed": captured(F.when(raw().startswith("["), raw()), ERROR_BRACKETED, 5),
-            "dated": captured(F.when(_dated(raw()), raw()), ERROR_DATED, 4)}
+def _error_heads() -> Values:
+    """``[time] [module:level] [pid n] [client ip] text`` by its brackets, ``date time [level] [module] text`` by its words."""
+    dated = words(F.when(_dated(raw()), raw()), 3)
+    return {"b_time": bracketed(raw()), "b_rest": behind_bracket(raw()), "date": nth(dated, 1), "clock": nth(dated, 2), "d_rest": nth(dated, 3)}
+
+
+def _error_levels() -> Values:
+    return {"tag": bracketed(at("b_rest")), "b_more": behind_bracket(at("b_rest")), "d_level": bracketed(at("d_rest")), "d_more": behind_bracket(at("d_rest"))}
+
+
+def _error_places() -> Values:
+    more = at("b_more")
+    return {"b_place": F.when(more.startswith("[pid "), behind_bracket(more)).otherwise(more),
+            "d_module": bracketed(at("d_more")), "d_text": F.coalesce(behind_bracket(at("d_more")), at("d_more"))}
 
 
 def _error_values() -> Values:
-    b_time, b_module, b_level, b_client, b_text = groups("bracketed", 5)
-    d_time, d_level, d_module, d_text = groups("dated", 4)
-    return {"level": F.lower(F.coalesce(b_level, d_level)), "module": F.coalesce(b_module, d_module),
-            "text": F.coalesce(b_text, d_text), "client": F.coalesce(first_ip(b_client), F.lit("")),
-            "b_when": error_parts(b_time), "any_time": F.coalesce(b_time, d_time)}
+    tag, place = at("tag"), at("b_place")
+    client = F.when(place.startswith("[client "), bracketed(place))
+    b_text = F.when(client.isNotNull(), behind_bracket(place)).otherwise(place)
+    b_whole = tag.isNotNull() & ~tag.rlike(r"\s") & (tag != "")
+    module = F.when(F.contains(tag, F.lit(":")), F.regexp_replace(tag, ":[^:]*$", ""))
+    d_whole = at("date").rlike("^[0-9-]{10}$") & at("clock").rlike("^[0-9:]{8}[.][0-9]+$") & at("d_level").rlike("^[A-Za-z0-9_]+$")
+    return {"level": F.lower(F.when(b_whole, F.substring_index(tag, ":", -1)).when(d_whole, at("d_level"))),
+            "module": F.when(b_whole, F.coalesce(module, F.lit(""))).when(d_whole, F.coalesce(at("d_module"), F.lit(""))),
+            "text": F.when(b_whole, b_text).when(d_whole, at("d_text")), "client": F.coalesce(first_ip(client), F.lit("")),
+            "b_when": error_parts(at("b_time")), "any_time": F.coalesce(at("b_time"), F.concat_ws(" ", at("date"), at("clock")))}
 
 
 def _error_event() -> Values:
@@ -130,12 +139,14 @@ def _error_guard(line: Column) -> Column:
     return line.startswith("[") | _dated(line)
 
 
-ACCESS_LOG = LineParser("web", (_access_captures, _access_words, _access_values, _access_class), _access_event, _maybe_access)
-ERROR_LOG = LineParser("web", (_error_captures, _error_values), _error_event, _error_guard)
+_ERROR_STAGES = (_error_heads, _error_levels, _error_places, _error_values)
+_ACCESS_STAGES = (_access_words, _access_values, _access_class)
+
+ACCESS_LOG = LineParser("web", (_access_captures, *_ACCESS_STAGES), _access_event, _maybe_access)
+ERROR_LOG = LineParser("web", _ERROR_STAGES, _error_event, _error_guard)
 # Either kind of line; the shapes exclude each other.
 WEB = LineParser(
     "web",
-    (lambda: {**_access_parts(F.when(_maybe_access(raw()) & ~raw().startswith("#"), raw())), **_error_captures()},
-     lambda: {**_access_words(), **_error_values()}, _access_values, _access_class),
+    side_by_side((lambda: _access_parts(F.when(_maybe_access(raw()) & ~raw().startswith("#"), raw())), *_ACCESS_STAGES), _ERROR_STAGES),
     lambda: either(_access_event(), _error_event()),
     lambda line: _error_guard(line) | _maybe_access(line))

@@ -145,3 +145,27 @@ def test_register_parser(lines, monkeypatch):
 def test_version(spark, shown, want):
     from pyspark.sql import functions as F
     assert spark.range(1).select(text.version_number(F.lit(shown)).alias("v")).first().v == want
+
+
+def test_shapes_beyond_the_plain_ones(spark, lines):
+    """Escaped quotes, over-long requests, reordered and additional slow-query fields, IPv6, missing pids, null hosts."""
+    from pyspark.sql import functions as F
+
+    from faultline.operators.parsers import database, router, security, web
+    from faultline.operators.parsers.base import parse
+
+    long_path = "/" + "p" * 20_000
+    rows = parse(lines([
+        ("apache_access", f'10.0.0.1 - - [22/Jun/2025:10:00:00 +0000] "GET {long_path} HTTP/1.1" 500 12 "-" "a \\"quoted\\" agent"'),
+        ("apache_access", '2001:db8::1 - - [22/Jun/2025:10:00:00 +0000] "GET /x HTTP/1.1" 503 -'),
+        ("apache_access", '10.0.0.1 - - [22/Jun/2025:10:00:00 +0000] "GET /x" 500 1'),
+        ("apache_access", 'host name - - [22/Jun/2025:10:00:00 +0000] "GET /x HTTP/1.1" 500 1')]), web.ACCESS_LOG).collect()
+    assert {(r.path, r.ip_address, r.user_agent) for r in rows} == {(long_path, "10.0.0.1", 'a \\"quoted\\" agent'), ("/x", "2001:db8::1", "")}
+    slow = lines([("mysql_slow", "# User@Host: app[app] @ web1 [10.0.0.9]  Id: 7"),
+                  ("mysql_slow", "# Query_time: 12.5  Rows_examined: 9 Bytes_sent: 4  Lock_time: 0.25 Rows_sent: 3")]).withColumn("host", F.lit(None).cast("string"))
+    row = router.slow_queries(slow).first()
+    assert (row.query_time, row.lock_time, row.rows_sent, row.rows_examined, row.mysql_user, row.ip_address) == (12.5, 0.25, 3, 9, "app", "10.0.0.9")
+    auth = parse(lines([("auth_log", "Jun 22 10:00:00 srv sshd: Failed password for root from 10.0.0.1 port 22 ssh2"),
+                        ("auth_log", "Jun 22 10:00:00 srv sshd no colon Failed password for root")]), security.AUTH).collect()
+    assert [(r.pid, r.account, r.hostname) for r in auth] == [(None, "root", "srv")]
+    assert parse(lines([("mysql_error", "2025-06-22 10:00:00 7 [ERROR] out of words"), ("mysql_error", "12 words [ERROR] x")]), database.ERROR_LOG).count() == 1
