@@ -24,6 +24,7 @@ REPEAT, RUN_PAGES, RUN_CHARS, HOT_SHARE = 8, 512, 16 << 20, 10_000
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody""", re.I)
 #: Elements by what HTML says of them; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -44,7 +45,11 @@ PAGE_PARTS = frozenset("header head top".split())
 
 @dataclass
 class Page:
-    """blocks: (kind, text) in page order; kind: article, open (no word about it) or part. shell: tokens with their block."""
+    """blocks: (kind, text) in page order; shell: tokens outside articles, with their block.
+
+    kind: article, part (a menu, advert, comment and so on), open (the page says nothing about it), or doubt (an article that
+    names itself a part, or stands in one: a comment, or the article of a page whose frame has an unlucky name).
+    """
 
     blocks: list[tuple[str, str]] = field(default_factory=list)
     shell: list[str] = field(default_factory=list)
@@ -68,29 +73,30 @@ def _names_part(attributes: str, in_article: bool) -> bool:
 def parse(source: str) -> Page:
     """Blocks of the whole page; anything goes, as browsers take it: unclosed elements, stray ends, cut-off markup."""
     page, at, parts = Page(), 0, []
-    #: open elements: (name, is it dropped, is it an article)
+    #: open elements: (name, is it a part, is it an article)
     stack: list[tuple[str, bool, bool]] = []
-    dropped = articles = 0
     links = ["<"]
 
+    def kind_here() -> str:
+        for i in range(len(stack) - 1, -1, -1):
+            _, part, article = stack[i]
+            if article:
+                return "doubt" if any(p for _, p, _ in stack[:i + 1]) else "article"
+            if part:
+                return "part"
+        return "open"
+
     def flush():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            kind = "part" if dropped else "article" if articles else "open"
+            kind = kind_here()
             if kind != "article":
                 new = [links[0], *text.split()]
                 page.shell += new
                 page.owner += [len(page.blocks)] * len(new)
             page.blocks.append((kind, text))
 
-    def pop(to: int):
-        nonlocal dropped, articles
-        for _, drop, article in stack[to:]:
-            dropped -= drop
-            articles -= article
-        del stack[to:]
-
     while at < len(source):
         found = MARKUP.search(source, at)
         text = source[at:found.start() if found else len(source)]
@@ -113,8 +119,9 @@ def parse(source: str) -> Page:
                 if tag in INLINE and any(stack[i][0] not in INLINE for i in range(open_at + 1, len(stack))):
                     stack[open_at] = ("", *stack[open_at][1:])
                 else:
-                    flush() if any(stack[i][1] or stack[i][2] for i in range(open_at, len(stack))) else None
-                    pop(open_at)
+                    if any(part or article for _, part, article in stack[open_at:]):
+                        flush()
+                    del stack[open_at:]
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
@@ -122,23 +129,21 @@ def parse(source: str) -> Page:
             continue
         for i in range(len(stack) - 1, -1, -1):
             if tag in CLOSED_BY_NEXT.get(stack[i][0], ()):
-                pop(i)
+                del stack[i:]
                 break
             if stack[i][0] not in INLINE and stack[i][0]:
                 break
-        drop = tag in DROPPED or tag == "header" and not articles
-        article = tag in ("article", "main")
-        if not (article or tag in ("html", "body")) and found["attributes"]:
-            drop = drop or _names_part(found["attributes"], articles > 0)
-        if article is False and found["attributes"] and re.search(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", found["attributes"], re.I):
-            article = True
         if tag in VOID or found["attributes"].endswith("/") and tag in ("svg", "path"):
             continue
-        if drop or article:
+        inside = any(article for _, _, article in stack)
+        article = tag in ("article", "main")
+        part = tag in DROPPED or tag == "header" and not inside
+        if found["attributes"] and tag not in ("html", "body"):
+            article = article or bool(MAIN.search(found["attributes"]))
+            part = part or _names_part(found["attributes"], inside)
+        if part or article:
             flush()
-        stack.append((tag, drop, article))
-        dropped += drop
-        articles += article
+        stack.append((tag, part, article))
     flush()
     return page
 
@@ -182,12 +187,13 @@ def repeated(streams: list[list[str]], shortest: int = REPEAT) -> list[np.ndarra
 
 
 def main_text(page: Page, covered: np.ndarray) -> str:
-    """The marked article, or of a page without one the open blocks that are not repeated for the most part.
+    """The marked article, else one in doubt, or of a page without any the open blocks that are not repeated for the most part.
 
     A page whose open blocks are nearly all repeated is a copy of another page, no boilerplate: they stay.
     """
-    if any(kind == "article" for kind, _ in page.blocks):
-        return " ".join(text for kind, text in page.blocks if kind == "article")
+    for marked in ("article", "doubt"):
+        if any(kind == marked for kind, _ in page.blocks):
+            return " ".join(text for kind, text in page.blocks if kind == marked)
     opens = [i for i, (kind, _) in enumerate(page.blocks) if kind == "open"]
     n = np.bincount(page.owner, minlength=len(page.blocks)) if page.owner else np.zeros(len(page.blocks))
     hit = np.bincount(page.owner, weights=covered, minlength=len(page.blocks)) if page.owner else n

@@ -27,7 +27,9 @@ def text_of(source):
     ("<article><p><b>open bold<br><p>second</article><footer>f</footer>", "open bold second"), ("<article><ul><li>one<li>two</ul></article>", "one two"), ("a < b and c > d", "a < b and c > d"),
     ("<main><p>m</p></main><div>outside</div>", "m"), ("<div role=main>m</div><div>outside</div>", "m"), ("<article>a</article><article>b</article>", "a b"),
     ("<article><textarea>t</textarea><noscript>n</noscript><select><option>o</select>x</article>", "x"), ("<article><pre>a\n  b</pre></article>", "a b"), ("<article>a</p></b></div>b</article>", "a b"),
-    ("<article>x<iframe>y</iframe>z<svg><text>s</text></svg></article>", "x z"), ("<article>f<script>x</script>oo<style>y</style></article>", "foo"),
+    ("<article>x<iframe>y</iframe>z<svg><text>s</text></svg></article>", "x z"), ("<div class='content with-sidebar'><article>a<div class=ad>b</div>c</article></div>", "a c"), ("<article>post<section id=comments><article class=comment>nice</article></section></article>", "post"),
+    ("<article>post</article><div class=comments><article>first!</article></div>", "post"), ("<article class='post ad-free'>p</article><aside>x</aside>", "p"), ("<article>x<img alt=i>y<hr>z</article>", "xy z"),
+    ("<body><nav>n</nav><div id=content><h1>T</h1><p>one two</p></div><div class=sidebar>s</div></body>", "T one two"), ("<article>f<script>x</script>oo<style>y</style></article>", "foo"),
 ])
 def test_pages(source, text):
     assert text_of(source) == text
