@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import as_of, derived, events, table
 from checks.registry import query
+from faultline.config import DeclaredLimits
 from faultline.config import Thresholds
 from faultline.functions.times import age_label
 from faultline.operators import enrich, incidents as inc_ops, lifecycle, metrics, views
@@ -444,6 +445,22 @@ def _(spark, d):
     return views.snapshot_list(derived(spark, d, "snap"), "2024-01-20 06:00:00", 2500).select("host", "ts", "cpu_percent")
 
 
+@query("connection_limit", "select host, ts, db_connections from snap where db_connections >= 60")
+def _(spark, d):
+    return metrics.connection_limit(derived(spark, d, "snap"), DeclaredLimits(db_connections=60)).select("host", "ts", "db_connections")
+
+
+@query("query_limit", """select host, ts, pid, time from dbprocs
+  where command <> 'Sleep' and "user" not in ('system user', 'root', 'event_scheduler') and time > 30""")
+def _(spark, d):
+    return metrics.query_limit(derived(spark, d, "dbprocs")).select("host", "ts", "pid", "time")
+
+
+@query("alert_rate", "select host, date_trunc('hour', ts) as hour, count(*) as alerts from al group by all having count(*) >= 4")
+def _(spark, d):
+    return metrics.alert_rate(derived(spark, d, "al"), DeclaredLimits(alerts_per_hour=4))
+
+
 # -- set operations -------------------------------------------------------------------------------------------------
 
 @query("union_sources", """with a as (select log_name, 0 as p, count(*) as n from access_lines group by all union all

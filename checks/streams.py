@@ -57,6 +57,18 @@ def _(spark, d):
     return spark.read.parquet(sink).groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_compact", "select cast(ts as date) as day, count(*) as n, count(distinct id) as ids from ev where ts < timestamp '2024-01-15' group by all")
+def _(spark, d):
+    """Micro-batches' files of closed days, made into one set of files for each day; running it twice changes nothing."""
+    ev = events(spark, d).select("id", "ts", "source")
+    intake, table = scratch_dir(spark, "intake"), scratch_dir(spark, "days")
+    for batch in range(3):
+        ingest.write_batch(ev.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == batch), intake, batch)
+    for _ in range(2):
+        ingest.compact_days(spark, intake, table, "2024-01-15")
+    return spark.read.parquet(table).groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select("type", "pattern", naive(F.col("win_start")).alias("win_start"), "host", "ip", "account", "domain", "category",
                      "event_count", "confidence", as_text("categories").alias("categories"), "critical_count", "warning_count")

@@ -23,6 +23,15 @@ class Thresholds:
     check_inodes: bool = False
 
 
+@dataclass(frozen=True)
+class DeclaredLimits:
+    """Plain limits on single samples, statements and alert rates."""
+
+    db_connections: int = 100
+    query_s: int = 30
+    alerts_per_hour: int = 100
+
+
 @dataclass(frozen=True)
 class CorrelationConfig:
     """Sliding correlation window. ``window_s`` must be a multiple of ``slide_s``."""

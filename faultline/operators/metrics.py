@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.config import Thresholds
-from faultline.functions.text import clip
+from faultline.config import DeclaredLimits, Thresholds
+from faultline.functions.text import clip, hosted
 from faultline.functions.times import epoch_us
 from faultline.operators.sequence import previous_row
 from faultline.schemas import EVENTS
@@ -138,6 +138,22 @@ def top_db_queries(processes: DataFrame, limit: int = 10) -> DataFrame:
             .withColumn("query", clip(F.col("info"), 100)))
 
 
+def connection_limit(snapshots: DataFrame, limits: DeclaredLimits = DeclaredLimits()) -> DataFrame:
+    """Samples with at least the declared number of database connections."""
+    return snapshots.filter(F.col("db_connections") >= limits.db_connections)
+
+
+def query_limit(processes: DataFrame, limits: DeclaredLimits = DeclaredLimits()) -> DataFrame:
+    """Statements of ordinary users that run longer than declared."""
+    return long_running(processes).filter(F.col("time") > limits.query_s)
+
+
+def alert_rate(alerts: DataFrame, limits: DeclaredLimits = DeclaredLimits()) -> DataFrame:
+    """Hosts and clock hours with at least the declared number of alerts, with that number."""
+    return (hosted(alerts).groupBy("host", F.window("ts", "1 hour")["start"].alias("hour")).agg(F.count(F.lit(1)).alias("alerts"))
+            .filter(F.col("alerts") >= limits.alerts_per_hour))
+
+
 def slow_flag(processes: DataFrame, seconds: int = 5) -> DataFrame:
     return processes.withColumn("slow", F.col("time") > seconds)
 
