@@ -263,7 +263,7 @@ def _chunks(spark, d):
 
 @query("slow_query_user_chunks", _CHUNKED)
 def _(spark, d):
-    users = database.with_slow_query_user(_chunks(spark, d), block_lines=1 << 41)
+    users = database.with_slow_query_user(_chunks(spark, d), block_lines=50)
     return users.select("host", "line_no", F.coalesce("q_user", F.lit("unknown")).alias("mysql_user"))
 
 

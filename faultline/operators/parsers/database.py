@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.severity import DB_LEVELS
 from faultline.functions.text import behind_bracket, bracketed, clip, has, hosted, lookup, nth, search, words
@@ -13,7 +13,6 @@ from faultline.operators.sequence import fill_forward
 QUERY_HEAD, USER_HEAD = "# Query_time:", "# User@Host:"
 # What a shipper or rotation adds to a log's name: numbers or times behind a dot, dash or underscore, and a file ending.
 CHUNK = r"(?:[._-][0-9][0-9T:-]*)*(?:\.(?:gz|bz2|zst|txt))?$"
-CHUNK_LINES = 1 << 40
 
 # Words that make an error critical.
 CRASH = "crash|segfault|assertion|fatal|aborting|shutting down"
@@ -109,25 +108,20 @@ def log_stream(file_path: Column) -> Column:
     return F.regexp_replace(file_path, CHUNK, "")
 
 
-def _in_stream(heads: DataFrame) -> DataFrame:
-    """Adds _stream and _order: chunks of a log by their names' endings (shorter first, then by text), lines in them by number."""
-    ending = F.substring(F.col("file_path"), F.length("_stream") + 1, 1 << 20)
-    placed = heads.withColumn("_stream", log_stream(F.col("file_path"))).withColumn("_ending", ending)
-    by = Window.partitionBy("host", "_stream").orderBy(F.length("_ending"), "_ending")
-    chunks = placed.select("host", "_stream", "_ending").distinct().withColumn("_chunk", F.row_number().over(by))
-    return (placed.join(chunks, ["host", "_stream", "_ending"])
-            .withColumn("_order", F.col("_chunk") * F.lit(CHUNK_LINES) + F.col("line_no")).drop("_ending", "_chunk"))
-
-
 def slow_heads(lines: DataFrame) -> DataFrame:
-    """Only the slow log's header lines, with their log stream, their order in it and the user named (_seen)."""
-    heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD))
-    return _in_stream(heads).withColumn("_seen", slow_user(raw()))
+    """Only the slow log's header lines, with their log (_stream), the chunk of it, and the user they name (_seen).
+
+    Chunks of a log come in the order of their names' endings: shorter ones first, then by text.
+    """
+    heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD)).withColumn("_stream", log_stream(F.col("file_path")))
+    ending = F.substring(F.col("file_path"), F.length("_stream") + 1, 1 << 20)
+    return heads.withColumns({"_chunk": F.struct(F.length(ending).alias("n"), ending.alias("name")), "_seen": slow_user(raw())})
 
 
 def last_users(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """The last user of each log stream, (host, _stream, _seen): what a later batch of its lines starts from."""
-    now = slow_heads(lines).filter(F.col("_seen").isNotNull()).groupBy("host", "_stream").agg(F.max_by("_seen", "_order").alias("_seen"))
+    """The last user of each log, (host, _stream, _seen): what a later batch of its lines starts from."""
+    last = F.max_by("_seen", F.struct("_chunk", "line_no")).alias("_seen")
+    now = slow_heads(lines).filter(F.col("_seen").isNotNull()).groupBy("host", "_stream").agg(last)
     return now if before is None else now.unionByName(before.join(now, ["host", "_stream"], "left_anti"))
 
 
@@ -139,11 +133,12 @@ def with_slow_query_user(lines: DataFrame, block_lines: int = 1_000_000, before:
     """
     seen = slow_heads(lines)
     if before is not None:
-        seen = seen.unionByName(before.withColumn("_order", F.lit(-1).cast("long")), allowMissingColumns=True)
-    filled = fill_forward(seen, ["host", "_stream"], "_order", "_seen", block_lines)
+        first = F.struct(F.lit(-1).alias("n"), F.lit("").alias("name"))
+        seen = seen.unionByName(before.withColumns({"_chunk": first, "line_no": F.lit(-1).cast("long")}), allowMissingColumns=True)
+    filled = fill_forward(seen, ["host", "_stream"], "line_no", "_seen", block_lines, within=("_chunk",))
     return (filled.filter(raw().startswith(QUERY_HEAD))
             .withColumn("q_user", F.col("_seen.u")).withColumn("q_client", F.col("_seen.c"))
-            .withColumn("q_ip", F.col("_seen.i")).drop("_seen", "_stream", "_order"))
+            .withColumn("q_ip", F.col("_seen.i")).drop("_seen", "_stream", "_chunk"))
 
 
 ERROR_LOG = LineParser("database", (_error_heads, _error_tags, _error_values, _error_words), _error_event,

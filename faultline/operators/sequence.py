@@ -32,9 +32,13 @@ def _with_carry(rows: DataFrame, keys: list[str], order: Column, value: str) ->
     return _same(rows, _carry(ends, keys, value), [*keys, "_block"])
 
 
-def fill_forward(rows: DataFrame, keys: list[str], order: str, value: str, block: int) -> DataFrame:
-    """Replace nulls of ``value`` by the last non-null one at or before the row, per key, in ``order`` (a long)."""
-    blocked = rows.withColumn("_block", cell_of(F.col(order), block))
+def fill_forward(rows: DataFrame, keys: list[str], order: str, value: str, block: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """Replace nulls of ``value`` by the last non-null one at or before the row, per key, in ``order`` (a long).
+
+    ``within``: columns that come before ``order``, such as the part of a log in which lines are numbered anew.
+    """
+    cell = cell_of(F.col(order), block)
+    blocked = rows.withColumn("_block", F.struct(*within, cell.alias("cell")) if within else cell)
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     carried = _with_carry(blocked, keys, F.col(order), value)
     return (carried.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carried"))
