@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import id_remainder, slices, texts_of
+from faultline.llm.shared import id_remainder, slices, smallest_hashes, texts_of
 
 #: Bytes of a window; filters of each width; dimensions of a byte.
 LENGTH, WIDTHS, FILTERS, DIMENSIONS = 256, (2, 3, 4), 12, 8
@@ -111,9 +111,7 @@ def learn(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> ByteNe
     windows spread over its whole text. Which rows those are is decided without reading texts.
     """
     usable = docs.where(F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 4) != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= texts)
-              .select("doc_id", F.col("lang").alias("chosen_lang")).distinct())
+    chosen = smallest_hashes(usable, "lang", texts).withColumnRenamed("lang", "chosen_lang")
     rows = (texts_of(docs, "lang").join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("chosen_lang"))
             .select("doc_id", "text", "lang").where(F.col("text") != "").mapInArrow(_spread(windows), "doc_id string, lang string, bytes binary"))
     found = sorted((r["lang"], r["doc_id"] or "", bytes(r["bytes"])) for r in rows.collect())

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that an Arrow mapper turns into Python objects at a time.
@@ -80,6 +80,22 @@ def id_remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def smallest_hashes(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """Of each value of ``label`` the ``n`` rows (doc_id and the label) with the smallest hash of their id, each pair once.
+
+    Labels are few; rows may be any number. From counts it is known below which hash about twice as many lie, so few rows
+    are shuffled and none gathers a label's rows.
+    """
+    top = 1 << 30
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(top))
+    below = F.lit(0)
+    for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect():
+        below = F.when(F.col(label) == r[label], min(top, 2 * top * n // r["n"])).otherwise(below)
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("rank", "doc_id"))
+    few = rows.select("doc_id", label, rank.alias("rank")).where(F.col("rank") < below).distinct()
+    return few.withColumn("nth", nth).where(F.col("nth") <= n).select("doc_id", label)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once."""
     for batch in batches:
