@@ -35,10 +35,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder below the shared one and read it back.
 
     Cuts lineage: a lost executor costs the tasks it ran, never the steps before. Unlike ``checkpoint()`` the plan runs
-    once and the columns stay prunable.
+    once and the columns stay prunable. All of an application lies in one folder, to be deleted when its results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
