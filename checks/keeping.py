@@ -97,6 +97,16 @@ def _(spark, d):
     return lifecycle.flatten(rows).select("id", "severity", "source_evidence", "event_ids")
 
 
+@query("export_all", "select id, state, summary from inc")
+def _(spark, d):
+    """An export without a limit is all incidents, written in parallel and read back."""
+    out = scratch_dir(spark, "csv")
+    lifecycle.export_csv(derived(spark, d, "inc"), out)
+    columns = derived(spark, d, "inc").columns
+    back = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(out, header=True, escape='"')
+    return back.select("id", "state", "summary")
+
+
 @query("upsert_services", """with p as (select host, name, s_nationkey, case when not installed then 'not_installed' when running then 'healthy' else 'down' end as health from probes)
 select host, name, case when s_nationkey < 12 then health else 'unknown' end as health from p""")
 def _(spark, d):

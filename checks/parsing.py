@@ -60,6 +60,26 @@ def _(spark, d):
             .agg(F.count(F.lit(1)).alias("lines"), F.max("line_no").alias("last_line")))
 
 
+@query("scan_failed_files", """with l as (select user_id % 3 as k from access_lines join (select event_id as line_no, user_id from base) using (line_no))
+select 'source' || k as source, cast(case when k = 2 then 0 else n end as bigint) as lines, k = 2 as failed from (select k, count(*) as n from l group by k) union all select 'source9', 0, true""")
+def _(spark, d):
+    """Three sources and one that is not there. One archive is none: the source is left out whole and reported, the others are read."""
+    root = scratch_dir(spark, "sources")
+    lines = derived(spark, d, "access_lines").join(derived(spark, d, "base").select(F.col("event_id").alias("line_no"), "user_id"), "line_no")
+    for k in range(3):
+        lines.filter(F.col("user_id") % 3 == k).select("raw_line").coalesce(1).write.text(f"{root}/source{k}/host=h{k}/log=apache_access")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{root}/source2/host=h2/log=apache_access")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        if status.getPath().getName().endswith(".txt"):
+            files.rename(status.getPath(), hadoop.Path(folder, "part.txt.gz"))
+    read, failed = log_lines.read_sources(spark, [f"{root}/source{k}" for k in (0, 1, 2, 9)])
+    name = r"(source\d)(?:/|$)"
+    whole = read.groupBy(F.regexp_extract("file_path", name, 1).alias("source")).agg(F.count(F.lit(1)).alias("lines")).withColumn("failed", F.lit(False))
+    return whole.unionByName(failed.select(F.regexp_extract("path", name, 1).alias("source"), F.lit(0).cast("long").alias("lines"), F.lit(True).alias("failed")))
+
+
 _CORE_SQL = """(values ('apache_access', 'web', 'web'), ('apache_error', 'web', 'web'), ('mysql_error', 'database', 'database'),
   ('mysql_slow', 'database', 'database'), ('auth_log', 'security', 'auth'), ('syslog', 'system', 'system'),
   ('cpanel_access', 'cpanel', 'panel'), ('cpanel_error', 'cpanel', 'panel')) as r(log_name, source, parser)"""
