@@ -13,6 +13,7 @@ from faultline.lineage import scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
 from faultline.streaming import ingest, stateful, views
+from faultline.streaming.cooldown import start_cooldown
 
 CHUNKS = ("2024-01-11", "2024-01-21", "2999-01-01")
 
@@ -123,6 +124,16 @@ def _(spark, d):
     return kept.select("host", "fingerprint", from_epoch_us(F.col("us")).alias("ts"), "id")
 
 
+@query("stream_cooldown_batches", f"with recursive cand as ({_CAND}), {cooled('cand', 43200)} select host, fingerprint, ts, id from kept")
+def _(spark, d):
+    """The batch operator on each micro-batch, seeded with what passed before; keys whose cooldown is over leave the state."""
+    candidates = _candidates(spark, d)
+    stream = stream_of(spark, staged(spark, candidates, "cand"), candidates)
+    out = scratch_dir(spark, "passed")
+    start_cooldown(stream, ["host", "fingerprint"], out, scratch_dir(spark, "last"), scratch_dir(spark, "cooldown-state"), 43200, every=None).awaitTermination()
+    return spark.read.parquet(out).select("host", "fingerprint", "ts", "id")
+
+
 @query("stream_rate_limit", _HOST_RATE + "select host, ts, id from r where ok")
 def _(spark, d):
     stateful.use_rocksdb(spark)
