@@ -51,8 +51,8 @@ OTHERS = ["Licensed under the Zlib License.", "Licensed under the Eclipse Public
           "This font is licensed under the SIL Open Font License, Version 1.1.", "Released under the WTFPL license.", "Licensed under the European Union Public Licence, version 1.2.", "You may use this work under the terms of the Academic Free License.",
           "Licensed under the Boost Software License, version 1.0.", "Released under the Common Development and Distribution License.", "Licensed under the Universal Permissive License.", "Licensed under the Open Database License.",
           "This data is licensed under the terms of the Open Government Licence v3.0.", "Released under the PostgreSQL License.", "Licensed under the Sleepycat License.", "Licensed under the terms of the Python Software Foundation License, version 2."]
-#: Words that alone say nothing about a licence; an n-gram has to hold another one. Fixed values.
-COMMON = frozenset("""a above agreed all an and any are as at be by can charge conditions either following for form forms free from files file had has have if in including into is it law
+#: Words that alone say nothing about a licence, as numbers don't; an n-gram has to hold another one. Fixed values.
+COMMON = frozenset("""mit under only open general example style http www org international a above agreed all an and any are as at be by can charge conditions either following for form forms free from files file had has have if in including into is it law
     kind later limitation list may medium met must not obtain obtaining of on option or other out people person possible prohibited project provided purpose related
     required rights sell source strictly subject terms that the this to to use used using v version via was whose with without work works writing you your""".split())
 #: Ordinary paragraphs that are sampled as none; characters a sampled one may have.
@@ -66,9 +66,13 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
+def telling(word: str) -> bool:
+    return word not in COMMON and not word.isdecimal()
+
+
 def grams_of(words: list[str], vocabulary=None) -> set[str]:
     """Word n-grams of one to three words that hold a telling word, of ``vocabulary`` only if one is given."""
-    found = {" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if any(w not in COMMON for w in words[i:i + n])}
+    found = {" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if any(map(telling, words[i:i + n]))}
     return found if vocabulary is None else found & vocabulary
 
 
@@ -192,8 +196,8 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """
     spark = docs.sparkSession
     grams, templates = _tables(spark, model)
-    telling = sorted({w for g in model.vocabulary for w in g.split() if w not in COMMON})
-    gate = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(telling) + ")(?![\\p{L}\\p{N}])"
+    gate_words = sorted({w for g in model.vocabulary for w in g.split() if telling(w)})
+    gate = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(gate_words) + ")(?![\\p{L}\\p{N}])"
     bodies = paragraphs(docs).where(F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
     split = F.filter(F.split(F.lower("body"), SPLIT), lambda w: w != "")
     # through a generator, which the optimizer does not look through: else every n-gram would split the paragraph again
@@ -205,14 +209,18 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     k = len(model.classes)
     sums = found.groupBy("row", "doc_id", "paragraph").agg(*(F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)))
     z = F.array(*((F.col(f"z{i}") + F.lit(float(model.bias[i]))) / F.lit(float(model.temperature)) for i in range(k)))
-    powers = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    p = F.transform("powers", lambda x: x / F.aggregate("powers", F.lit(0.0), lambda a, y: a + y))
-    known = F.slice("p", 1, k - 2)
-    best = F.array_position(known, F.array_max(known)).cast("int")
-    family = F.element_at(F.array(*map(F.lit, model.classes)), best)
-    scored = (sums.select("row", "doc_id", "paragraph", z.alias("z")).withColumn("powers", powers).withColumn("p", p)
-              .where(F.element_at("p", -1) < 0.5)
-              .select("row", "doc_id", "paragraph", F.array_max(known).alias("top"), family.alias("likely"), (F.lit(1.0) - F.element_at("p", -1)).alias("licence")))
+    family = F.array(*map(F.lit, model.classes))
+
+    def step(df: DataFrame, **columns) -> DataFrame:
+        """More columns, each computed once: through a generator, as above."""
+        return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+    scored = step(sums.select("row", "doc_id", "paragraph", z.alias("z")), most=F.array_max("z"))
+    scored = step(scored, powers=F.transform("z", lambda x: F.exp(x - F.col("most"))))
+    known = F.slice("powers", 1, k - 2)
+    scored = step(scored, total=F.aggregate("powers", F.lit(0.0), lambda a, y: a + y), best=F.array_max(known), at=F.array_position(known, F.array_max(known)).cast("int"))
+    scored = (scored.withColumn("licence", F.lit(1.0) - F.element_at("powers", -1) / F.col("total")).where("licence > 0.5")
+              .select("row", "doc_id", "paragraph", (F.col("best") / F.col("total")).alias("top"), F.element_at(family, F.col("at")).alias("likely"), "licence"))
     sure = F.col("top") >= model.least
     scored = scored.select("row", "doc_id", "paragraph", F.when(sure, F.col("likely")).otherwise(UNKNOWN).alias("predicted"), F.when(sure, F.col("top")).otherwise(F.col("licence")).alias("probability"))
     shares = (found.select("row", F.explode("templates").alias("template")).groupBy("row", "template").agg(F.count("*").alias("n"))
