@@ -17,6 +17,7 @@ from faultline.operators.sequence import time_cells
 
 US = 1_000_000
 MAX_FOLD = 5_000  # rows folded as one array; folding copies the array as it grows
+MAX_RATE_FOLD = 50_000  # the same for the rate limit, whose way for longer runs goes slice by slice
 MAX_DIRECT = 5_000  # rows of a key up to which it is not even looked at for pauses
 
 
@@ -229,7 +230,7 @@ def _replay_rate(rows: DataFrame, keys: list[str], limit: int, window: int, slic
     return accepted
 
 
-def rate_limit(rows: DataFrame, keys: list[str], limit: int = 10, window_s: int = 60, max_fold: int = MAX_FOLD) -> DataFrame:
+def rate_limit(rows: DataFrame, keys: list[str], limit: int = 10, window_s: int = 60, max_fold: int = MAX_RATE_FOLD) -> DataFrame:
     """Rows (keys, ts, id) let through: at most ``limit`` accepted ones per key in any trailing window.
 
     A row exactly ``window_s`` old no longer counts. Ties in time go by id. Of rows that share key and time only the
