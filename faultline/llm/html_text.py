@@ -1,10 +1,10 @@
 """Main text of web pages: what a host repeats on its pages is boilerplate.
 
-Pages are dealt by host. Within a run of pages of one host, the token streams of everything outside marked articles are
-concatenated and their suffixes sorted (by rank doubling, up to the shortest repeat of interest); neighbours from distinct
-pages that begin alike are repeats, and what they cover is boilerplate. Unique runs stay. Where the page itself says what a
-part is, that is checked last and wins: a marked article stays even if another page holds a copy of it, and menus, headers,
-footers, sidebars, notices, adverts, forms, hidden parts and reader comments go even if they occur once.
+Every window of eight tokens outside marked articles has a hash; the distinct pages that hold it are counted over the whole
+host, however many tasks its pages are dealt to. What the windows of more than one page cover is boilerplate, unique runs stay.
+Pages whose text is the same but for marked parts are one page in that count. Where the page itself says what a part is, that
+is checked last and wins: a marked article stays even if another page holds a copy of it, and menus, headers, footers,
+sidebars, notices, adverts, forms, hidden parts and reader comments go even if they occur once.
 """
 
 from __future__ import annotations
@@ -13,14 +13,19 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Tokens of the shortest repeat; pages and characters of a run of pages; share of the pages from which a host is split.
+#: Tokens of the shortest repeat; pages and characters of a shard of a host; share of the pages from which a host is split.
 REPEAT, RUN_PAGES, RUN_CHARS, HOT_SHARE = 8, 512, 16 << 20, 10_000
+#: Shards of a host whose hashes one task counts; hashes and words that a task holds at once; the hash that counts the pages.
+MEETING, HELD, PAGES = 4, 4 << 20, 0
+FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -45,16 +50,30 @@ PAGE_PARTS = frozenset("header head top".split())
 
 @dataclass
 class Page:
-    """blocks: (kind, text) in page order; shell: tokens outside articles, with their block.
+    """blocks: (kind, text) in page order, with the element before them; shell: tokens outside articles, with their block.
 
     kind: article, part (a menu, advert, comment and so on), open (the page says nothing about it), or doubt (an article that
     names itself a part, or stands in one: a comment, or the article of a page whose frame has an unlucky name).
     """
 
     blocks: list[tuple[str, str]] = field(default_factory=list)
+    links: list[str] = field(default_factory=list)
     shell: list[str] = field(default_factory=list)
     owner: list[int] = field(default_factory=list)
 
+    def add(self, kind: str, link: str, text: str) -> None:
+        if kind != "article":
+            new = [link, *text.split()]
+            self.shell += new
+            self.owner += [len(self.blocks)] * len(new)
+        self.blocks.append((kind, text))
+        self.links.append(link)
+
+    def content(self) -> int:
+        """A hash of all but the marked parts; pages of a host with the same one are copies of one page."""
+        told = "\x1f".join(text for kind, text in self.blocks if kind != "part")
+        return int.from_bytes(blake2b(told.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
 
 def _names_part(attributes: str, in_article: bool) -> bool:
     if not attributes.strip(" /"):
@@ -90,12 +109,7 @@ def parse(source: str) -> Page:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            kind = kind_here()
-            if kind != "article":
-                new = [links[0], *text.split()]
-                page.shell += new
-                page.owner += [len(page.blocks)] * len(new)
-            page.blocks.append((kind, text))
+            page.add(kind_here(), links[0], text)
 
     while at < len(source):
         found = MARKUP.search(source, at)
@@ -148,42 +162,51 @@ def parse(source: str) -> Page:
     return page
 
 
+def windows(stream: list[str], known: dict[str, int], shortest: int = REPEAT) -> np.ndarray:
+    """A hash of every ``shortest`` tokens in a row; ``known`` keeps the hashes of words."""
+    if len(stream) < shortest:
+        return np.zeros(0, np.uint64)
+    if len(known) > HELD:
+        known.clear()
+    words = np.empty(len(stream), np.uint64)
+    for i, w in enumerate(stream):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        words[i] = h
+    n = len(stream) - shortest + 1
+    found = np.zeros(n, np.uint64)
+    for k in range(shortest):
+        found += words[k:k + n] * FACTORS[k]
+    found = (found ^ (found >> np.uint64(31))) * FACTORS[-1]
+    found ^= found >> np.uint64(29)
+    found[found == PAGES] = PAGES + 1
+    return found
+
+
+def cover(begins: np.ndarray, length: int, shortest: int = REPEAT) -> np.ndarray:
+    """Which of ``length`` tokens lie in a window that ``begins`` names by its first token."""
+    steps = np.zeros(length + shortest + 1, np.int64)
+    at = np.flatnonzero(begins)
+    steps[at] += 1
+    steps[at + shortest] -= 1
+    return np.cumsum(steps)[:length] > 0
+
+
 def repeated(streams: list[list[str]], shortest: int = REPEAT) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run of at least ``shortest`` (a power of two) tokens that another page has too."""
-    sizes = [len(s) for s in streams]
-    if sum(sizes) == 0:
-        return [np.zeros(n, bool) for n in sizes]
-    words: dict[str, int] = {}
-    total = sum(sizes) + len(sizes)
-    rank, owner, at = np.empty(total, np.int64), np.empty(total, np.int64), 0
-    for k, stream in enumerate(streams):
-        rank[at:at + len(stream)] = [words.setdefault(w, len(words)) for w in stream]
-        owner[at:at + len(stream) + 1] = k
-        at += len(stream) + 1
-        rank[at - 1] = -1 - k
-    rank -= rank.min()
-    width = 1
-    while width < shortest:
-        behind = np.concatenate([rank[width:], np.arange(total + 1, total + 1 + width)])
-        pair = np.stack([rank, behind])
-        order = np.lexsort((pair[1], pair[0]))
-        new = np.concatenate([[False], np.any(pair[:, order[1:]] != pair[:, order[:-1]], axis=0)])
-        rank = np.empty(total, np.int64)
-        rank[order] = np.cumsum(new)
-        width *= 2
-    order = np.lexsort((owner, rank))
-    group = rank[order]
-    start = np.concatenate([[True], group[1:] != group[:-1]])
-    first = np.flatnonzero(start)
-    last = np.concatenate([first[1:], [total]]) - 1
-    shared = (owner[order][first] != owner[order][last])[np.cumsum(start) - 1]
-    begins = np.zeros(total + shortest + 1, np.int64)
-    hits = order[shared]
-    np.add.at(begins, hits, 1)
-    np.add.at(begins, hits + shortest, -1)
-    covered = np.cumsum(begins)[:total] > 0
-    bounds = np.cumsum([0, *(n + 1 for n in sizes)])
-    return [covered[a:a + n] for a, n in zip(bounds, sizes, strict=False)]
+    """For each page's tokens, which are covered by a run of at least ``shortest`` tokens that another page has too."""
+    known: dict[str, int] = {}
+    found = [windows(s, known, shortest) for s in streams]
+    keys, pages = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, found)]), return_counts=True)
+    return [cover(pages_of(f, keys, pages) > 1, len(s), shortest) for f, s in zip(found, streams, strict=True)]
+
+
+def pages_of(found: np.ndarray, keys: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """The number of pages of each hash; of one that sorted ``keys`` lack, 1."""
+    if not len(keys):
+        return np.ones(len(found), np.int64)
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return np.where(keys[at] == found, pages[at], 1)
 
 
 def main_text(page: Page, covered: np.ndarray) -> str:
@@ -207,29 +230,135 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    chars, key = 0, None
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all first bytes, all second ones and so on, which compresses well where many are small."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def _packed(keys: np.ndarray, pages: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as differences, and their numbers of pages."""
+    return _planes(np.diff(keys, prepend=np.uint64(0))), _planes(pages.astype(np.int64))
+
+
+def _unpacked(keys: bytes, pages: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_numbers(keys, np.uint64), dtype=np.uint64), _numbers(pages, np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
-    def done():
-        pages = [parse(r[3]) for r in held]
-        texts = [main_text(p, c) for p, c in zip(pages, repeated([p.shell for p in pages]), strict=True)]
-        columns = [[r[0] for r in held], [r[1] for r in held], texts, [len(t) for t in texts]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "text", "n_chars"])
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, host, and the page's blocks with a hash of its content."""
+    strings = pa.list_(pa.string())
     for batch in batches:
-        types = [batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64()]
         for start in range(0, batch.num_rows, 64):
             part = batch.slice(start, 64)
-            for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "shard")), strict=True):
-                if held and ((row[2], row[4]) != key or len(held) >= RUN_PAGES or chars > RUN_CHARS):
-                    yield done()
-                    held, chars = [], 0
-                key = (row[2], row[4])
-                held.append(row)
-                chars += len(row[3])
-    if held:
-        yield done()
+            pages = [parse(h) for h in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), part.column("host"), pa.array([p.content() for p in pages], pa.int64()), pa.array([[k for k, _ in p.blocks] for p in pages], strings),
+                 pa.array([p.links for p in pages], strings), pa.array([[t for _, t in p.blocks] for p in pages], strings)], names=["page_id", "url", "host", "content", "kinds", "links", "texts"])
+
+
+def _page(kinds: list[str], links: list[str], texts: list[str]) -> Page:
+    page = Page()
+    for block in zip(kinds, links, texts, strict=True):
+        page.add(*block)
+    return page
+
+
+HASHES = "host string, bucket int, shard int, keys binary, pages binary"
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard the hashes of its windows, each with the number of its distinct pages, in the buckets of its host.
+
+    Copies of a page follow each other; of them each hash counts once.
+    """
+    known: dict[str, int] = {}
+    here, copies, held, ready, content = None, [], 0, [], None
+
+    def end_of_copies():
+        nonlocal copies, held
+        if copies:
+            ready.append(np.unique(np.concatenate([np.array([PAGES], np.uint64), *copies])))
+            held += len(ready[-1])
+        copies = []
+
+    def done():
+        nonlocal held, ready
+        if ready:
+            host, shard, buckets = here
+            keys, pages = np.unique(np.concatenate(ready), return_counts=True)
+            bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
+            rows = [(host, b, shard, *_packed(keys[bucket == b], pages[bucket == b])) for b in np.unique(bucket).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["host", "bucket", "shard", "keys", "pages"])
+        held, ready = 0, []
+
+    for host, shard, buckets, row_content, *blocks in _rows(batches, "host", "shard", "buckets", "content", "kinds", "links", "texts"):
+        if (host, shard, buckets) != here or row_content != content:
+            end_of_copies()
+            if (host, shard, buckets) != here or held > HELD:
+                yield from done()
+        here, content = (host, shard, buckets), row_content
+        copies.append(np.unique(windows(_page(*blocks).shell, known)))
+        if len(copies) >= 256:
+            copies = [np.unique(np.concatenate(copies))]
+    end_of_copies()
+    yield from done()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard those of its hashes that more than one page of the host has, with the host's number of pages."""
+    here, held = None, []
+
+    def done():
+        if not held:
+            return
+        keys, at = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+        pages = np.bincount(at, weights=np.concatenate([n for _, _, n in held])).astype(np.int64)
+        rows, start = [], 0
+        for shard, own, _ in held:
+            mine = at[start:start + len(own)]
+            start += len(own)
+            mine = mine[(pages[mine] > 1) | (keys[mine] == PAGES)]
+            if len(mine):
+                rows.append((here[0], shard, *_packed(keys[mine], pages[mine])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["host", "shard", "keys", "pages"])
+
+    for host, bucket, shard, keys, pages in _rows(batches, "host", "bucket", "shard", "keys", "pages"):
+        if (host, bucket) != here:
+            yield from done()
+            here, held = (host, bucket), []
+        held.append((shard, *_unpacked(keys, pages)))
+    yield from done()
+
+
+def _texts(page_id: pa.DataType):
+    def work(pages: pa.Table, shared: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        parts = [_unpacked(*r) for r in _rows(shared.to_batches(), "keys", "pages")]
+        keys, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), return_index=True)
+        counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])[at]
+        ids, urls, texts = [], [], []
+        for row_id, url, *blocks in _rows(pages.to_batches(), "page_id", "url", "kinds", "links", "texts"):
+            page = _page(*blocks)
+            covered = cover(pages_of(windows(page.shell, known), keys, counts) > 1, len(page.shell))
+            ids.append(row_id)
+            urls.append(url)
+            texts.append(main_text(page, covered))
+        return pa.table([pa.array(ids, page_id), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    return work
 
 
 def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
@@ -239,15 +368,21 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     an empty text, as has a page without any. Rows without a url are one host. Null ids and repeated rows are pages like
     others; an empty table gives no rows. Pages of any length are read whole.
 
-    Hosts with more than 1 / HOT_SHARE of the pages, at most HOT_SHARE of them, are dealt over several tasks; a task takes the
-    pages of a host in runs of bounded size, so no host has to fit anywhere.
+    Pages are dealt by host and content; hosts with more than 1 / HOT_SHARE of the pages or characters, at most HOT_SHARE by
+    either, in several shards. A shard sends the hashes of its windows, each once with its number of pages, to the buckets of
+    its host, where those of all shards meet; what is repeated comes back. So a text does not depend on how pages are dealt.
     """
+    page_id = pages.schema["page_id"].dataType
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    per_host = named.groupBy("host").agg(F.count("*").alias("n"))
-    total = named.select("host").count()
-    hot = (per_host.where(F.col("n") > max(run_pages, total // HOT_SHARE))
-           .select("host", F.ceil(F.col("n") / run_pages).cast("int").alias("shards")))
-    dealt = (named.join(F.broadcast(hot), "host", "left")
-             .withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")))
-    runs = dealt.select("page_id", "url", "host", "html", "shard").repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id")
-    return runs.mapInArrow(_work, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    size = [F.count("*").alias("n"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars")]
+    total = named.agg(*size).first()
+    hot = (named.groupBy("host").agg(*size).where((F.col("n") > max(run_pages, total["n"] // HOT_SHARE)) | (F.col("chars") > max(RUN_CHARS, total["chars"] // HOT_SHARE)))
+           .select("host", F.ceil(F.greatest(F.col("n") / run_pages, F.col("chars") / RUN_CHARS)).cast("int").alias("shards")))
+    fields = f"page_id {page_id.simpleString()}, url string, host string, content long, kinds array<string>, links array<string>, texts array<string>"
+    shards = F.coalesce("shards", F.lit(1))
+    dealt = (named.mapInArrow(_parsed, fields).join(F.broadcast(hot), "host", "left")
+             .withColumn("shard", F.pmod("content", shards).cast("int")).withColumn("buckets", F.ceil(shards / MEETING).cast("int")).drop("shards").repartition("host", "shard"))
+    hashes = dealt.sortWithinPartitions("host", "shard", "content").mapInArrow(_hashes, HASHES)
+    shared = hashes.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_meet, "host string, shard int, keys binary, pages binary")
+    return (dealt.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard"))
+            .applyInArrow(_texts(to_arrow_type(page_id)), f"page_id {page_id.simpleString()}, url string, text string, n_chars long"))

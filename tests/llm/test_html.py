@@ -81,6 +81,18 @@ def test_a_hot_host_is_dealt_out(spark):
     assert all(r["text"] == " ".join(f"word{r['page_id']}x{i}" for i in range(60)) for r in got.collect())
 
 
+def test_repeats_are_found_over_the_whole_host(spark):
+    """Two pages share a passage, whatever shards they are dealt to; many shards of one page each."""
+    passage = "these eleven words stand on no more than two pages here"
+    rows = [unmarked(k, "hot.example") for k in range(40)]
+    rows = [(k, u, h.replace("</p><p>Call", f" {passage}</p><p>Call") if k in (3, 31) else h) for k, u, h in rows]
+    for run_pages in (1, 512):
+        got = html_text.extract(pages_frame(spark, rows), run_pages=run_pages).collect()
+        assert {r["page_id"]: "Welcome" in r["text"] or "Call" in r["text"] for r in got} == dict.fromkeys(range(40), False)
+    streams = [html_text.parse(h).shell for _, _, h in rows]
+    assert [int(c.sum()) for c in html_text.repeated(streams)][:5] == [25, 25, 25, 36, 25]
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, None, "<p>x"), (1, None, "<p>x"), (2, "no url at all", ""), (3, "http://h/", "<article>" + "long words " * 200_000 + "</article>")]
     got = html_text.extract(pages_frame(spark, rows)).collect()
