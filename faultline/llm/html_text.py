@@ -1,7 +1,7 @@
 """Main text of web pages: what a host repeats on its pages is boilerplate.
 
 Every window of eight tokens outside marked articles has a hash; the distinct pages that hold it are counted over the whole
-host, however many tasks its pages are dealt to. What the windows of more than one page cover is boilerplate, unique runs stay.
+host, however many tasks its pages are dealt to. What the windows of more than one page cover is boilerplate and goes, word by word; unique runs stay.
 Pages whose text is the same but for marked parts are one page in that count. Where the page itself says what a part is, that
 is checked last and wins: a marked article stays even if another page holds a copy of it, and menus, headers, footers,
 sidebars, notices, adverts, forms, hidden parts and reader comments go even if they occur once.
@@ -60,12 +60,14 @@ class Page:
     links: list[str] = field(default_factory=list)
     shell: list[str] = field(default_factory=list)
     owner: list[int] = field(default_factory=list)
+    is_link: list[bool] = field(default_factory=list)
 
     def add(self, kind: str, link: str, text: str) -> None:
         if kind != "article":
             new = [link, *text.split()]
             self.shell += new
             self.owner += [len(self.blocks)] * len(new)
+            self.is_link += [True] + [False] * (len(new) - 1)
         self.blocks.append((kind, text))
         self.links.append(link)
 
@@ -210,20 +212,13 @@ def pages_of(found: np.ndarray, keys: np.ndarray, pages: np.ndarray) -> np.ndarr
 
 
 def main_text(page: Page, covered: np.ndarray) -> str:
-    """The marked article, else one in doubt, or of a page without any the open blocks that are not repeated for the most part.
-
-    A page whose open blocks are nearly all repeated is a copy of another page, no boilerplate: they stay.
-    """
+    """The marked article, else one in doubt, or of a page without any what is not repeated of the open blocks."""
     for marked in ("article", "doubt"):
         if any(kind == marked for kind, _ in page.blocks):
             return " ".join(text for kind, text in page.blocks if kind == marked)
-    opens = [i for i, (kind, _) in enumerate(page.blocks) if kind == "open"]
-    n = np.bincount(page.owner, minlength=len(page.blocks)) if page.owner else np.zeros(len(page.blocks))
-    hit = np.bincount(page.owner, weights=covered, minlength=len(page.blocks)) if page.owner else n
-    kept = [i for i in opens if hit[i] <= n[i] / 2]
-    if sum(n[i] for i in kept) < 0.2 * sum(n[i] for i in opens):
-        kept = opens
-    return " ".join(page.blocks[i][1] for i in kept)
+    kept = [token for token, owner, gone, link in zip(page.shell, page.owner, covered.tolist(), page.is_link, strict=True)
+            if not gone and not link and page.blocks[owner][0] == "open"]
+    return " ".join(kept)
 
 
 def host_of(url):

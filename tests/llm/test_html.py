@@ -93,6 +93,18 @@ def test_repeats_are_found_over_the_whole_host(spark):
     assert [int(c.sum()) for c in html_text.repeated(streams)][:5] == [25, 25, 25, 36, 25]
 
 
+def test_unique_words_beside_repeated_ones(spark):
+    """A block mostly of shared words keeps its own, one with few loses them; a short article stays under a long menu, which goes."""
+    shared = " ".join(f"quoted{i}" for i in range(30))
+    menu = " ".join(f"entry{i}" for i in range(400))
+    rows = [(k, "http://q.example/x", f"<div><p>own{k} {shared} end{k}</p><p>{' '.join(f'word{k}x{i}' for i in range(40))} {shared}</p></div>") for k in range(2)]
+    rows += [(k, "http://m.example/x", f"<div>{menu}</div><div>short text {k}</div>") for k in range(10, 12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages_frame(spark, rows)).collect()}
+    for k in range(2):
+        assert got[k] == f"own{k} end{k} " + " ".join(f"word{k}x{i}" for i in range(40))
+    assert [got[k].split()[-1] for k in (10, 11)] == ["10", "11"] and not any("entry" in got[k] for k in (10, 11))
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, None, "<p>x"), (1, None, "<p>x"), (2, "no url at all", ""), (3, "http://h/", "<article>" + "long words " * 200_000 + "</article>")]
     got = html_text.extract(pages_frame(spark, rows)).collect()
