@@ -1,10 +1,11 @@
 """Main text of web pages: what a host repeats on its pages is boilerplate.
 
-Every window of eight tokens outside marked articles has a hash; the distinct pages that hold it are counted over the whole
-host, however many tasks its pages are dealt to. What the windows of more than one page cover is boilerplate and goes, word by word; unique runs stay.
-Pages whose text is the same but for marked parts are one page in that count. Where the page itself says what a part is, that
-is checked last and wins: a marked article stays even if another page holds a copy of it, and menus, headers, footers,
-sidebars, notices, adverts, forms, hidden parts and reader comments go even if they occur once.
+Every window of eight tokens of a page, articles included, has a hash; the distinct pages that hold it are counted over the
+whole host, however many tasks its pages are dealt to. What the windows of more than one page cover is repeated and goes, word
+by word; unique runs stay. Pages with the same main content are one page in that count. Where the page itself says what a part
+is, that is checked last: of a marked article only what nearly all pages of the host have goes (a share line, a list to read
+on), not a passage that some other pages have too; and menus, headers, footers, sidebars, notices, adverts, forms, hidden parts
+and reader comments go even if they occur once.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 REPEAT, RUN_PAGES, RUN_CHARS, HOT_SHARE = 8, 512, 16 << 20, 10_000
 #: Shards of a host whose hashes one task counts; hashes and words that a task holds at once; the hash that counts the pages.
 MEETING, HELD, PAGES = 4, 4 << 20, 0
+#: Within a marked article: the share of the host's distinct pages, and the least number of them, that make a repeat boilerplate.
+USUAL_SHARE, USUAL_PAGES = 0.75, 4
 FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -50,7 +53,7 @@ PAGE_PARTS = frozenset("header head top".split())
 
 @dataclass
 class Page:
-    """blocks: (kind, text) in page order, with the element before them; shell: tokens outside articles, with their block.
+    """blocks: (kind, text) in page order, with the element before them; shell: all its tokens, with their block.
 
     kind: article, part (a menu, advert, comment and so on), open (the page says nothing about it), or doubt (an article that
     names itself a part, or stands in one: a comment, or the article of a page whose frame has an unlucky name).
@@ -63,17 +66,21 @@ class Page:
     is_link: list[bool] = field(default_factory=list)
 
     def add(self, kind: str, link: str, text: str) -> None:
-        if kind != "article":
-            new = [link, *text.split()]
-            self.shell += new
-            self.owner += [len(self.blocks)] * len(new)
-            self.is_link += [True] + [False] * (len(new) - 1)
+        new = [link, *text.split()]
+        self.shell += new
+        self.owner += [len(self.blocks)] * len(new)
+        self.is_link += [True] + [False] * (len(new) - 1)
         self.blocks.append((kind, text))
         self.links.append(link)
 
+    def main_kind(self) -> str:
+        """The kind of the blocks that hold the main text, by the page's own marks."""
+        return next((marked for marked in ("article", "doubt") if any(kind == marked for kind, _ in self.blocks)), "open")
+
     def content(self) -> int:
-        """A hash of all but the marked parts; pages of a host with the same one are copies of one page."""
-        told = "\x1f".join(text for kind, text in self.blocks if kind != "part")
+        """A hash of all blocks that may be main text; pages of a host with the same one are copies of one page."""
+        main = self.main_kind()
+        told = "\x1f".join(text for kind, text in self.blocks if kind == main)
         return int.from_bytes(blake2b(told.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
@@ -211,14 +218,16 @@ def pages_of(found: np.ndarray, keys: np.ndarray, pages: np.ndarray) -> np.ndarr
     return np.where(keys[at] == found, pages[at], 1)
 
 
-def main_text(page: Page, covered: np.ndarray) -> str:
-    """The marked article, else one in doubt, or of a page without any what is not repeated of the open blocks."""
-    for marked in ("article", "doubt"):
-        if any(kind == marked for kind, _ in page.blocks):
-            return " ".join(text for kind, text in page.blocks if kind == marked)
-    kept = [token for token, owner, gone, link in zip(page.shell, page.owner, covered.tolist(), page.is_link, strict=True)
-            if not gone and not link and page.blocks[owner][0] == "open"]
-    return " ".join(kept)
+def main_text(page: Page, covered: np.ndarray, usual: np.ndarray | None = None) -> str:
+    """What is not boilerplate of the marked article, else of one in doubt, or of a page without any of the open blocks.
+
+    Repeats come first: ``covered`` tokens are on other pages too, ``usual`` ones on nearly all. The mark of an article is the
+    final check: it takes back what is covered but not usual.
+    """
+    main = page.main_kind()
+    gone = covered if main == "open" or not len(covered) else np.zeros(len(covered), bool) if usual is None else usual
+    return " ".join(token for token, owner, lost, link in zip(page.shell, page.owner, gone.tolist(), page.is_link, strict=True)
+                    if not lost and not link and page.blocks[owner][0] == main)
 
 
 def host_of(url):
@@ -345,13 +354,14 @@ def _texts(page_id: pa.DataType):
         parts = [_unpacked(*r) for r in _rows(shared.to_batches(), "keys", "pages")]
         keys, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), return_index=True)
         counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])[at]
+        usual = max(USUAL_PAGES, USUAL_SHARE * (counts[0] if len(keys) else 0))
         ids, urls, texts = [], [], []
         for row_id, url, *blocks in _rows(pages.to_batches(), "page_id", "url", "kinds", "links", "texts"):
             page = _page(*blocks)
-            covered = cover(pages_of(windows(page.shell, known), keys, counts) > 1, len(page.shell))
+            found = pages_of(windows(page.shell, known), keys, counts)
             ids.append(row_id)
             urls.append(url)
-            texts.append(main_text(page, covered))
+            texts.append(main_text(page, cover(found > 1, len(page.shell)), cover(found >= usual, len(page.shell))))
         return pa.table([pa.array(ids, page_id), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     return work
 

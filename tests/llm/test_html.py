@@ -105,6 +105,26 @@ def test_unique_words_beside_repeated_ones(spark):
     assert [got[k].split()[-1] for k in (10, 11)] == ["10", "11"] and not any("entry" in got[k] for k in (10, 11))
 
 
+def test_boilerplate_within_articles(spark):
+    """A host's unmarked share line goes from its articles, copies of a page or not; a passage that two of them share stays."""
+    share = "Share this story with your friends and tell us what you think"
+    body = {k: " ".join(f"word{k}x{i}" for i in range(30)) for k in range(12)}
+    passage = " ".join(f"quoted{i}" for i in range(20))
+    text = {k: body[k] + (f" {passage}" if k in (4, 9) else "") for k in body}
+    rows = [(k, "http://s.example/x", f"<nav>menu</nav><article><p>{text[k]}</p><div>{share}</div></article>") for k in body]
+    rows += [(100 + k, "http://copies.example/x", f"<div class=ad>{k}</div><article><p>{text[4]}</p><div>{share}</div></article>") for k in range(6)]
+    for run_pages in (2, 512):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(pages_frame(spark, rows), run_pages=run_pages).collect()}
+        assert got == text | {100 + k: f"{text[4]} {share}" for k in range(6)}
+
+
+def test_an_article_shows_what_an_unmarked_page_repeats(spark):
+    passage = " ".join(f"quoted{i}" for i in range(20))
+    rows = [(1, "http://a.example/1", f"<article>{passage} told at length</article>"), (2, "http://a.example/2", f"<div>own words {passage} here</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages_frame(spark, rows)).collect()}
+    assert got == {1: f"{passage} told at length", 2: "own words here"}
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, None, "<p>x"), (1, None, "<p>x"), (2, "no url at all", ""), (3, "http://h/", "<article>" + "long words " * 200_000 + "</article>")]
     got = html_text.extract(pages_frame(spark, rows)).collect()
