@@ -1,6 +1,7 @@
 """Licence notices in texts: a paragraph classifier, an unknown class, and a comparison with templates.
 
-DataFrame operations only on the main path. A paragraph (line) is described by the word n-grams of the templates' vocabulary
+DataFrame operations only on the main path. Paragraphs are the lines of a text and, for notices that are wrapped, the blocks of
+lines between empty ones (without a letter or digit, as are the bare marks of a comment). A paragraph is described by the word n-grams of the templates' vocabulary
 that it holds; a logistic regression over the licence families, ``unknown`` (a licence, but none of these) and ``none`` gives
 probabilities, which a temperature fitted on held-out variants makes honest. A family has to reach the calibrated probability,
 else the paragraph is ``unknown``; and the prediction is confirmed if the paragraph holds most n-grams of one of the family's
@@ -15,7 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import stored, texts_of
@@ -35,7 +36,9 @@ TEMPLATES = {
     "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
              "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "BSD": ["Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
-            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense."],
@@ -60,6 +63,8 @@ SAMPLE, SAMPLE_CHARS = 600, 2000
 #: Share of a template's n-grams that confirms it; wanted precision of what is called a family.
 CONFIRM, PRECISION = 0.8, 0.98
 SPLIT = "[^\\p{L}\\p{N}]+"
+#: Words that mark a comment at the start of a line; marks without letters are no words anyway.
+COMMENT = "(?im)^[^\\p{L}\\p{N}\n]*(?:dnl|rem)(?=\\s|$)"
 
 
 def words_of(text: str) -> list[str]:
@@ -161,9 +166,30 @@ def train(ordinary: list[str], variants: int = 8, steps: int = 150, seed: int =
     return model
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (its number from 0) and body of every line of every text."""
-    return texts_of(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
+def step(df: DataFrame, *kept: str, **columns) -> DataFrame:
+    """The kept columns and more, each computed once: through a generator, which the optimizer does not look through."""
+    return df.select(*(kept or "*"), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def paragraphs(docs: DataFrame, where: str = ".") -> DataFrame:
+    """doc_id, doc (a number of the row), paragraph (of the first line, from 0), lines, block and body of the lines with a letter or
+    digit and of the blocks of two and more of them; block: the first line of the block. Only texts that match ``where``.
+
+    The time for a text grows with its length, whatever its lines are.
+    """
+    texts = texts_of(docs).where(F.col("text").rlike(where)).withColumn("doc", F.monotonically_increasing_id())
+    lined = step(texts, "doc_id", "doc", lines=F.split(F.regexp_replace("text", COMMENT, ""), "\n"))
+    empty = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: ~F.element_at("lines", i).rlike("[\\p{L}\\p{N}]"))
+    cut = step(lined, "doc_id", "doc", "lines", cuts=F.concat(F.array(F.lit(0)), empty, F.array(F.size("lines") + 1)))
+
+    def block(k):
+        first, n = F.element_at("cuts", k), F.element_at("cuts", k + 1) - F.element_at("cuts", k) - 1
+        row = lambda at, size, body: F.struct(at.alias("paragraph"), size.alias("lines"), first.alias("block"), body.alias("body"))
+        own = F.slice("lines", first + 1, n)
+        return F.concat(F.transform(own, lambda x, i: row(first + i, F.lit(1), x)),
+                        F.when(n > 1, F.array(row(first, n, F.array_join(own, "\n")))).otherwise(F.array().cast("array<struct<paragraph:int,lines:int,block:int,body:string>>")))
+
+    return cut.select("doc_id", "doc", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), block))))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LicenseModel:
@@ -187,6 +213,9 @@ def _tables(spark: SparkSession, model: LicenseModel) -> tuple[DataFrame, DataFr
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, paragraph, family, probability, predicted, template, containment, confirmed: the paragraphs that are licences.
 
+    paragraph: the number of its line, of a block its first line. A block stands for its lines if a template confirms a family
+    that none of its lines confirms (its unconfirmed lines are parts of it), or if it is a licence and none of its lines is.
+
     predicted: the most probable family, or unknown; family: the same if a template confirms it, else unknown. A null or
     empty text has no licence. Null ids and repeated rows are rows like others: a repeated row gives its paragraphs again.
     An empty table gives no rows. Paragraphs of any length are read whole; ties go to the first family or template in order.
@@ -198,39 +227,42 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     grams, templates = _tables(spark, model)
     gate_words = sorted({w for g in model.vocabulary for w in g.split() if telling(w)})
     gate = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(gate_words) + ")(?![\\p{L}\\p{N}])"
-    bodies = paragraphs(docs).where(F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
+    bodies = paragraphs(docs, gate).where(F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
     split = F.filter(F.split(F.lower("body"), SPLIT), lambda w: w != "")
     # through a generator, which the optimizer does not look through: else every n-gram would split the paragraph again
-    words = bodies.select("doc_id", "paragraph", "row", F.inline(F.array(F.struct(split.alias("words")))))
+    place = ("doc_id", "doc", "paragraph", "lines", "block", "row")
+    words = bodies.select(*place, F.inline(F.array(F.struct(split.alias("words")))))
     starts = lambda n: F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
     run = lambda n: F.transform(starts(n), lambda i: F.concat_ws(" ", *(F.element_at("words", i + k) for k in range(n))))
     runs = [run(n) for n in (1, 2, 3)]
-    found = stored(words.select("doc_id", "paragraph", "row", F.explode(F.array_distinct(F.concat(*runs))).alias("gram")).join(F.broadcast(grams), "gram"), "licence-grams")
+    found = stored(words.select(*place, F.explode(F.array_distinct(F.concat(*runs))).alias("gram")).join(F.broadcast(grams), "gram"), "licence-grams")
     k = len(model.classes)
-    sums = found.groupBy("row", "doc_id", "paragraph").agg(*(F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)))
+    sums = found.groupBy(*place).agg(*(F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)))
     z = F.array(*((F.col(f"z{i}") + F.lit(float(model.bias[i]))) / F.lit(float(model.temperature)) for i in range(k)))
     family = F.array(*map(F.lit, model.classes))
 
-    def step(df: DataFrame, **columns) -> DataFrame:
-        """More columns, each computed once: through a generator, as above."""
-        return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-    scored = step(sums.select("row", "doc_id", "paragraph", z.alias("z")), most=F.array_max("z"))
+    scored = step(sums.select(*place, z.alias("z")), most=F.array_max("z"))
     scored = step(scored, powers=F.transform("z", lambda x: F.exp(x - F.col("most"))))
     known = F.slice("powers", 1, k - 2)
     scored = step(scored, total=F.aggregate("powers", F.lit(0.0), lambda a, y: a + y), best=F.array_max(known), at=F.array_position(known, F.array_max(known)).cast("int"))
     scored = (scored.withColumn("licence", F.lit(1.0) - F.element_at("powers", -1) / F.col("total")).where("licence > 0.5")
-              .select("row", "doc_id", "paragraph", (F.col("best") / F.col("total")).alias("top"), F.element_at(family, F.col("at")).alias("likely"), "licence"))
+              .select(*place, (F.col("best") / F.col("total")).alias("top"), F.element_at(family, F.col("at")).alias("likely"), "licence"))
     sure = F.col("top") >= model.least
-    scored = scored.select("row", "doc_id", "paragraph", F.when(sure, F.col("likely")).otherwise(UNKNOWN).alias("predicted"), F.when(sure, F.col("top")).otherwise(F.col("licence")).alias("probability"))
+    scored = scored.select(*place, F.when(sure, F.col("likely")).otherwise(UNKNOWN).alias("predicted"), F.when(sure, F.col("top")).otherwise(F.col("licence")).alias("probability"))
     shares = (found.select("row", F.explode("templates").alias("template")).groupBy("row", "template").agg(F.count("*").alias("n"))
               .join(F.broadcast(templates), "template").select("row", "template_family", "template_text", (F.col("n") / F.col("size")).alias("containment"), "template"))
     closest = shares.groupBy("row", "template_family").agg(F.max(F.struct("containment", (-F.col("template")).alias("order"), "template_text")).alias("best"))
     joined = scored.join(closest, (scored["row"] == closest["row"]) & (scored["predicted"] == closest["template_family"]), "left").drop(closest["row"])
     containment = F.coalesce(F.col("best.containment"), F.lit(0.0))
     confirmed = containment >= CONFIRM
-    return joined.select("doc_id", "paragraph", F.when(confirmed, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"),
-                         "predicted", F.col("best.template_text").alias("template"), F.round(containment, 6).alias("containment"), confirmed.alias("confirmed"))
+    block, line = F.col("lines") > 1, F.col("lines") == 1
+    here = Window.partitionBy("doc", "block")
+    judged = (joined.withColumn("confirmed", confirmed).withColumn("told", F.collect_set(F.when(line & F.col("confirmed"), F.col("predicted"))).over(here))
+              .withColumn("stands", block & F.col("confirmed") & ~F.array_contains("told", F.col("predicted")))
+              .withColumn("block_stands", F.max("stands").over(here)).withColumn("has_lines", F.max(line).over(here)))
+    kept = judged.where(F.when(block, F.col("stands") | ~F.col("confirmed") & ~F.col("has_lines")).otherwise(F.col("confirmed") | ~F.col("block_stands")))
+    return kept.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"),
+                       "predicted", F.col("best.template_text").alias("template"), F.round(containment, 6).alias("containment"), "confirmed")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -111,6 +111,34 @@ def test_licences(spark, docs_of):
     assert license_scan.license_scan(docs.where("false")).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to
+the following conditions:"""
+APACHE_TEXT = """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+implied. See the License for the specific language governing
+permissions and limitations under the License."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer."""
+
+
+def test_wrapped_licences(spark, docs_of):
+    ordinary = [(100 + i, f"Some plain words number {i} stand here. " * 3) for i in range(60)]
+    marked = lambda mark, text: "".join(f"{mark} {x}".rstrip() + "\n" for x in text.split("\n"))
+    texts = [(1, f"Title\n\n{MIT_TEXT}\n\nThe end"), (2, "/*\n" + marked(" *", APACHE_TEXT) + " */\nint x;"), (3, BSD_TEXT), (4, marked("#", MIT_TEXT)), (5, marked("dnl", BSD_TEXT))]
+    got = license_scan.license_scan(docs_of([*texts, *ordinary])).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 2, "MIT"), (2, 1, "Apache-2.0"), (3, 0, "BSD"), (3, 4, "BSD"), (4, 0, "MIT"), (5, 0, "BSD"), (5, 4, "BSD")]
+
+
 def test_licences_of_the_corpus(spark):
     wanted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
               "GPL": "This work is licensed under the GNU General Public License, version 3.", "Proprietary": "All rights reserved."}
