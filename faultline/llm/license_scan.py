@@ -24,7 +24,7 @@ from faultline.llm.shared import stored, texts_of
 NONE, UNKNOWN = "none", "unknown"
 #: Opening or defining sentences of well-known licences, and usual one-line notices: fixed values.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT",
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "License: MIT", "Available under MIT.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -54,8 +54,9 @@ OTHERS = ["Licensed under the Zlib License.", "Licensed under the Eclipse Public
           "This font is licensed under the SIL Open Font License, Version 1.1.", "Released under the WTFPL license.", "Licensed under the European Union Public Licence, version 1.2.", "You may use this work under the terms of the Academic Free License.",
           "Licensed under the Boost Software License, version 1.0.", "Released under the Common Development and Distribution License.", "Licensed under the Universal Permissive License.", "Licensed under the Open Database License.",
           "This data is licensed under the terms of the Open Government Licence v3.0.", "Released under the PostgreSQL License.", "Licensed under the Sleepycat License.", "Licensed under the terms of the Python Software Foundation License, version 2."]
-#: Words that alone say nothing about a licence, as numbers don't; an n-gram has to hold another one. Fixed values.
-COMMON = frozenset("""mit under only open general example style http www org international a above agreed all an and any are as at be by can charge conditions either following for form forms free from files file had has have if in including into is it law
+#: Words that alone say nothing about a licence; an n-gram has to hold another one. Names and numbers that tell families apart
+#: are none of them, even where they are words of a language (German "mit"): there the classifier decides. Fixed values.
+COMMON = frozenset("""under only example http www org a above agreed all an and any are as at be by can charge conditions either following for form forms free from files file had has have if in including into is it law
     kind later limitation list may medium met must not obtain obtaining of on option or other out people person possible prohibited project provided purpose related
     required rights sell source strictly subject terms that the this to to use used using v version via was whose with without work works writing you your""".split())
 #: Ordinary paragraphs that are sampled as none; characters a sampled one may have.
@@ -72,7 +73,7 @@ def words_of(text: str) -> list[str]:
 
 
 def telling(word: str) -> bool:
-    return word not in COMMON and not word.isdecimal()
+    return word not in COMMON
 
 
 def grams_of(words: list[str], vocabulary=None) -> set[str]:

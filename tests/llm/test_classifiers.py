@@ -139,6 +139,14 @@ def test_wrapped_licences(spark, docs_of):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 2, "MIT"), (2, 1, "Apache-2.0"), (3, 0, "BSD"), (3, 4, "BSD"), (4, 0, "MIT"), (5, 0, "BSD"), (5, 4, "BSD")]
 
 
+def test_short_notices_that_name_mit(spark, docs_of):
+    ordinary = [(100 + i, ("Some plain words number {} stand here. " if i % 2 else "Der Hund geht mit der Katze {} und mit dem Kind. ").format(i) * 3) for i in range(120)]
+    docs = docs_of([(1, "Available under MIT"), (2, "License: MIT"), (3, "License: Zlib"), (4, "Wir gehen mit dem Hund in den Wald."), *ordinary])
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert {i: r["family"] for i, r in got.items() if i != 3} == {1: "MIT", 2: "MIT"}
+    assert 3 not in got or got[3]["family"] == "unknown"
+
+
 def test_licences_of_the_corpus(spark):
     wanted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
               "GPL": "This work is licensed under the GNU General Public License, version 3.", "Proprietary": "All rights reserved."}
