@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from faultline.llm import bpe_codec, exact_dedup, html_text, language_id, license_scan, packing, quality, simhash, token_counts, topk_search
+from pyspark.sql import functions as F
+
+from faultline.llm import bpe_codec, conversation_repair, exact_dedup, html_text, language_id, license_scan, packing, quality, simhash, token_counts, topk_search
 from faultline.llm.shared import table
 
 
@@ -60,6 +62,11 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    harmed = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_summary(harmed, F.col("dropped"))
+
+
 OP8_SQL = r"""
 with digests as (
     select doc_id, length(coalesce(text, '')) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as digest
@@ -88,7 +95,7 @@ select * from ranked where rank <= 5
 
 def llm_queries() -> dict:
     found = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_bpe_codec, op4_simhash_near_dedup, op5_html_extraction,
-                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier)}
+                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier, op11_conversation_repair)}
     import corpus_pipeline
 
     return found | {"pipeline": corpus_pipeline.run}
