@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe_codec, conversation_repair, exact_dedup, html_text, language_id, license_scan, packing, quality, simhash, token_counts, topk_search
+from faultline.llm import bpe_codec, conversation_repair, exact_dedup, html_text, language_id, license_scan, packing, quality, simhash, spelling, token_counts, topk_search
 from faultline.llm.shared import table
 
 
@@ -67,6 +67,10 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_summary(harmed, F.col("dropped"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 with digests as (
     select doc_id, length(coalesce(text, '')) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as digest
@@ -95,7 +99,7 @@ select * from ranked where rank <= 5
 
 def llm_queries() -> dict:
     found = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_bpe_codec, op4_simhash_near_dedup, op5_html_extraction,
-                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier, op11_conversation_repair)}
+                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier, op11_conversation_repair, op13_spelling_variants)}
     import corpus_pipeline
 
     return found | {"pipeline": corpus_pipeline.run}
