@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe_codec, conversation_repair, exact_dedup, html_text, language_id, license_scan, packing, quality, simhash, spelling, token_counts, topk_search
+from faultline.llm import bpe_codec, conversation_repair, exact_dedup, html_text, jaccard, language_id, license_scan, packing, quality, simhash, spelling, token_counts, topk_search
 from faultline.llm.shared import table
 
 
@@ -67,6 +67,10 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_summary(harmed, F.col("dropped"))
 
 
+def op12_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -96,10 +100,32 @@ ranked as (
 select * from ranked where rank <= 5
 """
 
+OP12_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as grams
+    from words),
+items as (select doc_id, len(grams) as n, unnest(grams) as gram from sets),
+pairs as (
+    select x.doc_id as a, y.doc_id as b
+    from items x join items y on x.gram = y.gram and x.doc_id < y.doc_id
+    group by x.doc_id, y.doc_id, x.n, y.n
+    having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
+from sets s left join reach r on r.a = s.doc_id
+group by s.doc_id, s.grams
+"""
+
 
 def llm_queries() -> dict:
     found = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_bpe_codec, op4_simhash_near_dedup, op5_html_extraction,
-                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier, op11_conversation_repair, op13_spelling_variants)}
+                                     op6_best_fit_packing, op7_language_id, op8_exact_dedup, op9_topk_search, op10_quality_classifier, op11_conversation_repair, op12_ngram_jaccard_join,
+                                     op13_spelling_variants)}
     import corpus_pipeline
 
     return found | {"pipeline": corpus_pipeline.run}
@@ -108,5 +134,5 @@ def llm_queries() -> dict:
 def llm_oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op8_exact_dedup": OP8_SQL, "op9_topk_search": OP9_SQL}
+    found = {"op8_exact_dedup": OP8_SQL, "op9_topk_search": OP9_SQL, "op12_ngram_jaccard_join": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -96,6 +96,18 @@ def smallest_hashes(rows: DataFrame, label: str, n: int) -> DataFrame:
     return few.withColumn("nth", nth).where(F.col("nth") <= n).select("doc_id", label)
 
 
+def joined_by_key(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", support: float = 0.001) -> DataFrame:
+    """``rows`` (stored) joined with ``small`` (stored, one row a key), with hot keys on the map side.
+
+    A Misra-Gries summary finds every key on at least ``support`` of the rows; only their rows of ``small``, at most
+    1 / support, are broadcast. All other keys meet in an ordinary join, in which no key is hot.
+    """
+    likely = rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull())
+    hot = stored(small.join(F.broadcast(likely), key, "left_semi").coalesce(1), "hot")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(small, key, how))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once."""
     for batch in batches:
