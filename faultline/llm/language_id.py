@@ -21,8 +21,6 @@ from faultline.llm.shared import id_remainder, slices, smallest_hashes, texts_of
 LENGTH, WIDTHS, FILTERS, DIMENSIONS = 256, (2, 3, 4), 12, 8
 #: The bound of the training sample: texts of each language, windows of each text (spread over the whole text).
 TEXTS, WINDOWS = 400, 4
-#: Probability below which no language is taken as known: little more than chance among four.
-LEAST = 0.3
 UNDETERMINED = "und"
 
 
@@ -61,8 +59,28 @@ class ByteNet:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def gradients(net: ByteNet, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy by each parameter; that of a maximum goes to its place. Byte 0 has no embedding to learn."""
+    widest = net.filters.shape[0] // net.embed.shape[1]
+    pooled, place = net.pooled(x, with_place=True)
+    z = pooled @ net.out + net.out_bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = (p @ net.out.T) * (pooled > 0)
+    padded = np.pad(x, ((0, 0), (0, widest - 1)))
+    used = padded[np.arange(len(y))[:, None, None], place[:, :, None] + np.arange(widest)]
+    seen = net.embed[used].reshape(len(y), net.filters.shape[1], -1)
+    g = {"out": pooled.T @ p, "out_bias": p.sum(axis=0), "bias": back.sum(axis=0),
+         "filters": np.einsum("nf,nfi->if", back, seen), "embed": np.zeros_like(net.embed)}
+    np.add.at(g["embed"], used.ravel(), (back[:, :, None] * net.filters.T[None]).reshape(-1, net.embed.shape[1]))
+    g["embed"][0] = 0
+    return g
+
+
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7, epochs: int = 12, batch: int = 64, rate: float = 0.004) -> ByteNet:
-    """Cross entropy by Adam; the gradient of a maximum goes to its place. The same input gives the same network."""
+    """Cross entropy by Adam. The same input gives the same network."""
     rng, widest, k = np.random.default_rng(seed), max(WIDTHS), len(languages)
     held = np.zeros((widest * DIMENSIONS, FILTERS * len(WIDTHS)), np.float32)
     for i, width in enumerate(WIDTHS):
@@ -77,21 +95,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
-            x, y = windows[order[at:at + batch]], labels[order[at:at + batch]]
-            pooled, place = net.pooled(x, with_place=True)
-            z = pooled @ net.out + net.out_bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ net.out.T) * (pooled > 0)
-            padded = np.pad(x, ((0, 0), (0, widest - 1)))
-            used = padded[np.arange(len(y))[:, None, None], place[:, :, None] + np.arange(widest)]
-            seen = net.embed[used].reshape(len(y), held.shape[1], -1)
-            g = {"out": pooled.T @ p, "out_bias": p.sum(axis=0), "bias": back.sum(axis=0),
-                 "filters": np.einsum("nf,nfi->if", back, seen) * held, "embed": np.zeros_like(net.embed)}
-            np.add.at(g["embed"], used.ravel(), (back[:, :, None] * net.filters.T[None]).reshape(-1, DIMENSIONS))
-            g["embed"][0] = 0
+            g = gradients(net, windows[order[at:at + batch]], labels[order[at:at + batch]])
+            g["filters"] *= held
             step += 1
             for name in names:
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
@@ -107,13 +112,14 @@ def has_letter(text: str) -> bool:
 def learn(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> ByteNet:
     """A network from rows with a language whose id leaves another remainder than 2 by 4.
 
-    Bounded sample: of each language the ``texts`` rows with the smallest hash of their id, of each row up to ``windows``
-    windows spread over its whole text. Which rows those are is decided without reading texts.
+    Bounded sample: of each language the ``texts`` ids with the smallest hash, of each the least text that is not empty, of that up
+    to ``windows`` windows spread over all of it. Which ids those are is decided without reading texts.
     """
     usable = docs.where(F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 4) != 2))
     chosen = smallest_hashes(usable, "lang", texts).withColumnRenamed("lang", "chosen_lang")
-    rows = (texts_of(docs, "lang").join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("chosen_lang"))
-            .select("doc_id", "text", "lang").where(F.col("text") != "").mapInArrow(_spread(windows), "doc_id string, lang string, bytes binary"))
+    own = docs.where(F.col("lang").isNotNull()).withColumn("chosen_lang", F.col("lang"))
+    rows = (texts_of(own, "chosen_lang").where(F.col("text") != "").join(F.broadcast(chosen), ["doc_id", "chosen_lang"])
+            .groupBy("doc_id", F.col("chosen_lang").alias("lang")).agg(F.min("text").alias("text")).select("doc_id", "text", "lang").mapInArrow(_spread(windows), "doc_id string, lang string, bytes binary"))
     found = sorted((r["lang"], r["doc_id"] or "", bytes(r["bytes"])) for r in rows.collect())
     languages = sorted({r[0] for r in found})
     if not languages:
@@ -190,8 +196,12 @@ def language_id(docs: DataFrame, net: ByteNet) -> DataFrame:
     return texts_of(docs, held_out).mapInArrow(work, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known_language(docs: DataFrame, net: ByteNet, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, all columns, in one of the network's languages with at least that score."""
+def keep_known_language(docs: DataFrame, net: ByteNet, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, in one of the network's languages; with ``least``, at that score at least.
+
+    By default only texts without a letter (``und``) go: how sure a network can be depends on the number of its languages, so no
+    fixed score would leave clean texts alone whatever the languages are.
+    """
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(batches):

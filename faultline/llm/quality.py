@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import id_remainder, slices, smallest_hashes, texts_of
+from faultline.llm.shared import id_remainder, one_text_each, slices, smallest_hashes, texts_of
 
 #: The bound of the training sample: labelled documents of either label. Pairs drawn from them.
 LABELLED, PAIRS = 3000, 40_000
@@ -90,11 +90,11 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = 1e
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Ranking:
     """A ranking from documents with a label 0 or 1 whose id leaves another remainder than 1 by 3.
 
-    Bounded sample: of either label the ``labelled`` documents with the smallest hash of their id, whole texts.
+    Bounded sample: of either label the ``labelled`` ids with the smallest hash, of each one whole text.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
     chosen = smallest_hashes(usable, "quality", labelled)
-    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_rows, "quality int, x array<double>")
+    rows = one_text_each(docs, chosen, "quality").select("quality", "text").mapInArrow(_rows, "quality int, x array<double>")
     found = sorted((r["quality"], tuple(r["x"])) for r in rows.collect())
     by = {q: np.array([x for label, x in found if label == q]).reshape(-1, len(GROUPS) + 15) for q in (0, 1)}
     return fit(by[1], by[0])

@@ -83,14 +83,14 @@ def id_remainder(doc_id: Column, parts: int) -> Column:
 def smallest_hashes(rows: DataFrame, label: str, n: int) -> DataFrame:
     """Of each value of ``label`` the ``n`` rows (doc_id and the label) with the smallest hash of their id, each pair once.
 
-    Labels are few; rows may be any number. From counts it is known below which hash about twice as many lie, so few rows
-    are shuffled and none gathers a label's rows.
+    Labels are few; rows and ids may be any number, and one id may stand on many rows. From (approximate) counts of different
+    ids it is known below which hash over twice as many ids lie, so few rows are shuffled and none gathers a label's rows.
     """
     top = 1 << 30
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(top))
     below = F.lit(0)
-    for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect():
-        below = F.when(F.col(label) == r[label], min(top, 2 * top * n // r["n"])).otherwise(below)
+    for r in rows.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("ids")).collect():
+        below = F.when(F.col(label) == r[label], min(top, top * (2 * n + 64) // max(1, r["ids"]))).otherwise(below)
     nth = F.row_number().over(Window.partitionBy(label).orderBy("rank", "doc_id"))
     few = rows.select("doc_id", label, rank.alias("rank")).where(F.col("rank") < below).distinct()
     return few.withColumn("nth", nth).where(F.col("nth") <= n).select("doc_id", label)
@@ -108,6 +108,14 @@ def joined_by_key(rows: DataFrame, small: DataFrame, key: str, how: str = "inner
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(small, key, how))
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
+    """doc_id, ``label`` and a text for each pair of ``chosen`` (of a bounded number, so it is broadcast) whose id ``docs`` holds.
+
+    Of several rows with the id the least text, so that the result has a row for each pair at most, always the same one.
+    """
+    return texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once."""
     for batch in batches:

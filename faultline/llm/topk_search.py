@@ -20,13 +20,19 @@ from faultline.llm.shared import stored
 #: Queries that are broadcast at once (about 4 MB for 64 components); rows of a tile on either side; groups of tasks.
 QUERIES, TILE, GROUPS = 8192, 1024, 64
 EXACT = 2 ** 52
+#: Queries with a component beyond this go in tiles of their own, so that they alone take the exact way.
+USUAL = 2.0 ** 20
 LOWEST, HIGHEST = -(2 ** 63), 2 ** 63 - 1
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
     """id and components floor(scale * x) of the vectors that have no null and no non-finite component."""
-    parts = F.transform(F.col(vector_column), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    finite = F.forall(F.col(vector_column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(2 ** 53 // scale)))
+    def whole(x):
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) >= 2.0 ** 52, scaled).otherwise(F.floor(scaled).cast("double"))  # such a double has no fraction
+
+    parts = F.transform(F.col(vector_column), whole)
+    finite = F.forall(F.col(vector_column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.lit(float(scale)) * x.cast("double")) < float("inf")))
     return vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(finite).select(F.col(id_column).alias("vec_id"), parts.alias("parts"))
 
 
@@ -41,14 +47,29 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[at], flat[starts[at][:, None] + np.arange(size)]
 
 
+def _whole(m: np.ndarray) -> np.ndarray:
+    return np.array([[int(v) for v in row] for row in m], object).reshape(m.shape)
+
+
+def beyond(score: int) -> bytes | None:
+    """For a score at or beyond the ends of a long: bytes that sort as the scores do; else null."""
+    if LOWEST < score < HIGHEST:
+        return None
+    size = (abs(score).bit_length() + 7) // 8
+    code = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return code if score > 0 else bytes(255 - b for b in code)
+
+
 def best_of_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores, ids, valid) of each query's k best; ``ids`` ascend, so of equal scores the first ones win."""
+    """(scores, ids, valid) of each query's k best; ``ids`` ascend, so of equal scores the first ones win.
+
+    Products beyond what doubles hold exactly are taken in whole numbers of any size.
+    """
     bound = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if bound * len(ids) < EXACT:
         scores = (q @ x.T).astype(np.int64)
     else:
-        exact = q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
-        scores = np.array([[max(LOWEST, min(HIGHEST, s)) for s in row] for row in exact], np.int64).reshape(len(q), len(ids))
+        scores = _whole(q) @ _whole(x).T if q.shape[1] else np.zeros((len(q), len(ids)), object)
     own = q_ids[:, None] == ids[None, :]
     k = min(k, len(ids))
     if bound * len(ids) < EXACT:
@@ -56,7 +77,7 @@ def best_of_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
         key[own] = LOWEST
         at = np.argpartition(key, len(ids) - k, axis=1)[:, len(ids) - k:]
     else:
-        at = np.array([np.lexsort((np.arange(len(ids)), -row.astype(object), mine))[:k] for row, mine in zip(scores, own, strict=True)])
+        at = np.array([sorted(range(len(ids)), key=lambda j: (mine[j], -row[j], j))[:k] for row, mine in zip(scores, own, strict=True)], np.int64).reshape(len(q), k)
     take = lambda m: np.take_along_axis(m, at, axis=1)
     return take(scores), ids[at], ~take(own)
 
@@ -66,51 +87,65 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERIES)
 
     Both tables: vec_id, parts (whole numbers as doubles), stored. The vector with the query's own id is no candidate;
     repeated rows of a query are one query; repeated rows of other vectors are candidates each. Only vectors of the query's
-    length are compared. Scores beyond a long are held at its ends. No queries or no vectors give no rows.
+    length are compared. Scores are ranked by their true values; those beyond a long are shown as its ends. No queries or no
+    vectors give no rows.
     """
     spark = vectors.sparkSession
     queries = queries.dropDuplicates(["vec_id"])
     rounds = max(1, -(-2 * queries.count() // block))
-    parts = []
+    paths: list[str] = []
     for n in range(rounds):
         here = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == n).limit(block + 1).toArrow()
         if here.num_rows > block:
             raise RuntimeError("a block of queries is larger than its bound")
         sent = spark.sparkContext.broadcast([x for b in here.combine_chunks().to_batches() for x in _rows(b)])
-        lists = vectors.mapInArrow(_best(sent, k), "shard int, query_id long, vec_id long, score long")
-        order = [F.desc("score"), F.asc("vec_id")]
+        lists = vectors.mapInArrow(_best(sent, k), "shard int, query_id long, vec_id long, score long, beyond binary")
+        order = [F.desc("score"), F.desc_nulls_last("beyond"), F.asc("vec_id")]
         for group in (["query_id", F.col("shard") % GROUPS], ["query_id"]):
             lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
         result = lists.select("query_id", "rank", "vec_id", "score")
-        parts.append(stored(result, "top") if rounds > 1 else result)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        if rounds == 1:
+            return result
+        paths += {f.rsplit("/", 1)[0] for f in stored(result, "top").inputFiles()}
+    return spark.read.schema(result.schema).parquet(*paths)  # one read, however many rounds
+
+
+def _merged(a: tuple, b: tuple, k: int) -> tuple:
+    """The ``k`` best of two lists (scores, ids, valid) of the same queries."""
+    both = tuple(np.concatenate([m, n], axis=1) for m, n in zip(a, b, strict=True))
+    if both[0].dtype == object:
+        at = np.array([sorted(range(len(s)), key=lambda j: (not v[j], -s[j], i[j]))[:k] for s, i, v in zip(*both)], np.int64)
+    else:
+        at = np.lexsort((both[1], ~both[0], ~both[2]), axis=1)[:, :k]
+    return tuple(np.take_along_axis(m, at, axis=1) for m in both)
 
 
 def _best(sent, k: int):
     def work(batches: Iterator[pa.RecordBatch]):
-        tiles = [(ids[a:a + TILE], q[a:a + TILE]) for ids, q in sent.value for a in range(0, len(ids), TILE)]
+        tiles = []
+        for ids, q in sent.value:
+            usual = np.abs(q).max(axis=1, initial=0) < USUAL
+            for some in (usual, ~usual):
+                tiles += [(ids[some][a:a + TILE], q[some][a:a + TILE]) for a in range(0, int(some.sum()), TILE)]
         lists: list = [None] * len(tiles)
         for batch in batches:
-            for ids, x in _rows(batch):
-                for a in range(0, len(ids), TILE):
-                    for t, (q_ids, q) in enumerate(tiles):
-                        if q.shape[1] == x.shape[1]:
-                            new = best_of_tile(q_ids, q, ids[a:a + TILE], x[a:a + TILE], k)
-                            if lists[t] is not None:
-                                new = tuple(np.concatenate([m, n], axis=1) for m, n in zip(lists[t], new, strict=True))
-                                at = np.lexsort((new[1], ~new[0], ~new[2]), axis=1)[:, :k]
-                                new = tuple(np.take_along_axis(m, at, axis=1) for m in new)
-                            lists[t] = new
+            for all_ids, all_x in _rows(batch):
+                usual = np.abs(all_x).max(axis=1, initial=0) < USUAL
+                for ids, x in ((all_ids[some], all_x[some]) for some in (usual, ~usual)):
+                    for a in range(0, len(ids), TILE):
+                        for t, (q_ids, q) in enumerate(tiles):
+                            if q.shape[1] == x.shape[1]:
+                                new = best_of_tile(q_ids, q, ids[a:a + TILE], x[a:a + TILE], k)
+                                lists[t] = new if lists[t] is None else _merged(lists[t], new, k)
         shard = TaskContext.get().partitionId()
         for (q_ids, _), found in zip(tiles, lists, strict=True):
             if found is not None:
                 scores, ids, valid = found
-                asked = np.broadcast_to(q_ids[:, None], ids.shape)[valid]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), shard, np.int32)), *(pa.array(c.astype(np.int64)) for c in (asked, ids[valid], scores[valid]))],
-                                                 names=["shard", "query_id", "vec_id", "score"])
+                asked, scores = np.broadcast_to(q_ids[:, None], ids.shape)[valid], scores[valid]
+                over = [None] * len(asked) if scores.dtype != object else [beyond(s) for s in scores]
+                shown = scores if scores.dtype != object else np.array([max(LOWEST, min(HIGHEST, s)) for s in scores], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), shard, np.int32)), *(pa.array(c.astype(np.int64)) for c in (asked, ids[valid], shown)), pa.array(over, pa.binary())],
+                                                 names=["shard", "query_id", "vec_id", "score", "beyond"])
     return work
 
 
@@ -118,7 +153,7 @@ def top_k_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, scale: int
     """The ``k`` best for each vector whose vec_id ``every`` divides; vectors from ``embedding``, see ``search``.
 
     Vectors that are null or hold a null or non-finite component take no part, neither as query nor as candidate; nor do rows
-    without an id, and components from 2^53 / scale on, which have no exact whole number here.
+    without an id, and vectors of doubles that ``scale`` takes beyond the largest double. Finite components may be of any size.
     """
     parts = stored(quantised(vectors, "vec_id", "embedding", scale), "vectors")
     return search(parts, parts.where(F.col("vec_id") % every == 0), k)

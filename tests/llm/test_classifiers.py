@@ -59,7 +59,44 @@ def test_language_without_any_labels(docs_of):
     assert {r["lang_pred"] for r in language_id.language_id(docs, net).collect()} == {"und"}
 
 
+def test_samples_of_ids_on_many_rows(spark):
+    """50 ids on 20,000 rows teach both languages and labels; no more rows than the bound are gathered."""
+    from pyspark.sql import functions as F
+
+    from faultline.llm.shared import one_text_each, smallest_hashes
+
+    ids = spark.range(20_000).select((F.col("id") % 50).alias("doc_id"), F.when(F.col("id") % 50 < 2, "de").otherwise("en").alias("lang"),
+                                     F.when(F.col("id") % 50 < 2, "nicht der die und").otherwise("the thing that is").alias("text"), (F.col("id") % 50 < 2).cast("int").alias("quality"))
+    chosen = smallest_hashes(ids, "lang", 5)
+    assert sorted(r["lang"] for r in chosen.collect()) == ["de"] * 2 + ["en"] * 5
+    again = ids.withColumn("text", F.concat("text", (F.rand(1) * 100).cast("string")))
+    assert one_text_each(again.drop("lang"), chosen, "lang").count() == 7
+    assert language_id.learn(ids).languages == ["de", "en"]
+    model = quality.learn(ids, ids.select("doc_id", "quality"), 5)
+    assert np.abs(model.weights).max() > 0
+
+
 def test_network_gradient():
+    """By differences of the loss, parameter by parameter."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(1, 30, (6, 40)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    net = language_id.ByteNet(["a", "b", "c"], rng.normal(size=(256, 3)), rng.normal(size=(6, 5)), rng.normal(size=5), rng.normal(size=(5, 3)), rng.normal(size=3))
+    net.embed[0] = 0
+    found = language_id.gradients(net, x, y)
+    for name, g in found.items():
+        values = getattr(net, name)
+        for at in [tuple(i) for i in rng.integers(0, values.shape, (25, values.ndim))]:
+            if name == "embed" and at[0] in (0, *range(30, 256)):
+                continue
+            kept, losses = values[at], []
+            for step in (1e-6, -1e-6):
+                values[at] = kept + step
+                losses.append(-np.log(net.probabilities(x)[np.arange(6), y]).mean())
+            values[at] = kept
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-5, (name, at)
+
+
+def test_network_learns():
     """The trained network tells two byte patterns apart wherever they stand."""
     rng = np.random.default_rng(1)
     x = rng.integers(97, 110, (200, language_id.LENGTH)).astype(np.uint8)

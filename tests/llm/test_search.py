@@ -48,6 +48,31 @@ def test_few_or_none(spark):
     assert topk_search.top_k_neighbours(df.where("vec_id = 0")).count() == 0
 
 
+def test_components_of_any_size(spark):
+    """Scores within and beyond a long are ranked by their true values; shown ones end where a long does."""
+    rng = random.Random(6)
+    rows = [(i, [float(rng.choice([0, 1, -3, 2 ** 46, -2 ** 60, 2 ** 90, -2 ** 120]) * rng.choice([1, 1.5, 0.0078125])) for _ in range(3)]) for i in range(200)]
+    rows += [(0, [2.0 ** 46, 1.0, 0.0]), (50, [1.0, 2.0, 0.0]), (203, [1.0, 1.0, 0.0])]
+    held = lambda s: max(-(2 ** 63), min(2 ** 63 - 1, s))
+    rows = list(dict(rows).items())
+    for tile in (1024, 5):
+        topk_search.TILE = tile
+        got = as_rows(topk_search.top_k_neighbours(frame(spark, [(i, v, "") for i, v in rows])))
+        topk_search.TILE = 1024
+        assert got == {(*r[:3], held(r[3])) for r in brute(rows)}
+    probe = frame(spark, [(0, [2.0 ** 46, 1.0], ""), (50, [1.0, 2.0], ""), (3, [1.0, 1.0], "")])
+    assert as_rows(topk_search.top_k_neighbours(probe)) == brute([(0, [2.0 ** 46, 1.0]), (50, [1.0, 2.0]), (3, [1.0, 1.0])])
+
+
+def test_scores_beyond_a_long_sort_by_bytes():
+    values = sorted({s * (2 ** e + d) for s in (1, -1) for e in (63, 64, 71, 72, 200, 300) for d in (0, 1, 255)})
+    low, high = ([v for v in values if (v > 0) == up] for up in (False, True))
+    for side in (low, high):
+        codes = [topk_search.beyond(v) for v in side]
+        assert None not in codes and codes == sorted(codes)
+    assert topk_search.beyond(2 ** 63 - 2) is None and topk_search.beyond(2 ** 63 - 1) is not None and topk_search.beyond(0) is None
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2 ** 40 + i * 2 ** 20), -float(2 ** 40)]) for i in range(0, 60)]
     got = topk_search.top_k_neighbours(frame(spark, [(i, v, "") for i, v in rows])).collect()
