@@ -286,13 +286,19 @@ _AUTH_EVENTS = f"""lp as (select *, regexp_extract(raw_line, {_SYSLOG_RE}) as g
     ip as ip_address, nullif(usr, '') as account, '"auth_result":"' || case when failed then 'failed' else 'success' end || '"' as metadata from lc where failed or accepted)"""
 
 
-@query("lines_to_incidents", f"""with recursive {_AUTH_EVENTS}, cand as ({matched('le')}), {cooled('cand', 86400)},
+LOGIN_INCIDENTS = f"""with recursive {_AUTH_EVENTS}, cand as ({matched('le')}), {cooled('cand', 86400)},
   i as (select c.*, k.n from cand c join kept k on k.host = c.host and k.fingerprint = c.fingerprint and k.id = c.id)
 select host, fingerprint, any_value(rule_id) as rule_id, arg_min(severity, ts) as severity, min(ts) as first_ts, max(ts) as last_ts, count(*) as occurrence_count,
-  cast(sum(n) - count(*) as bigint) as suppressed_count, any_value(account) as affected_account, any_value(ip_address) as affected_ip from i group by host, fingerprint""")
+  cast(sum(n) - count(*) as bigint) as suppressed_count, any_value(account) as affected_account, any_value(ip_address) as affected_ip from i group by host, fingerprint"""
+
+
+@query("lines_to_incidents", LOGIN_INCIDENTS)
 def _(spark, d):
     """All logs, parsed, enriched, stored, correlated and matched in one run; compared are the incidents of the login log."""
-    found = lines_run(spark, d)
+    return login_incidents(lines_run(spark, d))
+
+
+def login_incidents(found):
     logins = found.filter((F.col("category") == "auth") & (F.col("affected_service") == "security") & ~F.col("rule_id").startswith("corr_"))
     return logins.select("host", "fingerprint", "rule_id", "severity", "first_ts", "last_ts", "occurrence_count", "suppressed_count", "affected_account", "affected_ip")
 

@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, functions as F
 
 from checks.correlating import DAY, all_sql, as_text, entity_sql
-from checks.detecting import _CAND, _HOST_RATE, _candidates, cooled
+from checks.detecting import LOGIN_INCIDENTS, ONE_DAY, _CAND, _HOST_RATE, _candidates, cooled, login_incidents
 from checks.inputs import as_of, derived, events
 from checks.registry import query
+from faultline.catalog import rules_frame
 from faultline.functions.times import epoch_us, from_epoch_us, naive
 from faultline.lineage import scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
-from faultline.streaming import ingest, stateful, views
+from faultline.streaming import ingest, live, stateful, views
 from faultline.streaming.cooldown import start_cooldown
 
 CHUNKS = ("2024-01-11", "2024-01-21", "2999-01-01")
 
 
-def staged(spark, df: DataFrame, name: str, chunk_by: str = "ts") -> str:
-    """Store rows as one file group per time span, oldest first, as a log shipper would."""
+def fed(spark, df: DataFrame, name: str, run, chunk_by: str = "ts") -> None:
+    """Ship rows as a log shipper would: one time span after the other lands as files, oldest first, and after each of them
+    ``run`` is given the stream of all that is there and goes through what is new, as one micro-batch."""
     path, start = scratch_dir(spark, name), "1970-01-01"
     for end in CHUNKS:
         span = (F.col(chunk_by) >= F.lit(start).cast("timestamp_ntz")) & (F.col(chunk_by) < F.lit(end).cast("timestamp_ntz"))
-        df.filter(span).coalesce(1).write.mode("append").parquet(path)
+        df.filter(span).write.mode("append").parquet(path)
+        run(spark.readStream.schema(df.schema).parquet(path))
         start = end
-    return path
 
 
-def stream_of(spark, path: str, like: DataFrame) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def finished(spark, df: DataFrame, make, name: str, mode: str = "append", chunk_by: str = "ts") -> DataFrame:
+    """Run the stream that ``make`` builds over all rows, span by span, and read what it wrote."""
+    out, state = scratch_dir(spark, name), scratch_dir(spark, name + "-state")
 
+    def run(stream: DataFrame) -> None:
+        writer = make(stream).writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+        if mode == "append":
+            query_ = writer.format("parquet").option("path", out).start()
+        else:
+            query_ = writer.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).start()
+        query_.awaitTermination()
 
-def finished(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read what it wrote."""
-    out = scratch_dir(spark, name)
-    writer = stream.writeStream.option("checkpointLocation", scratch_dir(spark, name + "-state")).trigger(availableNow=True)
-    if mode == "append":
-        query_ = writer.format("parquet").option("path", out).start()
-    else:
-        query_ = writer.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).start()
-    query_.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    fed(spark, df, name + "-in", run, chunk_by)
+    return spark.read.parquet(out)
 
 
 @query("stream_ingest", """select category, severity, count(*) as n from (
@@ -77,25 +80,19 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("stream_correlate", entity_sql("ip_address", "ip_correlation", 86400, 86400, "ip"))
 def _(spark, d):
-    ev = events(spark, d)
-    stream = stream_of(spark, staged(spark, ev, "ev"), ev)
-    return _shown(finished(spark, views.stream_correlate(stream, "ip", DAY), "corr", "complete"))
+    return _shown(finished(spark, events(spark, d), lambda s: views.stream_correlate(s, "ip", DAY), "corr", "complete"))
 
 
 @query("stream_correlate_category", f"""select * from ({all_sql(86400, 86400)}) where type = 'category_spike'""")
 def _(spark, d):
-    ev = events(spark, d)
-    stream = stream_of(spark, staged(spark, ev, "ev"), ev)
-    return _shown(finished(spark, views.stream_correlate(stream, "category", DAY), "corr", "complete"))
+    return _shown(finished(spark, events(spark, d), lambda s: views.stream_correlate(s, "category", DAY), "corr", "complete"))
 
 
 @query("stream_correlate_closed", f"""select * from ({all_sql(86400, 86400)}) where type = 'account_correlation'
   and win_start + interval 1 day <= (select max(ts) from ev) - interval 1 day""")
 def _(spark, d):
     """Append mode: only windows that the watermark has closed."""
-    ev = events(spark, d)
-    stream = stream_of(spark, staged(spark, ev, "ev"), ev)
-    return _shown(finished(spark, views.stream_correlate(stream, "account", DAY), "corr"))
+    return _shown(finished(spark, events(spark, d), lambda s: views.stream_correlate(s, "account", DAY), "corr"))
 
 
 @query("late_data", """with s as (select ts, (ts >= timestamp '2024-01-11' and ts < timestamp '2024-01-21') and id like '%7' as held from ev),
@@ -106,10 +103,8 @@ def _(spark, d):
     ev = events(spark, d).select("id", "ts", "host", "source")
     second = (F.col("ts") >= F.lit("2024-01-11").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"))
     shipped = ev.withColumn("shipped", F.when(second & F.col("id").endswith("7"), F.lit("2024-01-22").cast("timestamp_ntz")).otherwise(F.col("ts")))
-    path = staged(spark, shipped, "shipped", "shipped")
-    stream = stream_of(spark, path, shipped).drop("shipped")
-    good, late = scratch_dir(spark, "on-time"), scratch_dir(spark, "late")
-    ingest.start_late_split(stream, good, late, scratch_dir(spark, "late-state"), delay_s=60).awaitTermination()
+    good, late, state = scratch_dir(spark, "on-time"), scratch_dir(spark, "late"), scratch_dir(spark, "late-state")
+    fed(spark, shipped, "shipped", lambda s: ingest.start_late_split(s.drop("shipped"), good, late, state, delay_s=60).awaitTermination(), "shipped")
     n_late = spark.read.schema("id string").parquet(late).agg(F.count(F.lit(1)).alias("rows_late"))
     n_good = spark.read.schema("id string").parquet(good).agg(F.count(F.lit(1)).alias("g"))
     return read_views.one_row(n_good, n_late).select((F.col("g") + F.col("rows_late")).alias("rows_total"), "rows_late")
@@ -119,8 +114,7 @@ def _(spark, d):
 def _(spark, d):
     stateful.use_rocksdb(spark)
     candidates = _candidates(spark, d).withColumn("us", epoch_us(F.col("ts")))
-    stream = stream_of(spark, staged(spark, candidates, "cand"), candidates).drop("ts")
-    kept = finished(spark, stateful.stream_cooldown(stream, ["host", "fingerprint"], 43200), "kept")
+    kept = finished(spark, candidates, lambda s: stateful.stream_cooldown(s.drop("ts"), ["host", "fingerprint"], 43200), "kept")
     return kept.select("host", "fingerprint", from_epoch_us(F.col("us")).alias("ts"), "id")
 
 
@@ -128,9 +122,8 @@ def _(spark, d):
 def _(spark, d):
     """The batch operator on each micro-batch, seeded with what passed before; keys whose cooldown is over leave the state."""
     candidates = _candidates(spark, d)
-    stream = stream_of(spark, staged(spark, candidates, "cand"), candidates)
-    out = scratch_dir(spark, "passed")
-    start_cooldown(stream, ["host", "fingerprint"], out, scratch_dir(spark, "last"), scratch_dir(spark, "cooldown-state"), 43200, every=None).awaitTermination()
+    out, last, state = scratch_dir(spark, "passed"), scratch_dir(spark, "last"), scratch_dir(spark, "cooldown-state")
+    fed(spark, candidates, "cand", lambda s: start_cooldown(s, ["host", "fingerprint"], out, last, state, 43200, every=None).awaitTermination())
     return spark.read.parquet(out).select("host", "fingerprint", "ts", "id")
 
 
@@ -138,8 +131,7 @@ def _(spark, d):
 def _(spark, d):
     stateful.use_rocksdb(spark)
     rows = derived(spark, d, "al").select("host", "ts", "id").withColumn("us", epoch_us(F.col("ts")))
-    stream = stream_of(spark, staged(spark, rows, "alerts"), rows).drop("ts")
-    passed = finished(spark, stateful.stream_rate_limit(stream, ["host"], 10, 86400), "passed")
+    passed = finished(spark, rows, lambda s: stateful.stream_rate_limit(s.drop("ts"), ["host"], 10, 86400), "passed")
     return passed.select("host", from_epoch_us(F.col("us")).alias("ts"), "id")
 
 
@@ -153,8 +145,37 @@ def _(spark, d):
     heads = lines.filter(raw.startswith("# ")).select(
         "host", "file_path", "line_no", "arrival_ts", raw.startswith("# Query_time:").alias("is_query"),
         database.slow_user(raw)["u"].alias("q_user"))
-    stream = stream_of(spark, staged(spark, heads, "heads", "arrival_ts"), heads).drop("arrival_ts")
-    return finished(spark, stateful.stream_slow_query_user(stream), "slow").select("host", "file_path", "line_no", "q_user")
+    filled = finished(spark, heads, lambda s: stateful.stream_slow_query_user(s.drop("arrival_ts")), "slow", chunk_by="arrival_ts")
+    return filled.select("host", "file_path", "line_no", "q_user")
+
+
+class _Stopped(Exception):
+    pass
+
+
+@query("live_incidents", LOGIN_INCIDENTS)
+def _(spark, d):
+    """All logs as a live stream in three micro-batches. The second one breaks off between its writes and runs again; the incidents
+    of the login log are those of one batch over all lines."""
+    root, state, broke = scratch_dir(spark, "live"), scratch_dir(spark, "live-state"), []
+
+    def breaks(step: str) -> None:
+        if step == "history" and live.LiveTables(spark, root).committed() == 0 and not broke:
+            broke.append(step)
+            raise _Stopped(step)
+
+    def run(stream: DataFrame) -> None:
+        for _ in range(2):
+            try:
+                live.start_live(stream, root, state, domains, users, rules, live.LiveConfig(DAY, ONE_DAY, 0), every=None, after=breaks).awaitTermination()
+                return
+            except StreamingQueryException as stopped:
+                if "_Stopped" not in str(stopped):
+                    raise
+
+    domains, users, rules = derived(spark, d, "domains"), derived(spark, d, "users"), rules_frame(spark)
+    fed(spark, derived(spark, d, "all_lines"), "lines", run, "arrival_ts")
+    return login_incidents(live.LiveTables(spark, root).all_incidents())
 
 
 @query("stream_summary", "select count(*) filter (severity = 'critical') as events_critical, (select count(*) from inc where state in ('new','acknowledged','investigating')) as active_incidents from ev")
@@ -162,19 +183,15 @@ def _(spark, d):
     ev, inc, al = events(spark, d), derived(spark, d, "inc"), derived(spark, d, "al")
     snap, services = derived(spark, d, "snap"), metrics.service_health(derived(spark, d, "probes"))
     now = as_of(ev)
-    ticks = ev.select("id", "ts")
-    stream = stream_of(spark, staged(spark, ticks, "ticks"), ticks)
-    out = scratch_dir(spark, "summary")
-    views.start_summary(stream, lambda: read_views.summary(ev, inc, al, snap, services, now), out,
-                        scratch_dir(spark, "summary-state"), every=None).awaitTermination()
+    out, state = scratch_dir(spark, "summary"), scratch_dir(spark, "summary-state")
+    fed(spark, ev.select("id", "ts"), "ticks", lambda s: views.start_summary(
+        s, lambda: read_views.summary(ev, inc, al, snap, services, now), out, state, every=None).awaitTermination())
     newest = F.max_by(F.struct("events_critical", "active_incidents"), "batch_id").alias("s")
     return spark.read.parquet(out).agg(newest).select("s.*")
 
 
 @query("stream_dedup_ids", "select id, severity from ev")
 def _(spark, d):
-    """Each chunk is shipped twice in one file; every id is stored once."""
+    """Each chunk is shipped twice at once; every id is stored once."""
     ev = events(spark, d).select("id", "ts", "severity")
-    twice = ev.unionByName(ev)
-    stream = stream_of(spark, staged(spark, twice, "twice"), twice)
-    return finished(spark, ingest.dedup_ids(stream, 86400), "dedup").select("id", "severity")
+    return finished(spark, ev.unionByName(ev), lambda s: ingest.dedup_ids(s, 86400), "dedup").select("id", "severity")

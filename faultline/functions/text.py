@@ -135,7 +135,7 @@ def _opens_bracket(text: Column) -> Column:
 
 def bracketed(text: Column) -> Column:
     """What stands in the bracket that a text begins with; null if it begins otherwise."""
-    return F.when(_opens_bracket(text), F.substring_index(F.substring(text, 2, 1 << 30), "]", 1))
+    return F.when(_opens_bracket(text), F.substring_index(F.substring(text, F.lit(2), F.length(text)), "]", 1))
 
 
 def behind_bracket(text: Column) -> Column:

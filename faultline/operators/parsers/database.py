@@ -95,7 +95,7 @@ def _slow_event() -> Values:
 
 def slow_user(line: Column) -> Column:
     """(u, c, i) of a ``# User@Host: user[name] @ client [address]`` header, cut at its at-sign and brackets; else null."""
-    sides = F.split(F.substring(line, len(USER_HEAD) + 1, 1 << 20), r"\s+@\s*")
+    sides = F.split(F.substring(line, F.lit(len(USER_HEAD) + 1), F.length(line)), r"\s+@\s*")
     user = F.nullif(F.substring_index(F.trim(F.try_element_at(sides, F.lit(1))), "[", 1), F.lit(""))
     place = F.try_element_at(sides, F.lit(2))
     whole = line.startswith(USER_HEAD) & user.isNotNull() & F.contains(place, F.lit("[")) & F.contains(place, F.lit("]"))
@@ -114,7 +114,7 @@ def slow_heads(lines: DataFrame) -> DataFrame:
     Chunks of a log come in the order of their names' endings: shorter ones first, then by text.
     """
     heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD)).withColumn("_stream", log_stream(F.col("file_path")))
-    ending = F.substring(F.col("file_path"), F.length("_stream") + 1, 1 << 20)
+    ending = F.substring(F.col("file_path"), F.length("_stream") + 1, F.length("file_path"))
     return heads.withColumns({"_chunk": F.struct(F.length(ending).alias("n"), ending.alias("name")), "_seen": slow_user(raw())})
 
 
