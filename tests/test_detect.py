@@ -178,3 +178,39 @@ def test_thresholds(spark):
 def test_chart_buckets():
     assert [metrics.bucket_for(h) for h in (1, 2, 24, 25, 168, 169, 720)] == [
         "1 minute", "5 minutes", "5 minutes", "1 hour", "1 hour", "6 hours", "6 hours"]
+
+
+def test_large_catalogues_by_keyword(spark, events):
+    """5,000 rules and one hot category: the index of keywords finds what testing rule by rule finds, and the plan joins nothing by category alone."""
+    import random
+
+    rng = random.Random(1)
+    stems = ["err", "error", "error 5", "error 50", "out of mem", "disk (full)", "a.b*c", "$x^", "[tag]", "müll", "mem", "\\path", "a|b"]
+    words = stems + [f"{rng.choice(stems)} {rng.randrange(900)}" for _ in range(4000)] + [f"w{k}" for k in range(2000)]
+    kinds = ["web", "database", "odd one"]
+    rows = []
+    for k in range(5000):
+        own = rng.sample(words, rng.randrange(1, 4)) if k % 100 else rng.choice([[], None, [""], ["err", None]])
+        rows.append((f"r{k}", f"n{k}", 0.5, f"s{k}", f"x{k}", f"m{k}", rng.choice([["web"], ["database", "odd one"], [], None]), own, rng.choice(["info", "warning", "critical", None]), k % 7 != 0))
+    rules = spark.createDataFrame(rows, "rule_id string, name string, base_confidence double, summary string, explanation string, remediation string, "
+                                        "categories array<string>, keywords array<string>, min_severity string, enabled boolean")
+    said = [" ".join(rng.choices(words, k=4)) for _ in range(60)] + ["", "ERROR 503 Out of Memory", "nothing here"]
+    hot = events([dict(message=m, category="web" if i % 3 else rng.choice(kinds), severity=("warning", "critical")[i % 2]) for i, m in enumerate(said)])
+    want = sorted((r.id, r.rule_id) for r in rule_ops.match_rules(hot, rules, indexed_from=10_000).select("id", "rule_id").collect())
+    assert len(want) > 1000
+    for limits in ({}, {"max_index": 10}, {"max_index": 10, "max_rules": 10}):
+        matched = rule_ops.match_rules(hot, rules, **limits)
+        assert sorted((r.id, r.rule_id) for r in matched.select("id", "rule_id").collect()) == want, limits
+        assert set(matched.columns) == set(rule_ops.match_rules(hot, rules, indexed_from=10_000).columns)
+    assert len(rule_ops.keyword_patterns(words, chars=5000)) > 3
+
+
+def test_alternation_finds_all_keywords():
+    import re
+
+    words = ["a", "ab", "abc", "bc", "b.c", "c|", "(x", "é", "éa", "z z"]
+    (pattern,) = rule_ops.keyword_patterns(words)
+    text = "xabc b.c| (x éa zz z"
+    found = {m.group(1) for m in re.finditer(pattern, text)}
+    closed = {w for f in found for w in words if f.startswith(w)}
+    assert closed == {w for w in words if w in text}
