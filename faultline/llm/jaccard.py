@@ -1,11 +1,13 @@
 """Documents whose sets of word n-grams are nearly the same (Jaccard), by a prefix-filtered join.
 
 A document is the set of hashes of its distinct n-grams; equal sets are one class from the start. Grams are ordered rare
-first, by a count-min table of their document frequencies over all documents (of fixed size, so it is broadcast at any
-scale; any order common to all gives right results, this one keeps frequent grams out of prefixes). Two sets that are
-similar enough share a gram within their prefixes; so the postings (gram, set) of prefixes are shuffled by gram, and sets
-that meet pass the length filter, the positional filter and the suffix filter (a lower bound of the Hamming distance from
-how many grams of each set fall into each of 16 ranges of hashes).
+first, by the logarithm of their document frequency (then by hash), counted over all documents: blocks of documents send their
+distinct grams as packed numbers, slab by slab of hashes, and get back half a byte for each. So no gram travels as a row.
+
+Two sets that are similar enough share a gram within their prefixes. A gram of one document only meets nobody, so just the
+others of each prefix become postings (gram, set), which are shuffled by gram. Sets that meet pass the length filter, the
+positional filter and the suffix filter (a lower bound of the Hamming distance from how many grams of each set fall into
+each of 16 ranges of hashes).
 
 What passes is not listed as pairs: each list returns a spanning forest of its candidates. Their components, the clusters,
 are dealt out, each with its sets, and verified there by true intersections, once per pair at most and never between sets
@@ -24,52 +26,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import stars
-from faultline.llm.shared import joined_by_key, slices, stored, texts_of
+from faultline.llm.shared import joined_by_key, slices, stored, texts_of, with_row
 
 #: Words of a gram, and the least similarity in per cent.
 GRAM, PERCENT = 3, 90
-#: The count-min table: rows, counters in each (a power of two), and into how many slabs it is cut while it is summed.
-DEPTH, WIDTH, SLABS = 2, 1 << 18, 64
+#: Rows of a table that are one block of documents while grams are counted; a longer text is a block of its own.
+ROWS, LONG_TEXT = 1024, 1 << 20
+#: Grams of one slab of hashes, about, and the least number of slabs.
+SLAB_GRAMS, LEAST_SLABS = 1 << 22, 64
 #: Bits of the filter that tells which sets are candidates; a full one only makes more sets travel.
 FILTER_BITS = 1 << 24
 #: Postings in a block of a long list; sets and grams in a block of a large cluster; pivots of such a cluster.
 BLOCK, SETS, GRAMS, PIVOTS = 1024, 512, 1 << 21, 16
-#: Words whose hashes a worker remembers, words of at most so many bytes.
-REMEMBERED, SHORT_WORD = 1 << 18, 48
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 16
 #: Sets that a task remembers having emitted.
 SEEN = 1 << 20
 
-_WORDS: dict[bytes, int] = {}
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: A random number for each byte value, and powers of an odd number and of its inverse for the places in a piece of text.
+BYTE_VALUES = np.random.default_rng(20250117).integers(0, 1 << 64, 256, dtype=np.uint64)
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+POWERS, INVERSES = (np.cumprod(np.full(PIECE, p, np.uint64)) for p in (ODD[0], np.uint64(pow(int(ODD[0]), -1, 1 << 64))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * ODD[1]
+    return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    out = [_WORDS.get(w) for w in words]
-    for k, h in enumerate(out):
-        if h is None:
-            out[k] = h = xxhash.xxh3_64_intdigest(words[k])
-            if len(words[k]) <= SHORT_WORD:
-                _WORDS[words[k]] = h
-    return np.array(out, np.uint64)
+def _piece_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of a piece: the sum over its bytes of value times power, from a running sum.
+
+    The difference of the sums at a word's ends, divided by the power at its start, depends on the word alone.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    powers, inverses = POWERS, INVERSES
+    if len(data) > len(powers):  # one very long word
+        powers, inverses = (np.cumprod(np.full(len(data), p[0], np.uint64)) for p in (POWERS, INVERSES))
+    space = np.concatenate([[True], IS_SPACE[data], [True]])
+    first, last = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:]) - 1
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[data] * powers[:len(data)])])
+    return _mixed((sums[last + 1] - sums[first]) * inverses[first]), first
+
+
+def _long_words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length, worked off in pieces that end between words."""
+    out, start = [], 0
+    while start < len(raw):
+        end = min(len(raw), start + PIECE)
+        if end < len(raw):
+            cut = max(raw.rfind(bytes([c]), start, end) for c in b" \t\n\x0b\x0c\r")
+            if cut < 0:  # a word longer than a piece
+                found = [at for c in b" \t\n\x0b\x0c\r" if (at := raw.find(bytes([c]), end)) >= 0]
+                cut = min(found, default=len(raw) - 1)
+            end = cut + 1
+        out.append(_piece_words(raw[start:end])[0])
+        start = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def texts_words(texts: list[str]) -> Iterator[np.ndarray]:
+    """The hash of each word of each text, in order; short texts are worked off many at a time."""
+    held, size = [], 0
+
+    def done():
+        hashes, first = _piece_words(b"\n".join(held))
+        return np.split(hashes, np.searchsorted(first, np.cumsum([len(t) + 1 for t in held])[:-1]))
+
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass").lower()
+        if held and size + len(raw) >= PIECE:
+            yield from done()
+            held, size = [], 0
+        if len(raw) >= PIECE:
+            yield _long_words(raw)
+            continue
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield from done()
+
+
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each n-gram, in order; with fewer words, of all of them."""
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    mixed = words[:n] * ODD[0] + np.uint64(size)
+    for k in range(1, size):  # order counts, and the number of words
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * ODD[1] + words[k:n + k] * ODD[0]
+    return _mixed(mixed)
 
 
 def grams(text: str, size: int = GRAM) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams; with fewer words the whole sequence is one, without words there is none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = _word_hashes(words)
-    if len(words) < size:
-        size = len(words)
-    mixed = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):  # order counts, and the number of words
-        mixed = (mixed ^ hashes[k:len(words) - size + 1 + k]) * ODD[0]
-        mixed ^= mixed >> np.uint64(29)
-    mixed *= ODD[1]
-    mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return next(texts_grams([text], size))
+
+
+def texts_grams(texts: list[str], size: int = GRAM) -> Iterator[np.ndarray]:
+    for words in texts_words(texts):
+        if not len(words):
+            yield words
+            continue
+        found = np.sort(_grams(words, size))
+        new = np.empty(len(found), bool)
+        new[0] = True
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        yield found[new]
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -93,66 +158,127 @@ def linkable(n: int, percent: int = PERCENT) -> bool:
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [grams(t, size) for t in batch.column("text").to_pylist()]
+        found = list(texts_grams(batch.column("text").to_pylist(), size))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(f) for f in found], pa.int64()),
                                           pa.array([set_key(f) if len(f) else None for f in found], pa.int64())], names=["doc_id", "n_shingles", "key"])
 
 
-def _slots(hashes: np.ndarray) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(20 * k)) & np.uint64(WIDTH - 1) for k in range(DEPTH)]
+def _places(hashes: np.ndarray, slabs: int) -> np.ndarray:
+    """Slab and place in it, as one number: what a gram is counted by."""
+    return ((hashes % np.uint64(slabs)) << np.uint64(32)) | ((hashes >> np.uint64(20)) & np.uint64(0xFFFFFFFF))
+
+
+def _distinct(sets: list[np.ndarray], slabs: int) -> np.ndarray:
+    """Sorted places of all grams of a block of documents; sets that occur twice count once."""
+    return np.unique(_places(np.concatenate(sets), slabs)) if sets else np.empty(0, np.uint64)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((DEPTH, WIDTH), np.uint64)
+def _runs(batches: Iterator[pa.RecordBatch], size: int, columns: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """(file, block, rows, sets, others) of each run of rows of one block: row numbers, gram sets, and rows without a number."""
+    now, rows, sets, others = None, [], [], []
     for batch in slices(batches):
-        found = [grams(t, size) for t in batch.column("text").to_pylist()]
-        hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-        for k, slots in enumerate(_slots(hashes)):
-            counts[k] += np.bincount(slots.astype(np.int64), minlength=WIDTH).astype(np.uint64)
-    if counts.any():
-        parts = counts.reshape(SLABS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([p.tobytes() for p in parts])], names=["slab", "counts"])
+        texts = batch.column("text").to_pylist()
+        found = texts_grams([t or "" for t in texts], size)
+        extra = zip(*(batch.column(c).to_pylist() for c in columns)) if columns else [()] * len(texts)
+        for file, block, n, hashes, more in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "n")), found, extra):
+            if now != (file, block):
+                if now is not None:
+                    yield (*now, rows, sets, others)
+                now, rows, sets, others = (file, block), [], [], []
+            if n is None:
+                others.append(more)
+            elif len(hashes):
+                rows.append(n)
+                sets.append(hashes)
+    if now is not None:
+        yield (*now, rows, sets, others)
+
+
+def _packed(size: int, slabs: int):
+    """Blocks of rows to (slab, file, block, first, last, values): the distinct grams of a run of rows, sorted, slab by slab.
+
+    Four bytes a gram, the first byte of all of them first, so that they compress.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, block, rows, sets, _ in _runs(batches, size):
+            places = _distinct(sets, slabs)
+            if not len(places):
+                continue
+            slab = (places >> np.uint64(32)).astype(np.int64)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(slab)) + 1, [len(slab)]])
+            values = places.astype(np.uint32)
+            packed = [np.ascontiguousarray(values[a:b].astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in zip(starts[:-1], starts[1:])]
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slab[starts[:-1]]), pa.array([file] * n), pa.array([block] * n, pa.int64()), pa.array([rows[0]] * n, pa.int64()), pa.array([rows[-1]] * n, pa.int64()),
+                 pa.array(packed, pa.binary())], names=["slab", "file", "block", "first", "last", "values"])
+
+    return work
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed runs of each slab to the same runs with half a byte a gram: twice the logarithm of its document frequency.
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    Frequencies count blocks of documents, where a gram counts once however many of the block's documents hold it; ``_classes``
+    adds those within the block.
+    """
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for slab, counts in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist()):
-            total[slab] = total.get(slab, np.uint64(0)) + np.frombuffer(counts, np.uint64)
-    # only the order matters: a logarithm in steps of 1/64
-    coded = {s: np.round(64 * np.log2(1 + c.astype(np.float64))).astype("<u2").tobytes() for s, c in total.items()}
-    yield pa.RecordBatch.from_arrays([pa.array(coded.keys(), pa.int32()), pa.array(coded.values(), pa.binary())], names=["slab", "counts"])
+        for slab, *place, values in zip(*(batch.column(c).to_pylist() for c in ("slab", "file", "block", "first", "last", "values"))):
+            held.setdefault(slab, []).append((place, np.ascontiguousarray(np.frombuffer(values, np.uint8).reshape(4, -1).T).view(">u4")[:, 0]))
+    for slab in list(held):
+        runs = held.pop(slab)
+        _, inverse, counts = np.unique(np.concatenate([v for _, v in runs]), return_inverse=True, return_counts=True)
+        classes = np.minimum(15, 2 * np.log2(counts)).astype(np.uint8)[inverse]
+        parts = np.split(classes, np.cumsum([len(v) for _, v in runs])[:-1])
+        out = [(np.append(c, np.uint8(0)) if len(c) % 2 else c).reshape(-1, 2) for c in parts]
+        cols = list(zip(*(place for place, _ in runs)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([slab] * len(runs), pa.int64()), pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array([len(c) for c in parts], pa.int64()),
+             pa.array([(c[:, 0] << 4 | c[:, 1]).tobytes() for c in out], pa.binary())], names=["slab", "file", "block", "first", "last", "grams", "classes"])
+
 
+def _unpacked(classes: bytes, n: int) -> np.ndarray:
+    both = np.frombuffer(classes, np.uint8)
+    return np.stack([both >> 4, both & 15], axis=1).reshape(-1)[:n]
 
-def gram_frequencies(docs: DataFrame, size: int = GRAM) -> np.ndarray:
-    """The count-min table over all documents, coded; 2 bytes for each of DEPTH * WIDTH counters reach the driver, whatever the corpus."""
-    slabs = (texts_of(docs).select("text").mapInArrow(lambda b: _frequencies(b, size), "slab int, counts binary")
-             .repartition("slab").mapInArrow(_added, "slab int, counts binary"))
-    out = np.zeros((SLABS, DEPTH * WIDTH // SLABS), "<u2")
-    for r in slabs.collect():
-        out[r["slab"]] = np.frombuffer(r["counts"], "<u2")
-    return out.reshape(DEPTH, WIDTH)
 
+def _classes(sets: list[np.ndarray], places: np.ndarray, classes: np.ndarray, slabs: int) -> list[np.ndarray]:
+    """Of every gram of every set of a run its class: 0 for a gram that no other set holds, here or elsewhere.
 
-def _postings(frequencies, size: int, percent: int):
+    A class must be the same wherever the gram occurs, so a gram that only this run holds, but twice, is of class 1.
+    """
+    at = [np.searchsorted(places, _places(s, slabs)) for s in sets]
+    inside = np.bincount(np.concatenate(at), minlength=len(places)) if at else np.zeros(0, np.int64)
+    full = np.where((classes == 0) & (inside > 1), 1, classes)
+    return [full[a] for a in at]
+
+
+def _postings(size: int, percent: int, slabs: int):
+    """Rows of a block, the classes of its grams first, to postings (gram, key, n, place, shape0, shape1)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = frequencies.value, set()
-        for batch in slices(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for text in batch.column("text").to_pylist():
-                hashes = grams(text, size)
-                n = len(hashes)
-                if not linkable(n, percent) or (key := set_key(hashes)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                rarity = np.min([table[k][s] for k, s in enumerate(_slots(hashes))], axis=0)
-                p = prefix_length(n, percent)
-                prefix = hashes[np.lexsort((hashes, rarity))[:p]]
-                shape = (np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=16) & 255).astype(np.uint8).view(np.int64)
-                for col, v in zip(cols, (prefix.view(np.int64), np.full(p, key), np.full(p, n), np.arange(p), np.full(p, shape[0]), np.full(p, shape[1]))):
-                    col.append(v)
+        seen: set[int] = set()
+        for _, _, rows, sets, others in _runs(batches, size, ("first", "last", "slab", "grams", "classes")):
+            numbers, cols = np.array(rows), [[] for _ in range(6)]
+            for first, last in sorted({(o[0], o[1]) for o in others}):
+                own = [sets[k] for k in np.flatnonzero((numbers >= first) & (numbers <= last))]
+                places = _distinct(own, slabs)
+                parts = sorted((o[2], _unpacked(o[4], o[3])) for o in others if o[:2] == (first, last))
+                for hashes, classes in zip(own, _classes(own, places, np.concatenate([c for _, c in parts]), slabs)):
+                    n = len(hashes)
+                    if not linkable(n, percent) or (key := set_key(hashes)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    order = np.lexsort((hashes, classes))[:prefix_length(n, percent)]
+                    place = np.flatnonzero(classes[order] > 0)
+                    if not len(place):
+                        continue
+                    shape = (np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=16) & 255).astype(np.uint8).view(np.int64)
+                    p = len(place)
+                    for col, v in zip(cols, (hashes[order[place]].view(np.int64), np.full(p, key), np.full(p, n), place, np.full(p, shape[0]), np.full(p, shape[1]))):
+                        col.append(v)
             if cols[0]:
                 types = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types)], names=["gram", "key", "n", "place", "shape0", "shape1"])
@@ -160,6 +286,24 @@ def _postings(frequencies, size: int, percent: int):
     return work
 
 
+def rare_first_postings(docs: DataFrame, grams_in_all: int, size: int = GRAM, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """gram, key, n, place, shape0, shape1: of every different set the grams of its prefix that another one holds as well.
+
+    ``place`` is the gram's place in the set, rare grams first. ``grams_in_all`` sets the number of slabs. A block is cut in two
+    where the reading tasks' borders cut it; its parts are counted as two blocks.
+    """
+    slabs = max(LEAST_SLABS, -(-grams_in_all // SLAB_GRAMS))
+    block = F.when(F.length("text") > LONG_TEXT, -1 - F.col("row_of_table.n")).otherwise(F.floor(F.col("row_of_table.n") / rows)).cast("long")
+    texts = with_row(docs).select(F.col("row_of_table.file").alias("file"), block.alias("block"), F.col("row_of_table.n").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = texts.mapInArrow(_packed(size, slabs), "slab long, file string, block long, first long, last long, values binary")
+    counted = packed.repartition("slab").mapInArrow(_counted, "slab long, file string, block long, first long, last long, grams long, classes binary")
+    blank = {"first": "long", "last": "long", "slab": "long", "grams": "long", "classes": "binary"}
+    both = texts.select("*", *(F.lit(None).cast(t).alias(c) for c, t in blank.items())).unionByName(
+        counted.select("file", "block", F.lit(None).cast("long").alias("n"), F.lit("").alias("text"), *blank))
+    by_block = both.repartition("file", "block").sortWithinPartitions("file", "block", F.asc_nulls_first("n"))
+    return by_block.mapInArrow(_postings(size, percent, slabs), "gram long, key long, n int, place int, shape0 long, shape1 long")
+
+
 def _filtered(rows: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Which of ``others`` pass the length, positional and suffix filters with row ``x``; rows: key, n, place, shape0, shape1."""
     n, m = rows[x, 1], rows[others, 1]
@@ -357,12 +501,13 @@ def _verified_links(sets: DataFrame, percent: int, most_sets: int = SETS, most_g
     return found.unionByName(first).unionByName(rest)
 
 
-def similar_sets(docs: DataFrame, size: int = GRAM, percent: int = PERCENT, block: int = BLOCK, most_sets: int = SETS) -> DataFrame:
-    """Links (a > b) between the keys of different sets that connect exactly what pairs of similar sets connect."""
+def similar_sets(docs: DataFrame, grams_in_all: int, size: int = GRAM, percent: int = PERCENT, block: int = BLOCK, most_sets: int = SETS) -> DataFrame:
+    """Links (a > b) between the keys of different sets that connect exactly what pairs of similar sets connect.
+
+    ``grams_in_all``: about how many grams all documents hold.
+    """
     spark, texts = docs.sparkSession, texts_of(docs).select("text")
-    frequencies = spark.sparkContext.broadcast(gram_frequencies(docs, size))
-    schema = "gram long, key long, n int, place int, shape0 long, shape1 long"
-    postings = stored(texts.mapInArrow(_postings(frequencies, size, percent), schema), "postings")
+    postings = stored(rare_first_postings(docs, grams_in_all, size, percent), "postings")
     clusters = stars(candidate_links(postings, percent, block))
     members = stored(clusters.select(F.col("a").alias("key"), F.col("b").alias("cluster")).union(clusters.select("b", "b").distinct()), "clusters")
     bits = spark.sparkContext.broadcast(_candidate_filter(members))
@@ -381,7 +526,8 @@ def similar_documents(docs: DataFrame, size: int = GRAM, percent: int = PERCENT,
     """
     rows = stored(texts_of(docs).mapInArrow(lambda b: _sets(b, size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, key long"), "documents")
     classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id")), "classes")
-    linked = stars(similar_sets(docs, size, percent, block, most_sets))
+    grams_in_all = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    linked = stars(similar_sets(docs, grams_in_all, size, percent, block, most_sets))
     roots = linked.select(F.col("a").alias("key"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
     smallest = classes.join(roots, "key").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(roots, "key", "left").join(smallest, "root", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))

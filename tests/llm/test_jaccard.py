@@ -93,11 +93,42 @@ def test_grams(corpus):
     assert set(jaccard.grams("a b c d").tolist()) > set(jaccard.grams("b  C d").tolist()) and jaccard.grams("a b").tolist() != jaccard.grams("b a").tolist()
 
 
-def test_frequencies_cover_all_documents(docs_of):
-    docs = docs_of([(k, "the same three" if k % 2 else f"rare {k} words") for k in range(200)]).repartition(3)
-    table = jaccard.gram_frequencies(docs)
-    slots = jaccard._slots(jaccard.grams("the same three"))
-    assert min(table[k][s[0]] for k, s in enumerate(slots)) >= round(64 * np.log2(101))
+def test_long_words_and_texts():
+    """Texts are hashed piece by piece, as if at once."""
+    rng = random.Random(1)
+    long = " \n".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(40_000))
+    texts = [long, "x" * 200_000, "a " + "y" * 150_000 + " b\tc", "", " ", "end " * 3]
+    for text, words in zip(texts, jaccard.texts_words(texts)):
+        one_by_one = [next(jaccard.texts_words([w]))[0] for w in text.split()[:300]]
+        assert len(words) == len(text.split()) and words[:300].tolist() == one_by_one
+
+
+def test_postings_by_brute_force(docs_of):
+    """Of each set those grams of its prefix that others hold too, rare ones first, in blocks of any size."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randrange(0, 90))) for _ in range(120)] + ["one two three four five six seven eight nine ten eleven twelve"] * 2
+    texts += [" ".join(f"own{i}x{k}" for k in range(40)) for i in range(20)]
+    sets = {jaccard.set_key(g): g for g in map(jaccard.grams, texts) if len(g)}
+    held = Counter(h for g in sets.values() for h in g.view("int64").tolist())
+    for rows in (1024, 7):
+        got = jaccard.rare_first_postings(docs_of(list(enumerate(texts))).repartition(3), 10_000, rows=rows).distinct().collect()
+        found = {}
+        for r in got:
+            found.setdefault(r["key"], []).append((r["place"], r["gram"]))
+            assert r["n"] == len(sets[r["key"]]) and r["place"] < jaccard.prefix_length(r["n"])
+        for key, g in sets.items():
+            own = sorted(found.get(key, []))
+            alone = sum(held[h] == 1 for h in g.view("int64").tolist())
+            if jaccard.linkable(len(g)):  # all grams of its own come first; equal sets in two blocks count as two
+                assert len(own) >= max(0, jaccard.prefix_length(len(g)) - alone)
+                assert all(held[h] > 1 or texts.count(next(t for t in texts if jaccard.set_key(jaccard.grams(t)) == key)) > 1 for _, h in own)
+        order = {}
+        for key, own in found.items():  # one order for all
+            for (_, a), (_, b) in zip(sorted(own), sorted(own)[1:]):
+                assert not order.get((b, a))
+                order[a, b] = True
 
 
 def test_no_documents(docs_of):
