@@ -13,8 +13,7 @@ from faultline.llm.shared import table
 
 
 def text_of(source):
-    page = html_text.parse(source)
-    return html_text.main_text(page, np.zeros(len(page.shell), bool))
+    return html_text.main_text(html_text.parse(source))
 
 
 @pytest.mark.parametrize("source, text", [
@@ -35,20 +34,75 @@ def test_pages(source, text):
     assert text_of(source) == text
 
 
-def test_repeats_as_brute_force():
+def test_every_beginning_is_counted():
+    """Tokens covered by repeats of a run, and the suffix order, by brute force."""
     rng = random.Random(8)
     for _ in range(30):
         shared = [[rng.choice("abc") for _ in range(rng.randint(3, 14))] for _ in range(3)]
         streams = [[w for _ in range(rng.randint(0, 4)) for w in rng.choice([*shared, [rng.choice("abcdefgh") for _ in range(6)]])] for _ in range(5)]
-        got = html_text.repeated(streams, 8)
+        run = html_text.Run.of([" ".join(s).encode() for s in streams], list(range(5)))
+        got = html_text.cover(run.counts() > 1)
         for k, stream in enumerate(streams):
             want = np.zeros(len(stream), bool)
             others = {tuple(s[i:i + 8]) for j, s in enumerate(streams) if j != k for i in range(len(s) - 7)}
             for i in range(len(stream) - 7):
                 if tuple(stream[i:i + 8]) in others:
                     want[i:i + 8] = True
-            assert got[k].tolist() == want.tolist()
-    assert [len(x) for x in html_text.repeated([[], []])] == [0, 0]
+            assert got[run.starts[k]:run.ends[k]].tolist() == want.tolist()
+    assert html_text.Run.of([], []).counts().tolist() == [] and html_text.Run.of([b"", b"a b"], [1, 2]).counts().tolist() == [0, 0, 0, 0]
+    tokens = np.array([rng.randrange(3) for _ in range(200)], np.uint64)
+    order, rank = html_text.suffix_order(tokens)
+    beginnings = [tuple(tokens[i:i + 8].tolist()) for i in range(200)]
+    assert [beginnings[i] for i in order] == sorted(beginnings)
+    assert all((rank[i] == rank[j]) == (beginnings[i] == beginnings[j]) for i in range(0, 200, 7) for j in range(200))
+
+
+@pytest.mark.parametrize("pattern", ["<a ", '<a href="x ', "<div>x ", "<b>x ", "</ x", "<p>x<b>", "<li><b>", "<i><div>x</i>", "<a b='", "&amp", "</b>", '<a href="x>'])
+def test_damaged_pages_take_linear_time(pattern):
+    import time
+
+    def took(size):
+        start = time.process_time()
+        html_text.parse((pattern * size)[:size] + ">")
+        return time.process_time() - start
+
+    took(1000)
+    assert took(1 << 20) < 15 and took(1 << 20) < 24 * max(took(1 << 17), 0.02)
+
+
+def brute_texts(rows):
+    """Page by page over the whole host, from the blocks that the parser gives: (page_id, text)."""
+    pages = [(k, re.sub(r"^https?://([^/]*).*", r"\1", u), html_text.parse(h)) for k, u, h in rows]
+    out = []
+    for k, host, page in pages:
+        others = {p.content(): [w for _, link, text in p.blocks for w in (link, *text.split())] for _, h, p in pages if h == host}
+        beginnings = {c: {tuple(s[i:i + 8]) for i in range(len(s) - 7)} for c, s in others.items()}
+        own = [(n, w) for n, (_, link, text) in enumerate(page.blocks) for w in (link, *text.split())]
+        main = page.main_kind()
+        least = 2 if main == "open" else max(4, 0.75 * len(others))
+        lost = set()
+        for i in range(len(own) - 7):
+            if sum(tuple(w for _, w in own[i:i + 8]) in b for b in beginnings.values()) >= least:
+                lost |= set(range(i, i + 8))
+        out.append((k, " ".join(w for i, (n, w) in enumerate(own) if i not in lost and page.blocks[n][0] == main and not w.startswith("<"))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("run_pages", [1, 3, 512])
+def test_extract_as_brute_force(spark, run_pages):
+    rng = random.Random(4)
+    passages = [" ".join(f"p{i}w{k}" for k in range(rng.randrange(10, 30))) for i in range(6)]
+    rows = []
+    for k in range(60):
+        parts = [rng.choice([" ".join(f"own{k}x{rng.randrange(999)}" for _ in range(rng.randrange(12))), rng.choice(passages)]) for _ in range(rng.randrange(7))]
+        if k % 3 == 0:
+            html_page = f"<nav>{passages[0]}</nav><article>{''.join(f'<p>{p}' for p in parts)}<p>{passages[1]}</article>"
+        else:
+            html_page = f"<div>{passages[2]}</div>" + "".join(f"<p>{p}</p>" for p in parts) + f"<div>tail {passages[3]}</div>"
+        rows.append((k, f"https://h{k % 2}.example/{k}", html_page))
+    rows += [(100 + k, "https://h0.example/copy", rows[4][2]) for k in range(5)] + [(200, "https://alone.example/", rows[0][2])]
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages_frame(spark, rows), run_pages=run_pages).collect())
+    assert got == brute_texts(rows)
 
 
 def unmarked(k, host):
@@ -89,8 +143,8 @@ def test_repeats_are_found_over_the_whole_host(spark):
     for run_pages in (1, 512):
         got = html_text.extract(pages_frame(spark, rows), run_pages=run_pages).collect()
         assert {r["page_id"]: "Welcome" in r["text"] or "Call" in r["text"] for r in got} == dict.fromkeys(range(40), False)
-    streams = [html_text.parse(h).shell for _, _, h in rows]
-    assert [int(c.sum()) for c in html_text.repeated(streams)][:5] == [25, 25, 25, 36, 25]
+    run = html_text.Run.of([html_text.parse(h).stream() for _, _, h in rows], list(range(40)))
+    assert [int(html_text.cover(run.counts() > 1)[a:b].sum()) for a, b in zip(run.starts, run.ends)][:5] == [25, 25, 25, 36, 25]
 
 
 def test_unique_words_beside_repeated_ones(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from faultline.llm import jaccard
+from faultline.llm.word_hash import texts_words
 from tests.llm.test_copies import components_of
 
 
@@ -98,8 +99,8 @@ def test_long_words_and_texts():
     rng = random.Random(1)
     long = " \n".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(40_000))
     texts = [long, "x" * 200_000, "a " + "y" * 150_000 + " b\tc", "", " ", "end " * 3]
-    for text, words in zip(texts, jaccard.texts_words(texts)):
-        one_by_one = [next(jaccard.texts_words([w]))[0] for w in text.split()[:300]]
+    for text, words in zip(texts, texts_words(texts)):
+        one_by_one = [next(texts_words([w]))[0] for w in text.split()[:300]]
         assert len(words) == len(text.split()) and words[:300].tolist() == one_by_one
 
 
