@@ -10,6 +10,7 @@ from checks.detecting import LOGIN_INCIDENTS, ONE_DAY, _CAND, _HOST_RATE, _candi
 from checks.inputs import as_of, derived, events
 from checks.registry import query
 from faultline.catalog import rules_frame
+from faultline.config import CorrelationConfig
 from faultline.functions.times import epoch_us, from_epoch_us, naive
 from faultline.lineage import scratch_dir
 from faultline.operators import metrics, views as read_views
@@ -95,6 +96,16 @@ def _(spark, d):
     return _shown(finished(spark, events(spark, d), lambda s: views.stream_correlate(s, "account", DAY), "corr"))
 
 
+TENTHS = CorrelationConfig(window_s=86400, slide_s=8640)
+
+
+@query("stream_correlate_sliding", f"""select * from ({all_sql(86400, 8640)}) where type = 'ip_correlation'
+  and win_start + interval 1 day <= (select max(ts) from ev) - interval 1 day""")
+def _(spark, d):
+    """Windows of ten panes, in two chained stateful steps."""
+    return _shown(finished(spark, events(spark, d), lambda s: views.stream_correlate(s, "ip", TENTHS), "corr"))
+
+
 @query("late_data", """with s as (select ts, (ts >= timestamp '2024-01-11' and ts < timestamp '2024-01-21') and id like '%7' as held from ev),
   h as (select max(ts) - interval 60 seconds as oldest from s where ts < timestamp '2024-01-21' and not held)
 select count(*) as rows_total, count(*) filter (held and ts < oldest) as rows_late from s, h""")

@@ -36,13 +36,20 @@ def _by_kind(events: DataFrame, kinds: tuple[str, ...], *columns) -> DataFrame:
     return hosted(events).select("host", *columns, F.inline(keys)).filter(F.coalesce("entity", F.lit("")) != "")
 
 
-def window_counts(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig) -> DataFrame:
-    """Counts per host, kind, entity and window: total, per category (c_*), per severity (s_*), in one pass over the events."""
+def window_counts(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig, chained: bool = True) -> DataFrame:
+    """Counts per host, kind, entity and window: total, per category (c_*), per severity (s_*), in one pass over the events.
+
+    A stream takes the same two steps, each with its state: an event touches the row of its pane only, and a closed pane the
+    rows of its windows. That needs append mode; not ``chained``, every event touches all its windows, in any output mode.
+    """
     present = _by_kind(events, kinds, "ts", "category", "severity")
     by = ["host", "type", "entity"]
-    if events.isStreaming:
-        # one stateful step; Spark keeps the partial sums per window
+    if events.isStreaming and not chained:
         counted = present.groupBy(*by, F.window("ts", f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds").alias("w")).agg(*_counters())
+    elif events.isStreaming:
+        panes = present.groupBy(*by, F.window("ts", f"{cfg.slide_s} seconds").alias("w")).agg(*_counters())
+        wide = F.window(F.window_time("w"), f"{cfg.window_s} seconds", f"{cfg.slide_s} seconds").alias("w")
+        counted = panes if cfg.window_s == cfg.slide_s else panes.groupBy(*by, wide).agg(*[F.expr(f"sum({n}) as {n}") for n in _COUNTER_NAMES])
     else:
         panes = present.groupBy(*by, F.window("ts", f"{cfg.slide_s} seconds").alias("pane")).agg(*_counters())
         counted = panes if cfg.window_s == cfg.slide_s else (
@@ -120,7 +127,7 @@ def _spike_pattern(cfg: CorrelationConfig) -> tuple[Column, Column]:
     return F.when(dense, F.concat("entity", F.lit("_spike"))), capped(critical * 2 + warning, 20)
 
 
-def correlate(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
+def correlate(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig = CorrelationConfig(), chained: bool = True) -> DataFrame:
     """Correlations of the given kinds. Each kind has its tests; a window below the kind's number of events is none."""
     entity = (cfg.ip_min_events, _entity_pattern(cfg))
     tests = {"ip_correlation": entity, "domain_correlation": entity, "account_correlation": (cfg.account_min_events, _account_pattern(cfg)),
@@ -130,7 +137,7 @@ def correlate(events: DataFrame, kinds: tuple[str, ...], cfg: CorrelationConfig
         here = F.col("type") == kind
         enough, (name, sure) = tests[kind]
         pattern, confidence, least = F.when(here, name).otherwise(pattern), F.when(here, sure).otherwise(confidence), F.when(here, enough).otherwise(least)
-    return _result(window_counts(events, kinds, cfg).filter(F.col("event_count") >= least), pattern, confidence)
+    return _result(window_counts(events, kinds, cfg, chained).filter(F.col("event_count") >= least), pattern, confidence)
 
 
 def correlate_ip(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
