@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -120,9 +121,30 @@ def hosted(df: DataFrame) -> DataFrame:
     return df.withColumn("host", F.coalesce("host", F.lit("")))
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def _wide(text: Column) -> Column:
+    """Whether white space in the text is anything but single spaces."""
+    return contains_any(text, ("  ", *WHITE[1:]))
+
+
 def words(text: Column, most: int = -1) -> Column:
-    """The words between white space; with ``most``, the last one is all the rest."""
-    return F.split(text, r"\s+", most)
+    """The words between white space; with ``most``, the last one is all the rest.
+
+    Nearly all lines have single spaces only, and one character is cut at without a pattern (which would be compiled for each row).
+    """
+    return F.when(_wide(text), F.split(text, r"\s+", most)).otherwise(F.split(text, " ", most))
+
+
+def sides(text: Column, mark: str) -> tuple[Column, Column]:
+    """What stands before the first ``mark`` that white space follows, and behind it, both without white space beside the mark.
+
+    Null and null for a text without one.
+    """
+    at = F.when(_wide(text), F.regexp_instr(text, F.lit(rf"{re.escape(mark)}\s"))).otherwise(F.instr(text, f"{mark} "))
+    found = F.when(at > 0, at)
+    return (F.rtrim(F.substring(text, F.lit(1), found - 1), F.lit(WHITE)), F.ltrim(F.substring(text, found + len(mark), F.length(text)), F.lit(WHITE)))
 
 
 def nth(parts: Column, n: int) -> Column:
@@ -140,4 +162,4 @@ def bracketed(text: Column) -> Column:
 
 def behind_bracket(text: Column) -> Column:
     """What follows the bracket that a text begins with, without white space before it; null if it begins otherwise."""
-    return F.when(_opens_bracket(text), F.regexp_replace(F.substring(text, F.instr(text, "]") + 1, F.length(text)), r"^\s+", ""))
+    return F.when(_opens_bracket(text), F.ltrim(F.substring(text, F.instr(text, "]") + 1, F.length(text)), F.lit(WHITE)))

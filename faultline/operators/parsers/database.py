@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.severity import DB_LEVELS
-from faultline.functions.text import behind_bracket, bracketed, clip, has, hosted, lookup, nth, search, words
+from faultline.functions.text import behind_bracket, bracketed, clip, has, hosted, lookup, nth, search, sides, words
 from faultline.functions.times import iso_ts, short_parts, short_ts
 from faultline.operators.parsers.base import LineParser, Values, at, event, raw
 from faultline.operators.sequence import fill_forward
@@ -62,7 +64,7 @@ def _error_event() -> Values:
 
 def _named_numbers() -> Values:
     """The header's ``Name: value`` pairs, in any order and with others between them."""
-    pairs = F.split(F.regexp_replace(raw(), r":\s+", "="), r"\s+")
+    pairs = words(F.regexp_replace(raw(), r":\s+", "="))
     return {"pairs": F.filter(pairs, lambda p: F.contains(p, F.lit("=")))}
 
 
@@ -95,17 +97,18 @@ def _slow_event() -> Values:
 
 def slow_user(line: Column) -> Column:
     """(u, c, i) of a ``# User@Host: user[name] @ client [address]`` header, cut at its at-sign and brackets; else null."""
-    sides = F.split(F.substring(line, F.lit(len(USER_HEAD) + 1), F.length(line)), r"\s+@\s*")
-    user = F.nullif(F.substring_index(F.trim(F.try_element_at(sides, F.lit(1))), "[", 1), F.lit(""))
-    place = F.try_element_at(sides, F.lit(2))
-    whole = line.startswith(USER_HEAD) & user.isNotNull() & F.contains(place, F.lit("[")) & F.contains(place, F.lit("]"))
+    line = F.when(line.startswith(USER_HEAD), line)  # other lines are not taken apart
+    named, place = sides(F.substring(line, F.lit(len(USER_HEAD) + 1), F.length(line)), "@")
+    user = F.nullif(F.substring_index(F.trim(named), "[", 1), F.lit(""))
+    whole = user.isNotNull() & F.contains(place, F.lit("[")) & F.contains(place, F.lit("]"))
     address = F.substring_index(F.substring_index(place, "[", -1), "]", 1)
     return F.when(whole, F.struct(user.alias("u"), F.trim(F.substring_index(place, "[", 1)).alias("c"), address.alias("i")))
 
 
 def log_stream(file_path: Column) -> Column:
     """The log that a chunk is part of."""
-    return F.regexp_replace(file_path, CHUNK, "")
+    marked = (F.translate(file_path, "0123456789", "") != file_path) | reduce(lambda a, b: a | b, [file_path.endswith(e) for e in (".gz", ".bz2", ".zst", ".txt")])
+    return F.when(marked, F.regexp_replace(file_path, CHUNK, "")).otherwise(file_path)
 
 
 def slow_heads(lines: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _access_parts(line: Column) -> Values:
 
     A quote behind a backslash belongs to the quoted text.
     """
-    return {"cut": F.split(line, r'(?<!\\)"')}
+    return {"cut": F.when(F.contains(line, F.lit("\\")), F.split(line, r'(?<!\\)"')).otherwise(F.split(line, '"'))}
 
 
 def _access_captures() -> Values:
@@ -57,8 +57,7 @@ def _access_words() -> Values:
     def piece(n: int) -> Column:
         return F.try_element_at(at("cut"), F.lit(n))
 
-    return {"who": F.split(F.substring_index(piece(1), "[", 1), r"\s+"), "asked": F.split(piece(2), r"\s+"),
-            "answer": F.split(F.trim(piece(3)), r"\s+"), "between": F.substring_index(F.substring_index(piece(1), "[", -1), "]", 1),
+    return {"who": words(F.substring_index(piece(1), "[", 1)), "asked": words(piece(2)), "answer": words(F.trim(piece(3))), "between": F.substring_index(F.substring_index(piece(1), "[", -1), "]", 1),
             "fourth": F.coalesce(piece(4), F.lit("")), "sixth": F.coalesce(piece(6), F.lit(""))}
 
 
