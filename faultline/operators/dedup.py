@@ -8,6 +8,10 @@ the past irrelevant, and runs without such a gap take a way that never puts a wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.config import LockoutConfig
@@ -206,28 +210,81 @@ def _fold_rate(rows: DataFrame, by: list[str], limit: int, window: int) -> DataF
     return grouped.select(*by, F.explode(_accept(F.col("_p"), seed, limit, window)["ok"]).alias("_k"))
 
 
-def _replay_rate(rows: DataFrame, keys: list[str], limit: int, window: int, slice_rows: int) -> DataFrame:
-    """Long runs, slice after slice; between slices each key hands on at most ``limit`` timestamps."""
+SPECULATIVE = 4  # rounds in which all blocks that start from a wrong state run again at once
+
+
+def _serial_states(window: int, limit: int, keys: list[str]):
+    """Blocks of a key in order (keys, part, t, assumed, out) to (keys, part, seed): the state each block starts from.
+
+    A block whose assumed state proves right is passed over. In the others one jumps from one accepted row to the next that may be one.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, live = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                key = tuple(row.column(c)[0].as_py() for c in keys)
+                if key != now:
+                    now, live = key, []
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in keys), row.column("part"), pa.array([live], pa.list_(pa.int64()))], names=[*keys, "part", "seed"])
+                if live == row.column("assumed")[0].as_py():
+                    live = row.column("out")[0].as_py()
+                    continue
+                times, at = row.column("t")[0].values.to_numpy(), 0
+                while at < len(times):
+                    live = [x for x in live if x > times[at] - window]
+                    if len(live) < limit:
+                        live.append(int(times[at]))
+                        at += 1
+                    else:
+                        at = int(np.searchsorted(times, live[0] + window))
+                if len(times):
+                    live = [x for x in live if x > times[-1] - window]
+
+    return work
+
+
+def _replay_rate(rows: DataFrame, keys: list[str], limit: int, window: int, block_rows: int) -> DataFrame:
+    """Long runs by speculative replay of blocks.
+
+    Every block runs at once from an empty state and hands on at most ``limit`` timestamps. Then only blocks whose state proved to
+    be another one than they started from run again, until there is none; a state is forgotten where for a window fewer rows come
+    than the limit allows. A run that stays saturated would need a round for each of its blocks, so after SPECULATIVE rounds the states
+    of such runs are found in one pass over their blocks in order, block by block and jumping from accepted row to accepted row.
+    At last all blocks run at once from their true states.
+    """
     per_cell = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("rows"))
     running = Window.partitionBy(*keys).orderBy("cell")
-    slices = per_cell.withColumn("part", F.floor((F.sum("rows").over(running) - F.col("rows")) / F.lit(slice_rows)))
-    rows = cut(rows.join(slices.select(*keys, "cell", "part"), [*keys, "cell"]))
-    live = accepted = None
-    for part in range((rows.agg(F.max("part")).first()[0] or 0) + 1):
-        grouped = (rows.filter(F.col("part") == part).groupBy(*keys)
-                   .agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("_p")))
-        empty = F.array().cast("array<bigint>")
-        if live is None:
-            seeded = grouped.withColumn("seed", empty)
-        else:
-            seeded = grouped.join(live, keys, "left").withColumn("seed", F.coalesce("seed", empty))
-        done = cut(seeded.select(*keys, _accept(F.col("_p"), F.col("seed"), limit, window).alias("r")))
-        ok = done.select(*keys, F.explode("r.ok").alias("_k"))
-        accepted = ok if accepted is None else accepted.unionByName(ok)
-        now_live = done.select(*keys, F.col("r.live").alias("seed"))
-        live = now_live if live is None else cut(
-            now_live.unionByName(live.join(now_live.select(*keys), keys, "left_anti")))
-    return accepted
+    parts = per_cell.withColumn("part", F.floor((F.sum("rows").over(running) - F.col("rows")) / F.lit(block_rows)))
+    by = [*keys, "part"]
+    blocks = cut(rows.join(parts.select(*keys, "cell", "part"), [*keys, "cell"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("_p")))
+    empty = F.array().cast("array<bigint>")
+
+    def run(of: DataFrame, seed: Column) -> DataFrame:
+        return of.select(*by, seed.alias("assumed"), _accept(F.col("_p"), seed, limit, window)["live"].alias("out"))
+
+    def starts(states: DataFrame) -> DataFrame:
+        """Each block's state by what the block before it handed on."""
+        before = F.lag("out").over(Window.partitionBy(*keys).orderBy("part"))
+        return states.withColumn("seed", F.coalesce(before, empty))
+
+    states, wrong = cut(run(blocks, empty)), None
+    for round_ in range(SPECULATIVE + 1):
+        known = cut(starts(states))
+        wrong = known.filter(F.col("seed") != F.col("assumed")).select(*by, "seed")
+        if wrong.isEmpty() or round_ == SPECULATIVE:
+            break
+        again = run(blocks.join(wrong, by), F.col("seed"))
+        states = cut(states.join(wrong.select(*by), by, "left_anti").unionByName(again))
+    seeds = known.select(*by, "seed")
+    if not wrong.isEmpty():
+        late = wrong.select(*keys).distinct()
+        in_order = (blocks.select(*by, F.transform("_p", lambda x: x["t"]).alias("t")).join(late, keys, "left_semi")
+                    .join(known.select(*by, "assumed", "out"), by).repartition(*keys).sortWithinPartitions(*by))
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*by).schema.fields)
+        serial = in_order.mapInArrow(_serial_states(window, limit, keys), f"{types}, seed array<bigint>")
+        seeds = cut(seeds.join(late, keys, "left_anti").unionByName(serial))
+    return blocks.join(seeds, by).select(*keys, F.explode(_accept(F.col("_p"), F.col("seed"), limit, window)["ok"]).alias("_k"))
 
 
 def rate_limit(rows: DataFrame, keys: list[str], limit: int = 10, window_s: int = 60, max_fold: int = MAX_RATE_FOLD) -> DataFrame:

@@ -116,7 +116,7 @@ def slow_heads(lines: DataFrame) -> DataFrame:
 
     Chunks of a log come in the order of their names' endings: shorter ones first, then by text.
     """
-    heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD)).withColumn("_stream", log_stream(F.col("file_path")))
+    heads = hosted(lines).filter(raw().startswith(QUERY_HEAD) | raw().startswith(USER_HEAD)).withColumn("_stream", F.coalesce(log_stream(F.col("file_path")), F.lit("")))
     ending = F.substring(F.col("file_path"), F.length("_stream") + 1, F.length("file_path"))
     return heads.withColumns({"_chunk": F.struct(F.length(ending).alias("n"), ending.alias("name")), "_seen": slow_user(raw())})
 

@@ -20,7 +20,10 @@ def _carry(blocks: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _same(rows: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
-    """Join on ``by`` in which null keys meet like any other."""
+    """Join on ``by`` in which null keys meet like any other; columns that hold none join plainly, which keeps the rows' partitioning."""
+    plain = [c for c in by if not rows.schema[c].nullable and not others.schema[c].nullable]
+    if len(plain) == len(by):
+        return rows.join(others, by)
     renamed = others.select(*[F.col(c).alias(f"_of_{c}") if c in by else F.col(c) for c in others.columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
     return rows.join(renamed, same).drop(*[f"_of_{c}" for c in by])

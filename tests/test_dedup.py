@@ -96,6 +96,19 @@ def test_rate_any_way(spark, max_fold):
     assert len({r.id for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_saturated_runs(spark, monkeypatch, rounds):
+    """One key that never falls below the limit, one that does now and then, one only in part; the serial pass from round 0, 1 or 4 on."""
+    monkeypatch.setattr(dedup, "SPECULATIVE", rounds)
+    rng = random.Random(7)
+    times = {"full": [round(rng.uniform(0, 3000), 1) for _ in range(2500)], "light": [round(rng.uniform(0, 30_000), 2) for _ in range(1500)],
+             "mixed": [t for b in range(6) for t in [b * 400 + round(rng.uniform(0, 60 if b % 2 else 390), 2) for _ in range(150)]]}
+    rows = [(k, at(t), f"{k}{i:05d}") for k, ts in times.items() for i, t in enumerate(ts)]
+    got = dedup.rate_limit(frame(spark, rows), ["k"], 3, 60, 40).collect()
+    for k, ts in times.items():
+        assert sorted(r.ts for r in got if r.k == k) == model_rate([at(t) for t in ts], 3, dt.timedelta(seconds=60)), k
+
+
 def test_lockout(spark):
     rng = random.Random(4)
     rows = [(rng.choice("xy"), at(round(rng.uniform(0, 2000))), f"{i:04d}", rng.random() < 0.15) for i in range(300)]
