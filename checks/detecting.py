@@ -282,7 +282,7 @@ _AUTH_EVENTS = f"""lp as (select *, regexp_extract(raw_line, {_SYSLOG_RE}) as g
     regexp_matches(g.msg, '(?i)Accepted password|session opened|Successful login') as accepted,
     regexp_extract(g.msg, 'from\\s+(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip, regexp_extract(g.msg, '(?:for|user[= ])\\s?(\\S+)', 1) as usr from lp where g.service <> ''),
   le as (select {ID} as id, host, coalesce({_SYSLOG_TS}, arrival_ts) as ts, 'auth' as category, case when failed then 'warning' else 'info' end as severity,
-    case when failed then 'Failed login attempt for ''' else 'Successful login for ''' end || usr || ''' from ' || ip || ' via ' || g.service as message,
+    'Login of ''' || usr || ''' through ' || g.service || case when failed then ' failed' else ' accepted' end || ', address ' || ip as message,
     ip as ip_address, nullif(usr, '') as account, '"auth_result":"' || case when failed then 'failed' else 'success' end || '"' as metadata from lc where failed or accepted)"""
 
 

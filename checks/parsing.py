@@ -109,6 +109,14 @@ def _(spark, d):
 
 # -- web --------------------------------------------------------------------------------------------------------
 
+_TLDS = "('com','net','org','io','co','info','biz','us','uk','ca','au','de','fr','in','ru','jp','br','mx','za','xyz','dev','app','site','online','store','tech')"
+
+
+def _domain_sql(text: str) -> str:
+    names = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}.-]+'), lambda w: trim(w, '.-'))"
+    return f"list_filter({names}, lambda w: contains(w, '.') and split_part(w, '.', -1) in {_TLDS})[1]"
+
+
 _ACCESS_RE = ("'^([\\d.:a-fA-F]+)\\s+(\\S+)\\s+(\\S+)\\s+\\[([^\\]]+)\\]\\s+\"(\\S+)\\s+(\\S+)\\s+([^\"]+)\"\\s+(\\d{3})\\s+(\\d+|-)"
               "(?:\\s+\"([^\"]*)\"\\s+\"([^\"]*)\")?', ['ip','ident','usr','tm','method','path','proto','status','size','ref','agent']")
 _MARKERS = ("['wp-login.php','xmlrpc.php','wp-admin','/admin','/phpmyadmin','/.env','/config','/backup','shell','/cgi-bin',"
@@ -120,9 +128,7 @@ _ACCESS_SQL = f"""with p as (select *, regexp_extract(raw_line, {_ACCESS_RE}) as
   a as (select {ID} as id, try_strptime(split_part(g.tm, ' ', 1), '%d/%b/%Y:%H:%M:%S') as ts,
     case when bad then 'security' else 'web' end as category,
     case when bad then 'warning' when st = 503 then 'critical' when st >= 500 then 'warning' else 'info' end as severity,
-    case when bad then 'Suspicious request: ' || g.method || ' ' || g.path || ' from ' || g.ip
-         when st >= 500 then 'HTTP ' || st || ' error: ' || g.method || ' ' || g.path
-         else 'HTTP ' || st || ': ' || g.method || ' ' || g.path end as message,
+    case when bad then 'Suspicious path asked by ' || g.ip || ': ' else 'Status ' || st || ' for ' end || g.method || ' ' || g.path as message,
     g.ip as ip_address, st as status_code, g.method as method, g.path as path,
     coalesce(try_cast(g.size as bigint), 0) as size, g.agent as user_agent, log_file_name as log_file
     from (select *, file_path as log_file_name from kept))
@@ -152,7 +158,7 @@ _ERROR_SQL = f"""with p as (select *, regexp_extract(raw_line,
 select {ID} as id, coalesce(try_strptime(regexp_replace(b.tm, '^\\w+ ', ''), '%b %d %H:%M:%S.%f %Y'), try_strptime(d.tm, '%Y-%m-%d %H:%M:%S.%g')) as ts,
   case when level in ('emerg','alert','crit') then 'critical' when level in ('error','warn') then 'warning' else 'info' end as severity,
   substr(msg, 1, 500) as message, regexp_extract(b.client, '([\\d.]+)', 1) as ip_address,
-  lower(nullif(regexp_extract(msg, '(?i)(?:(?:server|host|domain)[:\\s]+)?(\\S+\\.(?:com|net|org))\\b', 1), '')) as domain,
+  {_domain_sql('msg')} as domain,
   case when b.level <> '' then b.module else d.module end as module from e"""
 
 
@@ -169,8 +175,7 @@ def _(spark, d):
     return lines.groupBy(F.col("ip_address").alias("ip")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("extract_domain", """select lower(regexp_extract(html, '(?i)(?:(?:server|host|domain)[:\\s]+)?(\\S+\\.(?:com|net|org|io|co|info|biz|us|uk|ca|au|de|fr|in|ru|jp|br|mx|za|xyz|dev|app|site|online|store|tech)\\b)', 1)) as domain,
-  count(*) as n from pages group by all""")
+@query("extract_domain", f"""select coalesce({_domain_sql('html')}, '') as domain, count(*) as n from pages group by all""")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     return pages.groupBy(F.coalesce(web.first_domain(F.col("html")), F.lit("")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
@@ -188,7 +193,7 @@ _SYSLOG_TS = "try_strptime(year(arrival_ts) || ' ' || g.tm, '%Y %b %d %H:%M:%S')
     regexp_extract(g.msg, 'from\\s+(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip,
     regexp_extract(g.msg, '(?:for|user[= ])\\s?(\\S+)', 1) as usr from p where g.service <> '')
 select {ID} as id, {_SYSLOG_TS} as ts, case when failed then 'warning' else 'info' end as severity,
-  case when failed then 'Failed login attempt for ''' else 'Successful login for ''' end || usr || ''' from ' || ip || ' via ' || g.service as message,
+  'Login of ''' || usr || ''' through ' || g.service || case when failed then ' failed' else ' accepted' end || ', address ' || ip as message,
   ip as ip_address, g.hostname as hostname, nullif(usr, '') as account, try_cast(g.pid as int) as pid,
   case when failed then 'failed' else 'success' end as auth_result from c where failed or accepted""")
 def _(spark, d):
@@ -200,7 +205,7 @@ def _(spark, d):
     regexp_matches(raw_line, '(?i)Blocked|Denied|dropped|rejected') as blocked,
     regexp_extract(raw_line, '(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip from fw_lines)
 select {ID} as id, arrival_ts as ts, case when brute then 'critical' else 'warning' end as severity, ip as ip_address,
-  case when brute then 'CSF: Brute-force attack detected from ' else 'CSF: IP blocked — ' end || ip as message from c where brute or blocked""")
+  case when brute then 'csf saw a brute-force attack by ' else 'csf blocked ' end || ip as message from c where brute or blocked""")
 def _(spark, d):
     return router.parse_lines(derived(spark, d, "fw_lines"), "firewall").select("id", "ts", "severity", "ip_address", "message")
 
@@ -210,7 +215,7 @@ def _(spark, d):
   c as (select *, regexp_matches(g.msg, '(?i)malware|virus|trojan|infected|malicious') as found,
     regexp_matches(g.msg, '(?i)blocked|denied|quarantined|cleaned') as cleaned from p where g.tm <> '')
 select {ID} as id, cast(g.tm as timestamp) as ts, case when found then 'critical' else 'warning' end as severity,
-  case when found then 'malware' else 'security' end as category, 'Imunify360: ' || substr(g.msg, 1, 300) as message,
+  case when found then 'malware' else 'security' end as category, 'Scanner says: ' || substr(g.msg, 1, 300) as message,
   regexp_extract(g.msg, '(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip_address, g.level as level from c where found or cleaned""")
 def _(spark, d):
     return router.parse_lines(derived(spark, d, "mal_lines"), "malware").select(
@@ -230,7 +235,7 @@ _DB_SQL = f"""with p as (select *, regexp_extract(raw_line, '^(\\d{{4}}-\\d{{2}}
     case when usr is not null then 'warning'
          when regexp_matches(msg, '(?i)crash|segfault|assertion|fatal|aborting|shutting down|Too many connections|max_connections|Connection refused|Can''t connect') then 'critical'
          when level = 'error' then 'warning' else 'info' end as severity,
-    case when usr is not null then 'MySQL access denied for ''' || usr || '''@''' || client || '''' else substr(msg, 1, 500) end as message,
+    case when usr is not null then 'Access denied to database user ''' || usr || ''' at ''' || client || '''' else substr(msg, 1, 500) end as message,
     usr as mysql_user, level, l.code as code from u)
 """
 
@@ -303,15 +308,15 @@ def _(spark, d):
 @query("parse_panel_login", f"""with p as (select *, regexp_extract(raw_line, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}})\\s+(\\S+)\\s+(?:user=(\\S+))?\\s*(?:ip=([\\d.]+))?', ['tm','st','usr','ip']) as g from panel_lines),
   c as (select *, contains(lower(g.st), 'fail') as failed, contains(lower(g.st), 'success') or contains(lower(g.st), 'ok') as good from p where g.tm <> '')
 select {ID} as id, cast(g.tm as timestamp) as ts, case when failed then 'warning' else 'info' end as severity, nullif(g.usr, '') as account,
-  g.ip as ip_address, case when failed then 'WHM login failed for ''' else 'WHM login successful for ''' end
-  || coalesce(nullif(g.usr, ''), 'unknown') || ''' from ' || g.ip as message from c where failed or good""")
+  g.ip as ip_address, 'Panel login of ''' || coalesce(nullif(g.usr, ''), 'unknown')
+  || case when failed then ''' failed' else ''' accepted' end || ', address ' || g.ip as message from c where failed or good""")
 def _(spark, d):
     return parse(derived(spark, d, "panel_lines"), panel.LOGIN_LOG).select("id", "ts", "severity", "account", "ip_address", "message")
 
 
 @query("parse_panel_access", f"""with p as (select *, regexp_extract(raw_line, '^([\\d.]+)\\s+.*\\[([^\\]]+)\\]\\s+"(\\S+)\\s+(\\S+)\\s+\\S+"\\s+(\\d{{3}})\\s+(\\d+)', ['ip','tm','method','path','st','size']) as g from panel_lines)
 select {ID} as id, arrival_ts as ts, cast(g.st as int) as status_code, case when cast(g.st as int) >= 500 then 'warning' else 'info' end as severity,
-  g.ip as ip_address, 'cPanel HTTP ' || g.st || ': ' || g.method || ' ' || g.path as message from p where g.st <> '' and try_cast(g.st as int) >= 400""")
+  g.ip as ip_address, 'Panel answered ' || g.st || ' to ' || g.method || ' ' || g.path as message from p where g.st <> '' and try_cast(g.st as int) >= 400""")
 def _(spark, d):
     return parse(derived(spark, d, "panel_lines"), panel.ACCESS_LOG).select("id", "ts", "status_code", "severity", "ip_address", "message")
 

@@ -51,7 +51,7 @@ def _error_words() -> Values:
 def _error_event() -> Values:
     user, level = at("user"), at("level")
     message = F.when(
-        user.isNotNull(), F.concat(F.lit("MySQL access denied for '"), user, F.lit("'@'"), at("client"), F.lit("'"))
+        user.isNotNull(), F.concat(F.lit("Access denied to database user '"), user, F.lit("' at '"), at("client"), F.lit("'"))
     ).otherwise(at("text"))
     return event(
         level.isNotNull(),
@@ -85,7 +85,7 @@ def _slow_event() -> Values:
         took.isNotNull(),
         category=F.lit("database"),
         severity=F.when(took > 30, "critical").when(took > 10, "warning").otherwise("info"),
-        message=F.format_string("Slow query (%.1fs) by user '%s': examined %d rows, sent %d", took, at("user"),
+        message=F.format_string("Slow query of '%s': %.1f s, %d rows read, %d returned", at("user"), took,
                                 at("examined"), at("sent")),
         ip_address=F.coalesce("q_ip", F.lit("")), mysql_user=at("user"), query_time=took, lock_time=at("locked"),
         rows_sent=at("sent"), rows_examined=at("examined"), event_type=F.lit("slow_query"),

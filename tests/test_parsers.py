@@ -21,7 +21,7 @@ CASES = [
     ("apache_access", '203.0.113.5 - - [22/Jun/2025:10:00:01 +0000] "GET /cart HTTP/1.1" 404 17 "-" "agent"', None),
     ("apache_access", '2001:db8::1 - - [22/Jun/2025:10:00:01 +0000] "POST /Wp-Login.php HTTP/1.1" 403 9 "-" "agent"',
      dict(severity="warning", category="security", ip_address="2001:db8::1",
-          message="Suspicious request: POST /Wp-Login.php from 2001:db8::1")),
+          message="Suspicious path asked by 2001:db8::1: POST /Wp-Login.php")),
     ("apache_access", '203.0.113.5 - - [22/Jun/2025:10:00:01 +0000] "GET /.env HTTP/1.1" 503 9',
      dict(severity="warning", category="security")),
     ("apache_access", '203.0.113.5 - - [31/Foo/2025:10:00:01 +0000] "GET /a HTTP/1.1" 401 9',
@@ -37,7 +37,7 @@ CASES = [
     ("mysql_error", "2025-06-22T10:00:00.500000Z 12 [ERROR] [MY-010] Disk quota", dict(severity="warning", category="database", message="Disk quota")),
     ("mysql_error", "2025-06-22T10:00:00Z 12 [Note] ready", dict(severity="info", ts=dt.datetime(2025, 6, 22, 10))),
     ("mysql_error", "2025-06-22T10:00:00.5Z 0 [ERROR] Access denied for user 'ann_app'@'10.0.0.4' (using password: YES) after crash",
-     dict(severity="warning", mysql_user="ann_app", message="MySQL access denied for 'ann_app'@'10.0.0.4'")),
+     dict(severity="warning", mysql_user="ann_app", message="Access denied to database user 'ann_app' at '10.0.0.4'")),
     ("mysql_error", "2025-06-22 10:00:00 0 [ERROR] Too many connections", dict(severity="critical")),
     ("mysql_error", "990622  9:00:00 [Warning] assertion failed", dict(severity="critical", ts=dt.datetime(1999, 6, 22, 9))),
     ("mysql_error", "no header here", None),
@@ -55,7 +55,7 @@ CASES = [
     ("imunify360", "2025-06-22 10:00:00 request denied for 192.0.2.1", dict(severity="warning", category="security", ip_address="192.0.2.1")),
     ("imunify360", "Malware without a date", None),
     ("cpanel_access", "2025-06-22 10:00:00 FAILED user=root ip=192.0.2.8", dict(severity="warning", category="auth", account="root", ip_address="192.0.2.8")),
-    ("cpanel_access", "2025-06-22 10:00:00 SUCCESS ip=192.0.2.8", dict(severity="info", account=None, message="WHM login successful for 'unknown' from 192.0.2.8")),
+    ("cpanel_access", "2025-06-22 10:00:00 SUCCESS ip=192.0.2.8", dict(severity="info", account=None, message="Panel login of 'unknown' accepted, address 192.0.2.8")),
     ("cpanel_access", "2025-06-22 10:00:00 PENDING user=root ip=192.0.2.8", None),
     ("cpanel_access", '192.0.2.8 - u [x] "GET /whm HTTP/1.1" 502 10', dict(severity="warning", category="web", status_code=502)),
     ("cpanel_access", '192.0.2.8 - u [x] "GET /whm HTTP/1.1" 399 10', None),
