@@ -80,6 +80,21 @@ def _(spark, d):
     return lifecycle.retain("incidents", inc, as_of(inc), Retention(incidents=5)).select("id", "state")
 
 
+@query("retention_purge", """select cast(ts as date) as day, count(*) as n from ev where ts >= (select max(ts) from ev) - interval 10 days group by all
+  union all select cast(ts as date), count(*) from inc where (ts >= (select max(ts) from ev) - interval 10 days or state not in ('resolved','suppressed','false_positive')) and k % 2 = 0 group by all""")
+def _(spark, d):
+    """Events and incidents stored by day, after what is too old was deleted there."""
+    ev, inc = events(spark, d), derived(spark, d, "inc").filter("k % 2 = 0")
+    out, now = None, ev.agg(F.max("ts")).first()[0]
+    for name, rows in (("events", ev), ("incidents", inc)):
+        path = scratch_dir(spark, name)
+        lifecycle.write_table(rows, path)
+        lifecycle.purge(spark, path, name, now, Retention(events=10, incidents=10))
+        one = spark.read.parquet(path).groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("export_json", """select id, state, cast(epoch_us(ts) // 1000 as bigint) as ts_ms, list_extract(source_evidence, 1) as first_evidence from inc where state = 'new' order by ts desc, id desc limit 10000""")
 def _(spark, d):
     """Written as JSON lines and read back; the files keep milliseconds."""

@@ -67,13 +67,12 @@ def _(spark, d):
     root = scratch_dir(spark, "sources")
     lines = derived(spark, d, "access_lines").join(derived(spark, d, "base").select(F.col("event_id").alias("line_no"), "user_id"), "line_no")
     for k in range(3):
-        lines.filter(F.col("user_id") % 3 == k).select("raw_line").coalesce(1).write.text(f"{root}/source{k}/host=h{k}/log=apache_access")
+        lines.filter(F.col("user_id") % 3 == k).select("raw_line").repartition(3).write.text(f"{root}/source{k}/host=h{k}/log=apache_access")
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(f"{root}/source2/host=h2/log=apache_access")
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        if status.getPath().getName().endswith(".txt"):
-            files.rename(status.getPath(), hadoop.Path(folder, "part.txt.gz"))
+    first = next(s.getPath() for s in files.listStatus(folder) if s.getPath().getName().endswith(".txt"))
+    files.rename(first, hadoop.Path(folder, "part.txt.gz"))
     read, failed = log_lines.read_sources(spark, [f"{root}/source{k}" for k in (0, 1, 2, 9)])
     name = r"(source\d)(?:/|$)"
     whole = read.groupBy(F.regexp_extract("file_path", name, 1).alias("source")).agg(F.count(F.lit(1)).alias("lines")).withColumn("failed", F.lit(False))

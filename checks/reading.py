@@ -9,6 +9,7 @@ from checks.registry import query
 from faultline.config import DeclaredLimits
 from faultline.config import Thresholds
 from faultline.functions.times import age_label
+from faultline.lineage import cut, scratch_dir
 from faultline.operators import enrich, incidents as inc_ops, lifecycle, metrics, views
 from faultline.sources import accounts as account_files
 
@@ -397,6 +398,16 @@ def _(spark, d):
     return views.page(views.filter_events(events(spark, d), severity="warning"), 1500, 1000).select(*EV_COLS)
 
 
+@query("page_by_hours", f"select {EV} from (select * from ev order by ts desc, id desc limit 150 offset 6500)")
+def _(spark, d):
+    """A deep page of the events stored by day; the hours that were counted with them say where it lies."""
+    path, ev = scratch_dir(spark, "by-day"), events(spark, d)
+    lifecycle.write_table(ev, path)
+    stored = spark.read.parquet(path)
+    hours = cut(views.add_hours(views.hour_counts(ev.filter(F.col("category") == "web")), ev.filter(F.col("category") != "web")))
+    return views.page_by_hours(stored, hours, 150, 6500).select(*EV_COLS)
+
+
 @query("page_after", f"""select {EV} from ev where (ts, id) < (timestamp '2024-01-15 00:00:00', '0') order by ts desc, id desc limit 200""")
 def _(spark, d):
     return views.page_after(events(spark, d), "2024-01-15 00:00:00", "0", 200).select(*EV_COLS)

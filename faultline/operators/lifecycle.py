@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from datetime import datetime, time, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.config import Retention
+from faultline.functions.times import clock
+from faultline.lineage import cut
 from faultline.operators.views import filter_incidents, newest
 from faultline.schemas import CLOSED_STATES, OPERATOR_STATES
 
@@ -70,6 +74,41 @@ def retain(table: str, df: DataFrame, as_of: Column, policy: Retention = Retenti
     return kept.filter(F.col("event_date") >= F.to_date(as_of - F.expr(f"INTERVAL '{days}' DAY")))
 
 
+def purge(spark: SparkSession, path: str, table: str, as_of: datetime, policy: Retention = Retention()) -> dict[str, list[str]]:
+    """Delete from a table stored by day (write_table) what its retention does not keep; {"dropped": days, "rewritten": days}.
+
+    Days wholly older than the bound go by their name, unread; only the border day is read and written anew, and later days are not
+    touched. Of incidents that go only when closed, older days are read, and those that hold a closed one are written anew.
+    """
+    days = getattr(policy, table, None)
+    done: dict[str, list[str]] = {"dropped": [], "rewritten": []}
+    if days is None:
+        return done
+    bound = as_of - timedelta(days=days)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = {s.getPath().getName().removeprefix("event_date="): s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("event_date=")}
+    old = sorted(day for day in stored if day < str(bound.date()))
+    border = [day for day in stored if day == str(bound.date()) and bound.time() != time()]
+    closed_only = table == "incidents" and policy.closed_only
+    touched = [*old, *border] if closed_only else border
+    if touched:
+        rows = spark.read.option("basePath", path).parquet(*[stored[day].toString() for day in touched])
+        goes = ~F.coalesce(_kept(table, rows, days, policy.closed_only, clock(as_of)), F.lit(True))
+        counts = {str(r["event_date"]): r for r in rows.groupBy("event_date").agg(F.count_if(goes).alias("gone"), F.count(F.lit(1)).alias("n")).collect()}
+        empty = [day for day in touched if day in counts and counts[day]["gone"] == counts[day]["n"]]
+        partly = [day for day in touched if day in counts and 0 < counts[day]["gone"] < counts[day]["n"]]
+        if partly:
+            kept = cut(rows.filter(F.col("event_date").cast("string").isin(*partly) & ~goes))  # written apart before the old files go
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+        done["rewritten"] = partly
+        old = empty if closed_only else [*old, *empty]
+    for day in old:
+        files.delete(stored[day], True)
+    done["dropped"] = sorted(old)
+    return done
+
+
 def retention_report(tables: dict[str, DataFrame], as_of: Column, policy: Retention = Retention()) -> DataFrame:
     """Per table: rows kept and rows deleted."""
     out = None

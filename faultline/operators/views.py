@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.times import clock
 from faultline.schemas import ACTIVE_STATES, SEVERITIES
@@ -58,6 +60,32 @@ def page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return df.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
+def hour_counts(df: DataFrame) -> DataFrame:
+    """Rows for each hour: hour, n. Small beside the table; kept with it, counts of new batches are added to it."""
+    return df.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def add_hours(hours: DataFrame, new: DataFrame) -> DataFrame:
+    return hours.unionByName(hour_counts(new)).groupBy("hour").agg(F.sum("n").alias("n"))
+
+
+def page_by_hours(df: DataFrame, hours: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """``page`` of a table stored by day, from its hour_counts: only the hours that hold the page are read and sorted.
+
+    Rows without a time come last and belong to no hour; a page that reaches them is taken by ``page``.
+    """
+    upto = F.sum("n").over(Window.orderBy(F.desc("hour")))
+    held = (hours.filter("hour is not null").withColumn("upto", upto).filter((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit))
+            .agg(F.min("hour").alias("oldest"), F.max("hour").alias("newest"), F.min(F.col("upto") - F.col("n")).alias("before"), F.max("upto").alias("upto")).first())
+    if held["upto"] is None or held["upto"] < offset + limit:
+        return page(df, limit, offset)
+    after = held["newest"] + timedelta(hours=1)
+    rows = df.filter((F.col("ts") >= clock(held["oldest"])) & (F.col("ts") < clock(after)))
+    if "event_date" in df.columns:
+        rows = rows.filter(F.col("event_date").between(clock(held["oldest"]).cast("date"), clock(after).cast("date")))
+    return page(rows, limit, offset - held["before"])
+
+
 def page_after(df: DataFrame, last_ts, last_id, limit: int = 100) -> DataFrame:
     """Page that follows a known last row; deep pages then cost no more than the first."""
     ts = clock(last_ts)
