@@ -338,7 +338,7 @@ def _(spark, d):
     return views.page_counts(views.page(views.filter_alerts(derived(spark, d, "al")), 50))
 
 
-@query("summary", f"""with e as (select count(*) filter (severity = 'info') as events_info, count(*) filter (severity = 'warning') as events_warning, count(*) filter (severity = 'critical') as events_critical,
+SUMMARY = """with e as (select count(*) filter (severity = 'info') as events_info, count(*) filter (severity = 'warning') as events_warning, count(*) filter (severity = 'critical') as events_critical,
     count(*) filter (ts >= (select max(ts) from ev) - interval 1 hour) as events_last_hour from ev),
   i as (select count(*) filter (state in ('new','acknowledged','investigating')) as active_incidents from inc),
   a as (select count(*) as alerts_total, count(*) filter (severity = 'critical') as c, count(*) filter (not acknowledged and not suppressed) as unack_alerts from al),
@@ -346,14 +346,21 @@ def _(spark, d):
   s as (select * from snap order by ts desc, host desc limit 1),
   r as (select string_agg(id, ',' order by ts desc, id desc) as recent from (select * from inc order by ts desc, id desc limit 5))
 select e.*, active_incidents, alerts_total, unack_alerts, services_total, services_healthy, cpu_percent, recent,
-  case when c > 0 then 'critical' else 'other' end as server_health from e, i, a, v, s, r""")
+  case when c > 0 then 'critical' else 'other' end as server_health from e, i, a, v, s, r"""
+
+
+def shown_summary(row):
+    return row.select("events_info", "events_warning", "events_critical", "events_last_hour", "active_incidents", "alerts_total",
+                      "unack_alerts", "services_total", "services_healthy", "cpu_percent", "server_health",
+                      F.array_join(F.transform("recent_incidents", lambda x: x["id"]), ",").alias("recent"))
+
+
+@query("summary", SUMMARY)
 def _(spark, d):
     ev = events(spark, d)
     row = views.summary(ev, derived(spark, d, "inc"), derived(spark, d, "al"), derived(spark, d, "snap"),
                         metrics.service_health(derived(spark, d, "probes")), as_of(ev))
-    return row.select("events_info", "events_warning", "events_critical", "events_last_hour", "active_incidents", "alerts_total",
-                      "unack_alerts", "services_total", "services_healthy", "cpu_percent", "server_health",
-                      F.array_join(F.transform("recent_incidents", lambda x: x["id"]), ",").alias("recent"))
+    return shown_summary(row)
 
 
 @query("qps_delta", """with c as (select host, ts, event_id * 10 + (case when event_id % 500 >= 250 then 0 else 100000 end) as q from snap),

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 from checks.correlating import DAY, all_sql, as_text, entity_sql
 from checks.detecting import LOGIN_INCIDENTS, ONE_DAY, _CAND, _HOST_RATE, _candidates, cooled, login_incidents
 from checks.inputs import as_of, derived, events
+from checks.reading import SUMMARY, shown_summary
 from checks.registry import query
 from faultline.catalog import rules_frame
 from faultline.config import CorrelationConfig
 from faultline.functions.times import epoch_us, from_epoch_us, naive
-from faultline.lineage import scratch_dir
+from faultline.lineage import cut, scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
-from faultline.streaming import ingest, live, stateful, views
+from faultline.streaming import ingest, live, rollups, stateful, views
 from faultline.streaming.cooldown import start_cooldown
 
 CHUNKS = ("2024-01-11", "2024-01-21", "2999-01-01")
@@ -166,8 +167,8 @@ class _Stopped(Exception):
 
 @query("live_incidents", LOGIN_INCIDENTS)
 def _(spark, d):
-    """All logs as a live stream in three micro-batches. The second one breaks off between its writes and runs again; the incidents
-    of the login log are those of one batch over all lines."""
+    """Login, access and slow logs as a live stream in three micro-batches. The second one breaks off between its writes and runs
+    again; the incidents of the login log are those of one batch over all lines."""
     root, state, broke = scratch_dir(spark, "live"), scratch_dir(spark, "live-state"), []
 
     def breaks(step: str) -> None:
@@ -185,7 +186,8 @@ def _(spark, d):
                     raise
 
     domains, users, rules = derived(spark, d, "domains"), derived(spark, d, "users"), rules_frame(spark)
-    fed(spark, derived(spark, d, "all_lines"), "lines", run, "arrival_ts")
+    lines = derived(spark, d, "auth_lines").unionByName(derived(spark, d, "access_lines")).unionByName(derived(spark, d, "slow_lines"))
+    fed(spark, lines, "lines", run, "arrival_ts")
     return login_incidents(live.LiveTables(spark, root).all_incidents())
 
 
@@ -201,6 +203,19 @@ def _(spark, d):
     return spark.read.parquet(out).agg(newest).select("s.*")
 
 
+@query("stream_rollup", SUMMARY)
+def _(spark, d):
+    """The summary from counters alone: events as they come in, incidents of which half change their state, alerts, samples."""
+    ev, inc, path, state = events(spark, d), derived(spark, d, "inc"), scratch_dir(spark, "rollup"), scratch_dir(spark, "rollup-state")
+    fed(spark, ev.select("ts", "severity"), "rollup-in", lambda s: rollups.start_rollup(s, rollups.event_rows, path, state, every=None).awaitTermination())
+    moved = inc.filter("k % 2 = 1")
+    first = inc.withColumn("state", F.when(F.col("k") % 2 == 1, "new").otherwise(F.col("state")))
+    roll = cut(rollups.merged(rollups.newest_rollup(spark, path), rollups.incident_rows(first), rollups.alert_rows(derived(spark, d, "al")),
+                              rollups.sample_rows(derived(spark, d, "snap"))))
+    roll = rollups.merged(roll, rollups.incident_rows(moved, moved.withColumn("state", F.lit("new"))))
+    return shown_summary(rollups.summary_of(roll, metrics.service_health(derived(spark, d, "probes")), as_of(ev)))
+
+
 @query("stream_dedup_ids", "select id, severity from ev")
 def _(spark, d):
     """Each chunk is shipped twice at once; every id is stored once."""
