@@ -518,13 +518,16 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     runs = F.ceil(F.greatest(F.col("n") / run_pages, F.col("chars") / RUN_CHARS)).cast("int")
     bits = F.least(F.lit(56), SPARE_BITS + F.ceil(F.log2(F.col("chars") + 2))).cast("int")
-    large = stored(named.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars"))
-                   .select("host", runs.alias("runs"), bits.alias("bits")).where("runs > 1"), "large-hosts")
+    hosts = stored(named.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars")), "hosts")
+    large = hosts.select("host", runs.alias("runs"), bits.alias("bits")).where("runs > 1")
+    # as texts are packed, their bytes don't tell the work: a task gets some two runs, however many there are
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) // (2 * RUN_PAGES), (total["chars"] or 0) // (2 * RUN_CHARS))
     large = F.broadcast(large) if large.limit(NAMED + 1).count() <= NAMED else large
     sized = named.join(large, "host", "left").select("page_id", "url", "host", F.coalesce("runs", F.lit(1)).alias("runs"), F.coalesce("bits", F.lit(32)).alias("bits"), "html")
     id_type = page_id.simpleString()
     packs = sized.mapInArrow(_parsed(to_arrow_type(page_id)), f"host string, run int, runs int, bits int, ids array<{id_type}>, urls array<string>, contents array<long>, blocks binary")
-    dealt = packs.repartition("host", "run")
+    dealt = packs.repartition(tasks, "host", "run")
     numbers = dealt.sortWithinPartitions("host", "run").mapInArrow(_numbers, "host string, bucket int, run int, numbers binary")
     shared = numbers.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_meet, "host string, run int, numbers binary")
     return (dealt.groupBy("host", "run").cogroup(shared.groupBy("host", "run"))

@@ -3,8 +3,8 @@
 A text is cut at white space into pre-tokens; the library never joins characters over white space, so a text has as many
 tokens as its pre-tokens together. First tier: the pre-tokens that are frequent over the whole corpus with their numbers
 of tokens, a table of bounded size that is broadcast. Second tier: a cache in each worker, filled by encoding the misses
-of some hundred documents in one call. No pre-token is ever shuffled; the frequent ones are found from bounded summaries,
-one for each task.
+of some hundred documents in one call. No text's pre-tokens are shuffled for counting; what is, to find the frequent ones, is a
+bounded summary of each task (SUMMARY entries).
 """
 
 from __future__ import annotations
