@@ -16,7 +16,7 @@ from faultline.functions.times import epoch_us, from_epoch_us, naive
 from faultline.lineage import cut, scratch_dir
 from faultline.operators import metrics, views as read_views
 from faultline.operators.parsers import database
-from faultline.streaming import ingest, live, rollups, stateful, views
+from faultline.streaming import ingest, inserts, live, rollups, stateful, views
 from faultline.streaming.cooldown import start_cooldown
 
 CHUNKS = ("2024-01-11", "2024-01-21", "2999-01-01")
@@ -221,3 +221,16 @@ def _(spark, d):
     """Each chunk is shipped twice at once; every id is stored once."""
     ev = events(spark, d).select("id", "ts", "severity")
     return finished(spark, ev.unionByName(ev), lambda s: ingest.dedup_ids(s, 86400), "dedup").select("id", "severity")
+
+
+@query("stream_insert_ignore", "select id, severity, ts from ev")
+def _(spark, d):
+    """Every event comes again eleven days later, with another time: stored is the first one, whatever lies between."""
+    ev = events(spark, d).select("id", "ts", "severity")
+    again = ev.withColumn("ts", F.col("ts") + F.expr("INTERVAL '11' DAY"))
+    path, filters, state = scratch_dir(spark, "stored"), scratch_dir(spark, "filters"), scratch_dir(spark, "insert-state")
+    # of two rows of one id in the last span the earlier one is stored, as it is the first to come
+    both = ev.unionByName(again.filter(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"))).unionByName(
+        again.filter((F.col("ts") >= F.lit("2024-01-31").cast("timestamp_ntz")) & (F.col("ts") - F.expr("INTERVAL '11' DAY") < F.lit("2024-01-21").cast("timestamp_ntz"))))
+    fed(spark, both, "twice", lambda s: inserts.start_insert(s, path, filters, state, every=None).awaitTermination())
+    return spark.read.parquet(path).select("id", "severity", "ts")
