@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import stored, texts_of
@@ -174,21 +175,22 @@ def step(df: DataFrame, *kept: str, **columns) -> DataFrame:
 
 def paragraphs(docs: DataFrame, where: str = ".") -> DataFrame:
     """doc_id, doc (a number of the row), paragraph (of the first line, from 0), lines, block and body of the lines with a letter or
-    digit and of the blocks of two and more of them; block: the first line of the block. Only texts that match ``where``.
+    digit and of the blocks of two and more of them; block: the first line of the block. Only the texts and lines that match
+    ``where``, a pattern without line ends, and the blocks of which a line does.
 
     The time for a text grows with its length, whatever its lines are.
     """
     texts = texts_of(docs).where(F.col("text").rlike(where)).withColumn("doc", F.monotonically_increasing_id())
     lined = step(texts, "doc_id", "doc", lines=F.split(F.regexp_replace("text", COMMENT, ""), "\n"))
     empty = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: ~F.element_at("lines", i).rlike("[\\p{L}\\p{N}]"))
-    cut = step(lined, "doc_id", "doc", "lines", cuts=F.concat(F.array(F.lit(0)), empty, F.array(F.size("lines") + 1)))
+    cut = step(lined, "doc_id", "doc", "lines", cuts=F.concat(F.array(F.lit(0)), empty, F.array(F.size("lines") + 1)), hits=F.transform("lines", lambda x: x.rlike(where)))
 
     def block(k):
         first, n = F.element_at("cuts", k), F.element_at("cuts", k + 1) - F.element_at("cuts", k) - 1
         row = lambda at, size, body: F.struct(at.alias("paragraph"), size.alias("lines"), first.alias("block"), body.alias("body"))
         own = F.slice("lines", first + 1, n)
-        return F.concat(F.transform(own, lambda x, i: row(first + i, F.lit(1), x)),
-                        F.when(n > 1, F.array(row(first, n, F.array_join(own, "\n")))).otherwise(F.array().cast("array<struct<paragraph:int,lines:int,block:int,body:string>>")))
+        return F.concat(F.filter(F.transform(own, lambda x, i: row(first + i, F.lit(1), x)), lambda x, i: F.element_at("hits", first + i + 1)),
+                        F.when((n > 1) & F.array_contains(F.slice("hits", first + 1, n), True), F.array(row(first, n, F.array_join(own, "\n")))).otherwise(F.array().cast("array<struct<paragraph:int,lines:int,block:int,body:string>>")))
 
     return cut.select("doc_id", "doc", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), block))))
 
@@ -211,6 +213,23 @@ def _tables(spark: SparkSession, model: LicenseModel) -> tuple[DataFrame, DataFr
             spark.createDataFrame([(k, f, t, len(h)) for k, ((f, t), h) in enumerate(zip(texts, held, strict=True))], "template int, template_family string, template_text string, size int"))
 
 
+def words_in(text: str) -> Column:
+    """The words of a column, as ``words_of`` has them."""
+    return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
+
+
+def runs_at(found: list[str]) -> Column:
+    """Of the column ``words`` the runs of one, two and three words that hold a word of ``found``, shorter ones first, else in their order."""
+    places = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(found), i + 1)))
+
+    def runs(n: int) -> Column:
+        around = lambda i: F.sequence(F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.size("words") - (n - 1)))
+        starts = F.when(F.size("words") >= n, F.array_distinct(F.flatten(F.transform(places, around)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.element_at("words", i + k) for k in range(n))))
+
+    return F.concat(*map(runs, (1, 2, 3)))
+
+
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, paragraph, family, probability, predicted, template, containment, confirmed: the paragraphs that are licences.
 
@@ -227,16 +246,13 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     spark = docs.sparkSession
     grams, templates = _tables(spark, model)
     gate_words = sorted({w for g in model.vocabulary for w in g.split() if telling(w)})
-    gate = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(gate_words) + ")(?![\\p{L}\\p{N}])"
-    bodies = paragraphs(docs, gate).where(F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
-    split = F.filter(F.split(F.lower("body"), SPLIT), lambda w: w != "")
-    # through a generator, which the optimizer does not look through: else every n-gram would split the paragraph again
+    # by first letters: a word of the text meets few alternatives
+    starts = "|".join(f"{first}(?:{'|'.join(w[1:] for w in same)})" for first, same in groupby(gate_words, lambda w: w[0]))
+    gate = f"(?i)(?<![\\p{{L}}\\p{{N}}])(?:{starts})(?![\\p{{L}}\\p{{N}}])"
+    bodies = paragraphs(docs, gate).withColumn("row", F.monotonically_increasing_id())
     place = ("doc_id", "doc", "paragraph", "lines", "block", "row")
-    words = bodies.select(*place, F.inline(F.array(F.struct(split.alias("words")))))
-    starts = lambda n: F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    run = lambda n: F.transform(starts(n), lambda i: F.concat_ws(" ", *(F.element_at("words", i + k) for k in range(n))))
-    runs = [run(n) for n in (1, 2, 3)]
-    found = stored(words.select(*place, F.explode(F.array_distinct(F.concat(*runs))).alias("gram")).join(F.broadcast(grams), "gram"), "licence-grams")
+    found = stored(step(bodies, *place, words=words_in("body")).select(*place, F.explode(F.array_distinct(runs_at(gate_words))).alias("gram"))
+                   .join(F.broadcast(grams), "gram"), "licence-grams")
     k = len(model.classes)
     sums = found.groupBy(*place).agg(*(F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)))
     z = F.array(*((F.col(f"z{i}") + F.lit(float(model.bias[i]))) / F.lit(float(model.temperature)) for i in range(k)))

@@ -184,6 +184,55 @@ def test_short_notices_that_name_mit(spark, docs_of):
     assert 3 not in got or got[3]["family"] == "unknown"
 
 
+def grams_found(monkeypatch, docs, model):
+    """The n-grams that ``scan`` stores, before they are stored."""
+    class Caught(Exception):
+        pass
+
+    def catch(df, name):
+        raise Caught(df)
+
+    with monkeypatch.context() as m, pytest.raises(Caught) as caught:
+        m.setattr(license_scan, "stored", catch)
+        license_scan.scan(docs, model)
+    return caught.value.args[0]
+
+
+def rows_generated(plan) -> int:
+    """The rows that the generators of an executed plan have made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_generated(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return rows_generated(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(rows_generated(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_licence_words_alone_make_n_grams(spark, docs_of, monkeypatch):
+    model = license_scan.train([f"Some plain words number {i} stand here." for i in range(60)])
+    long = " ".join(f"plain{i}" for i in range(3_000))
+    found = grams_found(monkeypatch, docs_of([(1, f"{long} license {long}")]), model)
+    assert [r["gram"] for r in found.collect()] == ["license"]
+    assert 0 < rows_generated(found._jdf.queryExecution().executedPlan()) < 100  # not the 9,000 different runs of the text
+
+
+def test_n_grams_of_licences_in_plain_python(spark, docs_of, corpus, monkeypatch):
+    model = license_scan.train([f"Some plain words number {i} stand here." for i in range(60)])
+    vocabulary = set(model.vocabulary)
+    texts = [(i, t) for i, t, _ in corpus] + [(20_000, "MIT"), (20_001, "the MIT"), (20_002, "MIT license"), (20_003, "under the\nMIT\nlicense, or\nno\n\nlicense"), (20_004, "mit MIT mit Mit License"), (20_005, "-- GNU\n#\n# general\n# public"),
+                                              (20_006, "permitted1 summit admit MITs"), (20_007, "2 2020 20 CC-BY 4.0"), (20_008, "plain\nwords\nno notice\n"), (None, "All rights reserved."), (20_009, MIT_TEXT), (20_010, BSD_TEXT), (20_009, MIT_TEXT)]
+    got = sorted(map(str, ((r["doc_id"], r["paragraph"], r["lines"], r["gram"]) for r in grams_found(monkeypatch, docs_of(texts), model).collect())))
+
+    wanted = []
+    for i, text in texts:
+        lines = (text or "").split("\n")
+        cuts = [-1, *(k for k, x in enumerate(lines) if not license_scan.words_of(x)), len(lines)]
+        for first, end in zip(cuts, cuts[1:]):
+            rows = [(k, 1, lines[k]) for k in range(first + 1, end)] + [(first + 1, end - first - 1, "\n".join(lines[first + 1:end]))] * (end - first > 2)
+            wanted += [str((i, at, n, gram)) for at, n, body in rows for gram in license_scan.grams_of(license_scan.words_of(body), vocabulary)]
+    assert got == sorted(wanted) and len(got) > 300
+
+
 def test_licences_of_the_corpus(spark):
     wanted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
               "GPL": "This work is licensed under the GNU General Public License, version 3.", "Proprietary": "All rights reserved."}
