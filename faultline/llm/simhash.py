@@ -8,6 +8,9 @@ are one entry from the start.
 
 A list of the index may be long where many documents are nearly the same. It is cut into blocks, and each two blocks are
 compared in a task of their own, which returns a spanning forest of the links it finds, never the pairs.
+
+Joins with the index and with stored tables shuffle (hint ``merge``). Spark would size the index, 70 rows a fingerprint, by the
+fingerprints it is made of, and stored tables by their compressed files, and broadcast what is far beyond its limit.
 """
 
 from __future__ import annotations
@@ -130,7 +133,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     index = distinct.select("fp").mapInArrow(_index, "key long, fp long")
     met = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("long")
-    rows = (index.join(met, "key").select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
+    rows = (index.join(met.hint("merge"), "key").select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
             .select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp"))
     units = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -141,10 +144,11 @@ def _rooted(fps: DataFrame) -> DataFrame:
     """fp, root, component_id of every distinct fingerprint of ``fps`` (doc_id, fp; stored)."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     linked = stars(links(distinct))
-    rooted = distinct.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = linked.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # a component's smallest id; only fingerprints with links have to meet for it
-    with_links = linked.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(linked.select("b", "b").distinct())
-    smallest = distinct.join(with_links, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    with_links = roots.union(linked.select("b", "b").distinct())
+    smallest = distinct.join(with_links.hint("merge"), "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
@@ -156,7 +160,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     empty table gives no rows.
     """
     fps = stored(fingerprints(docs, shingle=shingle), "fingerprints")
-    return fps.join(_rooted(fps), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_rooted(fps).hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -164,5 +168,5 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     placed = with_row(docs)
     fps = stored(fingerprints(placed, "row_of_table", shingle=shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_of_table"))
-    kept = fps.join(_rooted(fps).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept")).select("kept.row_of_table")
+    kept = fps.join(_rooted(fps).select("fp", "root").hint("merge"), "fp").groupBy("root").agg(first.alias("kept")).select("kept.row_of_table")
     return only_rows(placed, kept)

@@ -137,3 +137,14 @@ def test_stars(spark):
     want = components_of({n for p in links for n in p}, links)
     assert sorted(map(tuple, stars(df).collect())) == sorted((n, r) for n, r in want.items() if n != r)
     assert stars(df.where("false")).count() == 0
+
+
+def test_no_table_is_broadcast_by_its_estimated_size(spark, docs_of):
+    """The index has 70 rows a fingerprint and is sized like the fingerprints; it came to the driver in a single piece."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    fps = spark.createDataFrame([(i << 40,) for i in range(50)], "fp long")
+    assert "Broadcast" not in plan(simhash.links(fps))
+    docs = docs_of([(i, f"text {i % 7} of some words") for i in range(30)])
+    assert "BroadcastHashJoin [fp#" not in plan(simhash.near_duplicates(docs))
