@@ -39,7 +39,8 @@ def _settled(rows: DataFrame, support: float) -> DataFrame:
     verified = stored(winners(rows.join(F.broadcast(likely), "digest", "left_semi")).where("group_size > 1").coalesce(1), "frequent")
     frequent = rows.join(F.broadcast(verified), "digest")
     others = rows.join(F.broadcast(verified.select("digest")), "digest", "left_anti")
-    return frequent.unionByName(others.join(winners(others), "digest"))
+    # rows of equal texts and one file are far larger than their compressed Parquet, by which Spark would broadcast them
+    return frequent.unionByName(others.join(winners(others).hint("merge"), "digest"))
 
 
 def _rows(docs: DataFrame, row: Column) -> DataFrame:

@@ -148,3 +148,9 @@ def test_no_table_is_broadcast_by_its_estimated_size(spark, docs_of):
     assert "Broadcast" not in plan(simhash.links(fps))
     docs = docs_of([(i, f"text {i % 7} of some words") for i in range(30)])
     assert "BroadcastHashJoin [fp#" not in plan(simhash.near_duplicates(docs))
+
+
+def test_exact_join_is_not_broadcast_by_file_size(spark, docs_of):
+    docs = docs_of([(i, f"text {i % 7}") for i in range(30)])
+    plan = exact_dedup.exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [digest#" in plan
