@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import id_remainder, slices, smallest_hashes, texts_of
@@ -21,6 +21,8 @@ from faultline.llm.shared import id_remainder, slices, smallest_hashes, texts_of
 LENGTH, WIDTHS, FILTERS, DIMENSIONS = 256, (2, 3, 4), 12, 8
 #: The bound of the training sample: texts of each language, windows of each text (spread over the whole text).
 TEXTS, WINDOWS = 400, 4
+#: The share of texts, rightly predicted and not trained on, that may score below the least score of a known language.
+BELOW = 0.002
 UNDETERMINED = "und"
 
 
@@ -109,17 +111,22 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _labelled(docs: DataFrame, usable: Column, texts: int) -> DataFrame:
+    """doc_id, text, lang: of each language the ``texts`` usable ids with the smallest hash, of each the least text that is not empty."""
+    labelled = docs.where(F.col("lang").isNotNull())
+    chosen = smallest_hashes(labelled.where(usable), "lang", texts).withColumnRenamed("lang", "chosen_lang")
+    own = texts_of(labelled.withColumn("chosen_lang", F.col("lang")), "chosen_lang").where(F.col("text") != "")
+    return (own.join(F.broadcast(chosen), ["doc_id", "chosen_lang"]).groupBy("doc_id", F.col("chosen_lang").alias("lang"))
+            .agg(F.min("text").alias("text")).select("doc_id", "text", "lang"))
+
+
 def learn(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> ByteNet:
     """A network from rows with a language whose id leaves another remainder than 2 by 4.
 
     Bounded sample: of each language the ``texts`` ids with the smallest hash, of each the least text that is not empty, of that up
     to ``windows`` windows spread over all of it. Which ids those are is decided without reading texts.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 4) != 2))
-    chosen = smallest_hashes(usable, "lang", texts).withColumnRenamed("lang", "chosen_lang")
-    own = docs.where(F.col("lang").isNotNull()).withColumn("chosen_lang", F.col("lang"))
-    rows = (texts_of(own, "chosen_lang").where(F.col("text") != "").join(F.broadcast(chosen), ["doc_id", "chosen_lang"])
-            .groupBy("doc_id", F.col("chosen_lang").alias("lang")).agg(F.min("text").alias("text")).select("doc_id", "text", "lang").mapInArrow(_spread(windows), "doc_id string, lang string, bytes binary"))
+    rows = _labelled(docs, id_remainder(F.col("doc_id"), 4) != 2, texts).mapInArrow(_spread(windows), "doc_id string, lang string, bytes binary")
     found = sorted((r["lang"], r["doc_id"] or "", bytes(r["bytes"])) for r in rows.collect())
     languages = sorted({r[0] for r in found})
     if not languages:
@@ -196,11 +203,30 @@ def language_id(docs: DataFrame, net: ByteNet) -> DataFrame:
     return texts_of(docs, held_out).mapInArrow(work, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
+def least_score(docs: DataFrame, net: ByteNet, texts: int = TEXTS, below: float = BELOW) -> float:
+    """The score that all but a share ``below`` of the rows reach which are held out of training and predicted as labelled.
+
+    So it follows the corpus and the number of its languages. Bounded sample, chosen like that of training: up to ``texts`` whole
+    texts of each language. With too few of them to have such a share (fewer than 1 / ``below``) it is 0.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
+    def work(batches):
+        for batch in slices(batches):
+            found = predictions(model.value, batch.column("text").to_pylist())
+            right = [score for (lang, score), true in zip(found, batch.column("lang").to_pylist(), strict=True) if lang == true]
+            yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], names=["score"])
+
+    rows = _labelled(docs, id_remainder(F.col("doc_id"), 4) == 2, texts).mapInArrow(work, "score double")
+    scores = sorted(r["score"] for r in rows.collect())
+    return scores[n - 1] if (n := int(below * (len(scores) + 1))) else 0.0
+
+
 def keep_known_language(docs: DataFrame, net: ByteNet, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, in one of the network's languages; with ``least``, at that score at least.
 
     By default only texts without a letter (``und``) go: how sure a network can be depends on the number of its languages, so no
-    fixed score would leave clean texts alone whatever the languages are.
+    fixed score would leave clean texts alone whatever the languages are (see ``least_score``).
     """
     model = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -51,3 +51,20 @@ def test_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         table(spark, SF, name).where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_by_its_predictions(docs_of):
+    """Half of each window in one language and half in the other is neither; rows with a label that were not trained on set the bound."""
+    rng = np.random.default_rng(5)
+    words = {"en": "the thing that is of and on with for there another than".split(), "de": "nicht der die und einer zu von den sich auch werden noch".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(("en", "de") * 1800)]
+    odd = [(9_000 + i, " ".join(rng.choice(words["en"] + words["de"], 40)), None) for i in range(40)] + [(9_500, "12 ?!", None), (9_501, None, None)]
+    docs = docs_of([(i, t) for i, t, _ in rows + odd], langs=[lang for *_, lang in rows + odd])
+    net = language_id.learn(docs)
+    least = language_id.least_score(docs, net)
+    assert 0.9 < least < 1
+    kept = [r["doc_id"] for r in corpus_pipeline.known_language(docs.sparkSession, docs, SF).collect()]
+    scores = language_id.predictions(net, [t or "" for _, t, _ in rows + odd])
+    assert sorted(kept) == [i for (i, *_), (lang, score) in zip(rows + odd, scores, strict=True) if lang != "und" and score >= least]
+    assert sum(i < 9_000 for i in kept) >= 0.99 * len(rows) and sum(i >= 9_000 for i in kept) <= 20
+    assert language_id.least_score(docs.where("doc_id < 400"), net) == 0
