@@ -169,3 +169,20 @@ def test_shapes_beyond_the_plain_ones(spark, lines):
                         ("auth_log", "Jun 22 10:00:00 srv sshd no colon Failed password for root")]), security.AUTH).collect()
     assert [(r.pid, r.account, r.hostname) for r in auth] == [(None, "root", "srv")]
     assert parse(lines([("mysql_error", "2025-06-22 10:00:00 7 [ERROR] out of words"), ("mysql_error", "12 words [ERROR] x")]), database.ERROR_LOG).count() == 1
+
+
+def test_owners_are_looked_up_only_for_parsers_that_name_one(spark, lines):
+    """No event of the login log has a domain or a database user: nothing is joined for it; the others find what they found."""
+    from faultline.operators.enrich import enrich
+    from faultline.plans.detect import lines_to_events
+
+    domains = spark.createDataFrame([("shop.com", "acct1")], "domain string, account string")
+    users = spark.createDataFrame([("acct2", "acct2")], "mysql_user string, account string")
+    raw = lines([("auth_log", "Jul  1 12:00:00 srv sshd[7]: Failed password for u1 from 10.0.0.1 port 22 ssh2"),
+                 ("apache_error", "[Mon Jul 01 12:00:00.123456 2024] [core:error] [pid 1:tid 2] [client 10.0.0.2:4711] File missing: Shop.com now"),
+                 ("mysql_error", "2024-07-01 12:00:00 9 [ERROR] Access denied for user 'acct2_w'@'localhost' (using password)")])
+    logins = lines_to_events(raw, domains, users, registry=[r for r in router.ALL_SOURCES if r.parser == "auth"])
+    assert "Join" not in logins._jdf.queryExecution().optimizedPlan().toString()
+    got = lines_to_events(raw, domains, users)
+    assert sorted(map(str, got.collect())) == sorted(map(str, enrich(router.parse_all(raw), domains, users).select(*got.columns).collect()))
+    assert {(r["category"], r["account"]) for r in got.collect()} >= {("web", "acct1"), ("database", "acct2")}
